@@ -5,7 +5,7 @@ texts agree symbol by symbol with the probability of their Jaccard similarity. T
 ``agree + 1`` symbols. The anchors of a block are the words of the single parity-check code of that length, a covering
 code of radius 1: changing any one symbol of a word reaches exactly one code word, so each word has ``agree + 1``
 anchors within the radius, and a code word is named by the ``agree`` symbols that stay. Fingerprints are replicated to
-all of them; two words at distance 1 or less in a block always meet. At each anchor they are compared by 96 sketch bits,
+all of them; two words at distance 1 or less in a block always meet. At each anchor they are compared by 192 sketch bits,
 and the remaining pairs exactly by their trigram sets.
 """
 
@@ -61,10 +61,10 @@ def similar_classes(keyed: DataFrame, rows: int, threshold: float = 0.7) -> Data
                 cp, row = S.flat(batch.column("key").take(pa.array(first)).to_pylist())
                 code, row = S.trigrams(cp, row)
                 h = S.mix(code)
-                s0, s1 = S.sketch_bits(h, row, len(ids))
+                bits = S.sketch_bits(h, row, len(ids))
                 keys = anchor_keys(S.densify(S.bin_minima(h, row, len(ids), anchors)), agree, blocks)
                 rep = np.repeat(np.arange(len(ids)), anchors)
-                yield from out.add(keys.ravel(), ids.view(np.uint64)[rep], s0[rep], s1[rep], np.zeros(len(rep), np.uint8))
+                yield from out.add(keys.ravel(), ids.view(np.uint64)[rep], bits[rep], np.zeros(len(rep), np.uint8))
         yield from out.flush()
 
     entries = keyed.mapInArrow(replicate, "part int, blob binary")
