@@ -41,43 +41,48 @@ def anchor_keys(symbols: np.ndarray, agree: int, blocks: int) -> np.ndarray:
     return out
 
 
-def similar_classes(keyed: DataFrame, rows: int, threshold: float = 0.7) -> DataFrame:
-    """Pairs (a, b, jaccard) of classes of equal keys; ``keyed`` has (cls long, key string), keys of 3 or more."""
-    agree, blocks = plan(rows)
+def similar_classes(rows: DataFrame, known: DataFrame, n: int, threshold: float = 0.7) -> DataFrame:
+    """Pairs (a, b, jaccard) of alike classes of equal keys; ``rows`` as in ``sketch.ROWS``, ``known`` their members."""
+    agree, blocks = plan(n)
     anchors = blocks * (agree + 1)
-    parts = max(shuffle_partitions(keyed.sparkSession), rows * anchors * S.ENTRY.itemsize // (24 << 20))
+    parts = max(shuffle_partitions(rows.sparkSession), n * anchors * S.ENTRY.itemsize // (24 << 20))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, seen = S.Parts(parts), np.empty(0, np.int64)
+        out, seen = S.Parts(parts), np.empty(0, np.uint64)
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
-                batch = whole.slice(at, 4000)
-                ids, first = np.unique(np.asarray(batch.column("cls")), return_index=True)
-                new = ~np.isin(ids, seen)  # copies within the partition are sent once
-                seen = np.union1d(seen, ids)[-2_000_000:]
-                ids, first = ids[new], first[new]
-                if not len(ids):
+                cp, row = S.flat_keys(whole.slice(at, 4000).column("text").to_pylist())
+                n_rows = min(4000, whole.num_rows - at)
+                size = np.bincount(row, minlength=n_rows)
+                ids = S.class_ids(cp, row, n_rows, np.zeros(n_rows, np.int64))
+                _, first = np.unique(ids, return_index=True)  # copies are sent once, as far as a task sees them
+                new = np.zeros(n_rows, bool)
+                new[first] = True
+                new &= (size >= 3) & ~np.isin(ids, seen)
+                seen = np.concatenate([seen, ids[new]])[-1_000_000:]
+                if not new.any():
                     continue
-                cp, row = S.flat(batch.column("key").take(pa.array(first)).to_pylist())
+                keep = new[row]
+                cp, row, ids = cp[keep], (np.cumsum(new) - 1)[row[keep]], ids[new]
                 code, row = S.trigrams(cp, row)
                 h = S.mix(code)
                 bits = S.sketch_bits(h, row, len(ids))
                 keys = anchor_keys(S.densify(S.bin_minima(h, row, len(ids), anchors)), agree, blocks)
                 rep = np.repeat(np.arange(len(ids)), anchors)
-                yield from out.add(keys.ravel(), ids.view(np.uint64)[rep], bits[rep], np.zeros(len(rep), np.uint8))
+                yield from out.add(keys.ravel(), ids[rep], bits[rep], np.zeros(len(rep), np.uint8))
         yield from out.flush()
 
-    entries = keyed.mapInArrow(replicate, "part int, blob binary")
-    return S.verify(cut(S.compare_parts(entries, parts, cross=False)), keyed, threshold)
+    entries = rows.select("text").mapInArrow(replicate, "part int, blob binary")
+    return S.verify(cut(S.compare_parts(entries, parts, cross=False)), rows, known, threshold)
 
 
-def keyed_rows(tables: dict[str, DataFrame], column: str, id_column: str = "row_id") -> DataFrame:
-    """(tbl, row_id, cls, key) of all rows of the tables that can be alike to something."""
+def table_rows(tables: dict[str, DataFrame], column: str, id_column: str = "row_id") -> DataFrame:
+    """All rows of the tables with a text, as in ``sketch.ROWS``."""
     out = None
     for name, df in tables.items():
-        one = df.select(F.lit(name).alias("tbl"), F.col(id_column).cast("long").alias("row_id"), S.alike_key(F.col(column)).alias("key"))
+        one = df.select(F.lit(name).alias("tbl"), F.col(id_column).cast("long").alias("row_id"), F.lit(0).cast("tinyint").alias("flag"), F.lit(0).cast("tinyint").alias("side"), F.col(column).cast("string").alias("text"))
         out = one if out is None else out.unionByName(one)
-    return out.where(F.length("key") >= 3).select("tbl", "row_id", F.xxhash64("key").alias("cls"), "key")
+    return out.where("text is not null")
 
 
 def near_duplicate_links(tables: dict[str, DataFrame], column: str, threshold: float = 0.7, id_column: str = "row_id") -> tuple[DataFrame, DataFrame]:
@@ -87,20 +92,21 @@ def near_duplicate_links(tables: dict[str, DataFrame], column: str, threshold: f
     have no link. Repeated rows share a class; extra columns and columns of clashing names are ignored; empty tables
     give empty results.
     """
-    rows = sum(df.count() for df in tables.values())
-    keyed = keyed_rows(tables, column, id_column)
-    return similar_classes(keyed.select("cls", "key"), rows, threshold), keyed.select("tbl", "row_id", "cls")
+    rows = table_rows(tables, column, id_column)
+    known = cut(S.members(rows))
+    n = sum(df.count() for df in tables.values())
+    return cut(similar_classes(rows, known, n, threshold)), known.select("tbl", "row_id", "cls")
 
 
 def near_duplicate_pairs(tables: dict[str, DataFrame], column: str, threshold: float = 0.7, id_column: str = "row_id") -> DataFrame:
     """All pairs of alike rows: (tbl_a, row_id_a, tbl_b, row_id_b), the smaller (table, id) first."""
-    links, members = near_duplicate_links(tables, column, threshold, id_column)
-    a = members.select(F.col("tbl").alias("tbl_a"), F.col("row_id").alias("row_id_a"), F.col("cls").alias("a"))
-    b = members.select(F.col("tbl").alias("tbl_b"), F.col("row_id").alias("row_id_b"), F.col("cls").alias("b"))
+    links, known = near_duplicate_links(tables, column, threshold, id_column)
+    a = known.select(F.col("tbl").alias("tbl_a"), F.col("row_id").alias("row_id_a"), F.col("cls").alias("a"))
+    b = known.select(F.col("tbl").alias("tbl_b"), F.col("row_id").alias("row_id_b"), F.col("cls").alias("b"))
     # classes are linked both ways and to themselves, so that one join gives all pairs, each in one order
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    several = members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    pairs = cut(both).union(several)
+    several = known.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    pairs = both.union(several)
     return pairs.join(a, "a").join(b, "b").where(F.struct("tbl_a", "row_id_a") < F.struct("tbl_b", "row_id_b")).select("tbl_a", "row_id_a", "tbl_b", "row_id_b")
 
 
@@ -109,9 +115,8 @@ def near_duplicate_groups(tables: dict[str, DataFrame], column: str, threshold:
 
     ``cls`` is null for records without a class.
     """
-    links, members = near_duplicate_links(tables, column, threshold, id_column)
-    links = cut(links)
-    size = members.groupBy("cls").agg(F.count("*").alias("n"))
+    links, known = near_duplicate_links(tables, column, threshold, id_column)
+    size = known.groupBy("cls").agg(F.count("*").alias("n"))
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = both.join(size.withColumnRenamed("cls", "b"), "b").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "cls")
     count = size.join(linked, "cls", "left").select("cls", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
@@ -119,5 +124,4 @@ def near_duplicate_groups(tables: dict[str, DataFrame], column: str, threshold:
     for name, df in tables.items():
         one = df.select(F.lit(name).alias("tbl"), F.col(id_column).cast("long").alias("row_id"))
         every = one if every is None else every.unionByName(one)
-    known = members.join(count, "cls")
-    return every.join(known, ["tbl", "row_id"], "left").select("tbl", "row_id", "cls", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return every.join(known.join(count, "cls").dropDuplicates(["tbl", "row_id"]), ["tbl", "row_id"], "left").select("tbl", "row_id", "cls", F.coalesce("links", F.lit(0)).cast("long").alias("links"))

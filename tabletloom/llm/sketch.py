@@ -6,14 +6,15 @@ Everything here works on flat code-point arrays of a whole Arrow batch; no call
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: White space as a regular-expression class (the Unicode white space that a str-based ``\s`` knows).
-SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+from tabletloom.session import cut
+
 #: One entry of the packed shuffle: key within its part, class of the text, 192 sketch bits, flags.
 ENTRY = np.dtype([("key", "<u4"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("flag", "u1")])
 SKETCH_BITS = 192
@@ -23,11 +24,6 @@ SKETCH_LIMIT = 44
 BLOCK = 4096
 
 
-def alike_key(c: Column) -> Column:
-    """Lower case, without white space and ``!``, ``?``, ``.``."""
-    return F.regexp_replace(F.lower(c), rf"[!?.]|{SPACE}", "")
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(30))
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -44,6 +40,54 @@ def flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cp, np.repeat(np.arange(len(texts)), n)
 
 
+@cache
+def _dropped() -> np.ndarray:
+    """Of each code point, whether the key leaves it out: white space and ``!``, ``?``, ``.``."""
+    return np.array([chr(c) in "!?." or chr(c).isspace() for c in range(0x110000)])
+
+
+def alike_key(text: str) -> str:
+    """Lower case, without white space and ``!``, ``?``, ``.``."""
+    return "".join(c for c in text.lower().replace("!", "").replace("?", "").replace(".", "") if not c.isspace())
+
+
+def flat_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all texts, flat; null counts as empty."""
+    cp, row = flat([t.lower() if t else "" for t in texts])
+    keep = ~_dropped()[cp]
+    return cp[keep], row[keep]
+
+
+def class_ids(cp: np.ndarray, row: np.ndarray, rows: int, side: np.ndarray) -> np.ndarray:
+    """A 64-bit id of each row's key and side: the sum of mixed (character, position) pairs, mixed with the length."""
+    size = np.bincount(row, minlength=rows)
+    place = (np.arange(len(cp)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64)
+    h = mix(cp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(place))
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h, out=total[1:])
+    end = np.cumsum(size)
+    return mix((total[end] - total[end - size]) ^ mix(size.astype(np.uint64) + side.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
+ROWS = "tbl string, row_id long, flag tinyint, side tinyint, text string"
+
+
+def members(rows: DataFrame) -> DataFrame:
+    """(tbl, row_id, flag, side, cls) of the rows whose key has three or more characters; ``rows`` is as in ``ROWS``."""
+    names = ["tbl", "row_id", "flag", "side"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4000):
+                b = whole.slice(at, 4000)
+                cp, row = flat_keys(b.column("text").to_pylist())
+                cls = class_ids(cp, row, b.num_rows, np.asarray(b.column("side")))
+                ok = pa.array(np.bincount(row, minlength=b.num_rows) >= 3)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).filter(ok) for c in names), pa.array(cls.view(np.int64)).filter(ok)], names=[*names, "cls"])
+
+    return rows.mapInArrow(run, "tbl string, row_id long, flag tinyint, side tinyint, cls long")
+
+
 def trigrams(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exact 63-bit codes of all trigrams that lie within one row, and their rows."""
     if len(cp) < 3:
@@ -236,21 +280,30 @@ def exact_jaccard(left: list[str], right: list[str]) -> tuple[np.ndarray, np.nda
     return both, either
 
 
-def verify(pairs: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
+#: Ids of needed rows are broadcast up to this many (16 bytes each and the table's name), beyond it they are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def verify(pairs: DataFrame, rows: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """The candidate pairs of classes whose trigram Jaccard similarity reaches ``threshold``, with the similarity.
 
-    ``keyed`` has (cls, key), possibly several rows a class. A text travels once per pair that it is in.
+    ``known`` has the members of ``rows``. Only the texts of one row for each class in a pair are moved.
     """
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("cls"))
-    texts = keyed.join(ends.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
-    both = ends.join(texts, "cls").groupBy("a", "b").agg(F.min(F.when(F.col("cls") == F.col("a"), F.col("key"))).alias("ka"), F.min(F.when(F.col("cls") == F.col("b"), F.col("key"))).alias("kb"))
+    needed = ends.select("cls").distinct().join(known, "cls").groupBy("cls").agg(F.min(F.struct("tbl", "row_id", "side")).alias("r")).select("cls", "r.*")
+    needed = cut(needed)
+    if needed.count() <= BROADCAST_ROWS:
+        needed = F.broadcast(needed)
+    texts = rows.select("tbl", "row_id", "side", "text").join(needed, ["tbl", "row_id", "side"]).dropDuplicates(["cls"]).select("cls", "text")
+    side = lambda x: F.min(F.when(F.col("cls") == F.col(x), F.col("text"))).alias(f"t{x}")
+    both = ends.join(texts, "cls").groupBy("a", "b").agg(side("a"), side("b"))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            both, either = exact_jaccard(batch.column("ka").to_pylist(), batch.column("kb").to_pylist())
+            both, either = exact_jaccard(list(map(alike_key, batch.column("ta").to_pylist())), list(map(alike_key, batch.column("tb").to_pylist())))
             j = both / np.maximum(either, 1)
             ok = pa.array((j >= threshold) & (both > 0))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(j).filter(ok)], schema=out)
