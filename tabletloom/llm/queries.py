@@ -15,6 +15,38 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    from tabletloom.llm.look import same_look_pairs
+
+    return same_look_pairs({"train": (_read(spark, folder, "train"), "transliteration"), "oa_lexicon_ebl": (_read(spark, folder, "oa_lexicon_ebl"), "form")})
+
+
+def p1_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent transliteration of every row of train."""
+    from tabletloom.llm.look import with_consistent
+
+    return with_consistent(_read(spark, folder, "train").select("row_id", "transliteration"), "transliteration", "consistent").select("row_id", "consistent")
+
+
+def _canonical(spark: SparkSession, folder: str) -> DataFrame:
+    from tabletloom.llm.canonical import keyed_names, map_fields
+
+    named = _read(spark, folder, "oa_lexicon_ebl").where("type in ('PN', 'GN')")
+    canon = _read(spark, folder, "canon_names")
+    fields = {"train.transliteration": keyed_names(_read(spark, folder, "train"), "transliteration", "row_id", inside=True)}
+    fields |= {f"oa_lexicon_ebl.{c}": keyed_names(named, c, "row_id", inside=False) for c in ("form", "norm")}
+    return map_fields(fields, canon.select("ref_id", "form").union(canon.select("ref_id", "norm")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _canonical(spark, folder)
+
+
+def p2_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Per field: rows with names, and rows with an unmatched one."""
+    return _canonical(spark, folder).groupBy("field").agg(F.countDistinct("row_id").alias("n_rows"), F.countDistinct(F.when(F.col("ref_id") < 0, F.col("row_id"))).alias("unmatched"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     from tabletloom.llm.near_duplicates import near_duplicate_pairs
 
@@ -27,6 +59,17 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_groups({n: _read(spark, folder, n) for n in ("extracted_pairs", "train_sentences")}, "transliteration")
 
 
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    from tabletloom.llm.chunks import split_texts
+
+    return split_texts(_read(spark, folder, "train"), {"transliteration": 1000, "translation": 2000}, overlap=100)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that came out in more than one piece."""
+    return p5_pieces(spark, folder).where("piece_no = 2").select("row_id", "field")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     from tabletloom.llm.split_overlap import overlaps
 
@@ -41,9 +84,47 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_counts(_read(spark, folder, "combined_corpus"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found,
-    "p3_groups": p3_groups,
-    "p6_found": p6_found,
-    "p6_counts": p6_counts,
-}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    from tabletloom.llm.tokens import encode_column
+
+    return encode_column(_read(spark, folder, "documents"), "doc_id", "text")
+
+
+def p9_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each document, or each piece of one longer than 2,048 tokens, is."""
+    from tabletloom.llm.packing import pack
+    from tabletloom.llm.tokens import encode_column
+
+    documents = _read(spark, folder, "documents")
+    return pack(encode_column(documents, "doc_id", "text", count_only=True), documents.count(), 2048)
+
+
+def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """The number of containers, the tokens in them and the share of space that stays unused."""
+    used = p9_packed(spark, folder).where("container is not null").groupBy("container").agg(F.sum("size").alias("used"))
+    return used.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.round(1 - F.avg("used") / 2048, 6).alias("unused"))
+
+
+def _abuse(spark: SparkSession, folder: str) -> DataFrame:
+    from tabletloom.llm.abuse import fit_tables, score
+
+    documents = _read(spark, folder, "documents")
+    return score(documents, fit_tables(documents, _read(spark, folder, "review_labels")))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _abuse(spark, folder).where("abusive").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _abuse(spark, folder)
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source: documents, those with a significant passage, and their share. Null sources count as one source."""
+    found = _abuse(spark, folder).select("doc_id", "abusive")
+    rows = _read(spark, folder, "documents").select("doc_id", "source").join(found, "doc_id")
+    return rows.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("abusive").alias("abusive"), F.avg(F.col("abusive").cast("int")).alias("rate"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_unmatched, p3_found, p3_groups, p5_found, p5_pieces, p6_found, p6_counts, p8_ids, p9_packed, p9_fill, p10_found, p10_scores, p10_rates)}
