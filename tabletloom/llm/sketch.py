@@ -5,6 +5,7 @@ Everything here works on flat code-point arrays of a whole Arrow batch; no call
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -46,9 +47,12 @@ def _dropped() -> np.ndarray:
     return np.array([chr(c) in "!?." or chr(c).isspace() for c in range(0x110000)])
 
 
+_LEFT_OUT = re.compile(r"[\s!?.]+")
+
+
 def alike_key(text: str) -> str:
     """Lower case, without white space and ``!``, ``?``, ``.``."""
-    return "".join(c for c in text.lower().replace("!", "").replace("?", "").replace(".", "") if not c.isspace())
+    return _LEFT_OUT.sub("", text.lower())
 
 
 def flat_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +116,8 @@ def densify(m: np.ndarray) -> np.ndarray:
     rows, bins = m.shape
     empty = m == np.iinfo(np.uint64).max
     two = np.concatenate([m, m], axis=1)
-    at = np.where(np.concatenate([empty, empty], axis=1), 2 * bins, np.arange(2 * bins))
-    nxt = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :bins]
+    at = np.where(np.concatenate([empty, empty], axis=1), np.int16(2 * bins), np.arange(2 * bins, dtype=np.int16))
+    nxt = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :bins].astype(np.int64)
     found = nxt < 2 * bins
     value = np.take_along_axis(two, np.minimum(nxt, 2 * bins - 1), axis=1)
     step = (nxt - np.arange(bins)).astype(np.uint64)
@@ -159,40 +163,60 @@ class Parts:
             yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 64], pa.int32()), pa.array(blobs[i : i + 64], pa.binary())], schema=PART_SCHEMA)
 
 
-def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a["s0"] ^ b["s0"]) + np.bitwise_count(a["s1"] ^ b["s1"]) + np.bitwise_count(a["s2"] ^ b["s2"])
-
-
-def wanted(fa: np.ndarray, fb: np.ndarray, cross: bool) -> np.ndarray:
-    """Pairs to compare: all, or with ``cross`` those with flag 1 on one side and flag 2 on the other."""
-    return ((fa & 1) & (fb >> 1)) | ((fb & 1) & (fa >> 1)) != 0 if cross else np.ones(len(fa), bool)
-
-
-def near(a: np.ndarray, b: np.ndarray, cross: bool, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    ok = (a["id"] != b["id"]) & wanted(a["flag"], b["flag"], cross)
-    a, b = a[ok], b[ok]
-    ok = differing(a, b) <= limit
-    x, y = a["id"][ok].view(np.int64), b["id"][ok].view(np.int64)
-    return np.minimum(x, y), np.maximum(x, y)
-
-
-def run_pairs(e: np.ndarray, group: np.ndarray, cross: bool, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of entries of one group whose sketches are near; ``group`` is ascending."""
-    act, d = np.arange(len(e)), 1
-    while len(act):
-        act = act[act + d < len(e)]
-        act = act[group[act] == group[act + d]]
-        for i in range(0, len(act), 1 << 20):
-            s = act[i : i + (1 << 20)]
-            yield near(e[s], e[s + d], cross, limit)
-        d += 1
-
-
-def block_pairs(a: np.ndarray, b: np.ndarray, cross: bool, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    step = max(1, (1 << 20) // max(1, len(b)))
-    for i in range(0, len(a), step):
-        s = a[i : i + step]
-        yield near(np.repeat(s, len(b)), np.tile(b, len(s)), cross, limit)
+class Entries:
+    """Entries as columns."""
+
+    def __init__(self, e: np.ndarray) -> None:
+        self.id, self.flag = e["id"].astype(np.int64), e["flag"].copy()
+        self.words = [e[w].copy() for w in ("s0", "s1", "s2")]
+
+
+def near(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ids whose sketches differ in at most ``limit`` bits; most others are gone after two words."""
+    d = np.bitwise_count(a.words[0][i] ^ b.words[0][j]) + np.bitwise_count(a.words[1][i] ^ b.words[1][j])
+    ok = d <= limit
+    i, j, d = i[ok], j[ok], d[ok]
+    ok = d + np.bitwise_count(a.words[2][i] ^ b.words[2][j]) <= limit
+    x, y = a.id[i[ok]], b.id[j[ok]]
+    ok = x != y
+    return np.minimum(x, y)[ok], np.maximum(x, y)[ok]
+
+
+def products(left: np.ndarray, first: np.ndarray, count: np.ndarray, size: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each of ``left`` with the ``count`` numbers from ``first`` on, some ``size`` at a time."""
+    done = np.cumsum(count)
+    at = 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + size, "right")))
+        n = count[at:to]
+        total = int(n.sum())
+        if total:
+            yield np.repeat(left[at:to], n), np.repeat(first[at:to] - (np.cumsum(n) - n), n) + np.arange(total)
+        at = to
+
+
+def run_pairs(e: Entries, start: np.ndarray, size: np.ndarray, cross: bool, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs within each run of entries: all of them, or with ``cross`` those of flag 2 with those of flag 1."""
+    group = np.repeat(np.arange(len(start)), size)
+    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(len(group))
+    if not cross:
+        for i, j in products(at, at + 1, np.repeat(start + size, size) - at - 1):
+            yield near(e, i, e, j, limit)
+        return
+    train, other = (e.flag[at] & 1) > 0, (e.flag[at] & 2) > 0
+    trains = at[train]
+    count = np.bincount(group[train], minlength=len(start))
+    first = np.cumsum(count) - count
+    for i, j in products(at[other], first[group[other]], count[group[other]]):
+        yield near(e, i, e, trains[j], limit)
+
+
+def block_pairs(a: Entries, b: Entries, cross: bool, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for fa, fb in ((1, 2), (2, 1)) if cross else ((0, 0),):
+        i = np.flatnonzero((a.flag & fa) == fa)
+        j = np.flatnonzero((b.flag & fb) == fb)
+        for x, y in products(i, np.zeros(len(i), np.int64), np.full(len(i), len(j))):
+            yield near(a, x, b, j[y], limit)
 
 
 JOB_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
@@ -232,10 +256,8 @@ def compare_parts(entries: DataFrame, parts: int, cross: bool, limit: int = SKET
             e["flag"] = flag
             start = np.flatnonzero(np.r_[True, e["key"][1:] != e["key"][:-1]]) if len(e) else np.empty(0, np.int64)
             size = np.diff(np.r_[start, len(e)])
-            group = np.repeat(np.arange(len(start)), size)
-            usual = size[group] <= BLOCK if len(e) else np.empty(0, bool)
-            several = size[group] > 1 if len(e) else usual
-            for x in run_pairs(e[usual & several], group[usual & several], cross, limit):
+            usual = (size > 1) & (size <= BLOCK)
+            for x in run_pairs(Entries(e), start[usual], size[usual], cross, limit):
                 found.append(x)
                 held += len(x[0])
                 if held > 1 << 21:
@@ -258,7 +280,7 @@ def compare_parts(entries: DataFrame, parts: int, cross: bool, limit: int = SKET
             found = [(np.asarray(a.filter(ok), np.int64), np.asarray(b.filter(ok), np.int64))]
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
                 if left is not None:
-                    found += list(block_pairs(np.frombuffer(left, ENTRY), np.frombuffer(right, ENTRY), cross, limit))
+                    found += list(block_pairs(Entries(np.frombuffer(left, ENTRY)), Entries(np.frombuffer(right, ENTRY)), cross, limit))
             x, y = unique_pairs(found)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], schema=PAIR_SCHEMA)
 
