@@ -59,6 +59,18 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_groups({n: _read(spark, folder, n) for n in ("extracted_pairs", "train_sentences")}, "transliteration")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    from tabletloom.llm.ocr_repair import defects
+
+    return defects(_read(spark, folder, "publications")).select("row_id", "line_no", "defect").distinct()
+
+
+def p4_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    from tabletloom.llm.ocr_repair import paragraphs
+
+    return paragraphs(_read(spark, folder, "publications"))
+
+
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     from tabletloom.llm.chunks import split_texts
 
@@ -84,6 +96,12 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_counts(_read(spark, folder, "combined_corpus"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    from tabletloom.llm.bitext import align
+
+    return align(_read(spark, folder, "train")).select("row_id", "src_no", "tgt_no").distinct()
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     from tabletloom.llm.tokens import encode_column
 
@@ -127,4 +145,4 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("abusive").alias("abusive"), F.avg(F.col("abusive").cast("int")).alias("rate"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_unmatched, p3_found, p3_groups, p5_found, p5_pieces, p6_found, p6_counts, p8_ids, p9_packed, p9_fill, p10_found, p10_scores, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_unmatched, p3_found, p3_groups, p4_found, p4_paragraphs, p5_found, p5_pieces, p6_found, p6_counts, p7_found, p8_ids, p9_packed, p9_fill, p10_found, p10_scores, p10_rates)}
