@@ -1,6 +1,438 @@
-"""Queries of the core operators and their SQL."""
+"""Queries of the core operators, (spark, folder of tables) -> DataFrame, and their SQL (DuckDB)."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabletloom.functions import features as X
+from tabletloom.functions import fixed
+from tabletloom.functions import ocr
+from tabletloom.functions import scoring
+from tabletloom.functions import text as T
+from tabletloom.operators import align, augment, context, dedup, lexicon, metrics, models, parse, sample, submit, vector
+from tabletloom.plans import pipelines
+from tabletloom.session import ship
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- SQL parts ---------------------------------------------------------------------------------------------------------
+
+_S = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_S}+|{_S}+$', '', 'g')"
+
+
+def _normalize(x: str) -> str:
+    x = f"regexp_replace(coalesce({x}, ''), '{fixed.ERASURE}', '', 'g')"
+    x = f"regexp_replace({x}, '{T.any_of(fixed.BIG_GAPS)}', '{fixed.BIG_GAP}', 'g')"
+    x = f"regexp_replace({x}, '{T.any_of(fixed.SINGLE_GAPS)}', '{fixed.SINGLE_GAP}', 'g')"
+    x = f"regexp_replace({x}, '[{fixed.DELETED}]', '', 'g')"
+    return _strip(f"regexp_replace({x}, '{_S}+', ' ', 'g')")
+
+
+def _key(x: str) -> str:
+    return f"regexp_replace(lower(coalesce({x}, '')), '{_S}|[!?.]', '', 'g')"
+
+
+def _match(x: str) -> str:
+    return f"translate(replace(lower(coalesce({x}, '')), 'š', 'sh'), '{fixed.KEY_FROM}-', '{fixed.KEY_TO}')"
+
+
+def _list(words: list[str] | tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _tokens(x: str) -> str:
+    split = f"list_filter(regexp_split_to_array(lower({_strip(x)}), '{_S}+'), lambda w: w <> '')"
+    return rf"""list_transform({split}, lambda w: regexp_replace(w, '^[.,!?;:''"()\[\]]+|[.,!?;:''"()\[\]]+$', '', 'g'))"""
+
+
+def _share(words: list[str]) -> str:
+    return f"len(list_filter(w, lambda x: list_contains({_list(words)}, x)))::DOUBLE / greatest(len(w), 1)"
+
+
+# --- projections, filters, row operations --------------------------------------------------------------------------------
+
+
+@query(f"SELECT row_id, {_normalize('transliteration')} AS transliteration, {_normalize('translation')} AS translation FROM train")
+def normalize_train(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "train").select("row_id", T.normalize("transliteration").alias("transliteration"), T.normalize("translation").alias("translation"))
+
+
+@query(f"SELECT doc_id, {_key('text')} AS dedup_key, {_match('text')} AS match_key FROM documents")
+def text_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").select("doc_id", T.dedup_key("text").alias("dedup_key"), T.match_key("text").alias("match_key"))
+
+
+_HEADER = rf"""(s = '' OR regexp_matches(s, '^[0-9]+{_S}*(?:[\p{{L}}\p{{N}}_]{_S}+[A-Z][A-Za-z\s.,\-]+)?{_S}*$')
+ OR (s = upper(s) AND length(s) < 80 AND NOT regexp_matches(s, '[{fixed.HEADER_MARKS}]') AND regexp_matches(s, '\p{{L}}')))"""
+_CORRECTED = f"""WITH l AS (SELECT row_id, string_split(coalesce(page_text, ''), chr(10)) AS lines FROM publications),
+e AS (SELECT row_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM l),
+f AS (SELECT row_id, min(k) AS k FROM (SELECT row_id, k, {_strip('line')} AS s FROM e) WHERE NOT {_HEADER} GROUP BY row_id),
+b AS (SELECT l.row_id, CASE WHEN f.k IS NULL THEN '' ELSE array_to_string(lines[f.k:], chr(10)) END AS t FROM l LEFT JOIN f USING (row_id))
+SELECT row_id, {_strip("regexp_replace(regexp_replace(t, '[ ' || chr(9) || ']+', ' ', 'g'), ' +' || chr(10), chr(10), 'g')")} AS page_text FROM b"""
+
+
+@query(_CORRECTED)
+def ocr_correct(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "publications").select("row_id", ocr.correct("page_text").alias("page_text"))
+
+
+@query("SELECT row_id FROM publications WHERE has_akkadian")
+def flagged_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "publications").where("has_akkadian").select("row_id")
+
+
+@query("SELECT e.row_id FROM extracted_pairs e WHERE e.source_pdf IN (SELECT DISTINCT pdf_name FROM publications WHERE has_akkadian)")
+def pairs_of_flagged_pdfs(spark: SparkSession, folder: str) -> DataFrame:
+    wanted = read(spark, folder, "publications").where("has_akkadian").select(F.col("pdf_name").alias("source_pdf")).distinct()
+    return read(spark, folder, "extracted_pairs").join(wanted, "source_pdf", "left_semi").select("row_id")
+
+
+@query(f"SELECT row_id FROM train WHERE transliteration IS NOT NULL AND translation IS NOT NULL AND length({_strip('transliteration')}) > 0 AND length({_strip('translation')}) > 0")
+def non_blank_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return sample.non_blank(read(spark, folder, "train"), ["transliteration", "translation"]).select("row_id")
+
+
+@query("SELECT count(*) FILTER (transliteration IS NULL) AS null_transliterations, count(*) FILTER (translation IS NULL) AS null_translations, count(*) AS n FROM combined_corpus")
+def null_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "combined_corpus").agg(F.count_if(F.col("transliteration").isNull()).alias("null_transliterations"), F.count_if(F.col("translation").isNull()).alias("null_translations"), F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT pdf_name) AS pdfs, count(*) AS pages FROM publications")
+def publication_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "publications").agg(F.countDistinct("pdf_name").alias("pdfs"), F.count("*").alias("pages"))
+
+
+@query("""SELECT t.n AS documents, s.n AS sentences, round(s.n / t.n, 6) AS sentences_a_document, round((t.n + e.n) / t.n, 6) AS multiplier
+FROM (SELECT count(*) AS n FROM train) t, (SELECT count(*) AS n FROM train_sentences) s, (SELECT count(*) AS n FROM extracted_pairs) e""")
+def corpus_ratios(spark: SparkSession, folder: str) -> DataFrame:
+    n = lambda t, c: read(spark, folder, t).agg(F.count("*").alias(c))
+    one = n("train", "documents").join(n("train_sentences", "sentences")).join(n("extracted_pairs", "_e"))  # of one row each
+    return one.select("documents", "sentences", F.round(F.col("sentences") / F.col("documents"), 6).alias("sentences_a_document"), F.round((F.col("documents") + F.col("_e")) / F.col("documents"), 6).alias("multiplier"))
+
+
+@query("SELECT src, row_id, transliteration, translation FROM (SELECT 0 AS src, row_id, transliteration, translation FROM train UNION ALL SELECT 1, row_id, transliteration, translation FROM extracted_pairs)")
+def union_corpora(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [read(spark, folder, t).select(F.lit(i).alias("src"), "row_id", "transliteration", "translation") for i, t in enumerate(("train", "extracted_pairs"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT pdf_name, min(row_id) AS first FROM publications GROUP BY pdf_name")
+def pdfs_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.unique_in_order(read(spark, folder, "publications"), "pdf_name")
+
+
+@query("SELECT min(row_id) AS row_id, pdf_name, page FROM publications GROUP BY pdf_name, page")
+def exact_dedup_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.keep_first(read(spark, folder, "publications"), ["pdf_name", "page"]).select("row_id", "pdf_name", "page")
+
+
+# --- features --------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def proper_noun_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return pipelines.frequencies(read(spark, folder, "train"), X.proper_nouns("transliteration"))
+
+
+@query()
+def sumerogram_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return pipelines.frequencies(read(spark, folder, "train"), X.sumerograms("transliteration"))
+
+
+@query(r"SELECT term, count(*) AS n FROM (SELECT trim(unnest(regexp_extract_all(transliteration, '\{[^}]+\}')), '{}') AS term FROM train) GROUP BY term")
+def determinative_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return pipelines.frequencies(read(spark, folder, "train"), X.determinatives("transliteration"))
+
+
+_SCORED = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, {_tokens("coalesce(text, '')")} AS w, length({_strip("coalesce(text, '')")}) AS n FROM documents)
+SELECT doc_id,
+round(CASE WHEN n < 10 THEN 0.0 ELSE least({_share(fixed.ENGLISH)} * 3 + {_share(fixed.TRADE)} * 2, 2.0) END, 6)::DOUBLE AS english,
+round(CASE WHEN n < 10 THEN 0.0 ELSE greatest({_share(fixed.GERMAN)} * 15, {_share(fixed.TURKISH)} * 20, {_share(fixed.FRENCH)} * 12) END, 6)::DOUBLE AS non_english
+FROM t"""
+
+
+@query(_SCORED)
+def language_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").select("doc_id", F.round(scoring.english_score("text"), 6).alias("english"), F.round(scoring.non_english_score("text"), 6).alias("non_english"))
+
+
+@query()
+def akkadian_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").select("doc_id", F.round(scoring.akkadian_score("text"), 6).alias("akkadian"))
+
+
+# --- alignment and parsing ---------------------------------------------------------------------------------------------------
+
+_ALIGNED = f"""WITH aid AS (SELECT DISTINCT oare_id FROM train_sentences WHERE oare_id IS NOT NULL),
+d AS (SELECT t.row_id, t.transliteration, t.translation, a.oare_id IS NOT NULL AS aided,
+ list_filter(list_transform(string_split(coalesce(transliteration, ''), chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS s,
+ list_filter(list_transform(regexp_split_to_array(coalesce(translation, ''), '[.\\n]'), lambda x: {_strip('x')}), lambda x: x <> '') AS g
+ FROM train t LEFT JOIN aid a USING (oare_id)),
+z AS (SELECT row_id, unnest(s) AS s, unnest(g) AS g, generate_subscripts(s, 1) AS k FROM d WHERE aided AND len(s) = len(g)),
+v AS (SELECT row_id, s, g, row_number() OVER (PARTITION BY row_id ORDER BY k) - 1 AS pair_no FROM z WHERE length(s) >= 3 AND length(g) >= 3 AND length(s)::DOUBLE / greatest(length(g), 1) <= 3.0)
+SELECT row_id, pair_no::INTEGER AS pair_no, s AS transliteration, g AS translation FROM v
+UNION ALL SELECT row_id, 0, transliteration, translation FROM d WHERE row_id NOT IN (SELECT row_id FROM v)"""
+
+
+@query(_ALIGNED)
+def align_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return align.align_corpus(read(spark, folder, "train"), read(spark, folder, "train_sentences")).select("row_id", "pair_no", "transliteration", "translation")
+
+
+@query()
+def page_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "publications").select("row_id", F.posexplode(parse.segments("page_text")).alias("segment_no", "segment"))
+
+
+@query()
+def parsed_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "publications").where("has_akkadian").select("row_id", ocr.correct("page_text").alias("page_text"))
+    return parse.extract_pairs(pages)
+
+
+# --- joins, lookups, duplicates ----------------------------------------------------------------------------------------------
+
+_PN = """pn AS (SELECT form, max_by(coalesce(norm, form), row_id) AS norm, max_by(coalesce(lexeme, norm, form), row_id) AS lexeme, max_by(type, row_id) AS type, min(row_id) AS pos
+ FROM oa_lexicon_ebl WHERE type IN ('PN', 'GN') AND form IS NOT NULL GROUP BY form)"""
+_BASE = rf"""base AS (SELECT base, arg_min(d, row_id) AS definition FROM (SELECT row_id, {_strip("regexp_replace(word, ' +(I|II|III|IV)$', '')")} AS base,
+ {_strip("regexp_replace(coalesce(definition, ''), '^" + chr(34) + "+|" + chr(34) + "+$', '', 'g')")} AS d FROM ebl_dictionary) WHERE base <> '' AND d <> '' GROUP BY base)"""
+_SG = """firsts AS (SELECT form, arg_min({'l': lexeme, 'n': norm}, row_id) AS e FROM oa_lexicon_ebl WHERE length(form) >= 2 AND upper(form) = form AND lower(form) <> form GROUP BY form),
+roots AS (SELECT form, e.l AS r, 0 AS k FROM firsts UNION ALL SELECT form, e.n, 10 FROM firsts),
+tried AS (SELECT form, unnest([r, r || 'u', r || 'um']) AS base, unnest([k, k + 1, k + 2]) AS p FROM roots WHERE r <> ''
+ UNION ALL SELECT form, unnest([left(r, length(r) - 1), left(r, length(r) - 1) || 'u', left(r, length(r) - 1) || 'um']), unnest([k + 3, k + 4, k + 5]) FROM roots WHERE r LIKE '%m' AND length(r) > 2),
+hit AS (SELECT form, arg_min(definition, p) AS d FROM tried JOIN base USING (base) GROUP BY form),
+sg AS (SELECT f.form, coalesce(h.d, f.e.n) AS definition FROM firsts f LEFT JOIN hit h USING (form))"""
+
+
+@query(f"WITH {_PN} SELECT * FROM pn")
+def name_table(spark: SparkSession, folder: str) -> DataFrame:
+    return lexicon.proper_noun_table(read(spark, folder, "oa_lexicon_ebl"))
+
+
+@query("SELECT word, max_by(definition, row_id) AS definition FROM ebl_dictionary WHERE definition <> '' AND word IS NOT NULL GROUP BY word")
+def dictionary_words(spark: SparkSession, folder: str) -> DataFrame:
+    return lexicon.dictionary_table(read(spark, folder, "ebl_dictionary"))
+
+
+@query(f"WITH {_BASE} SELECT * FROM base")
+def dictionary_bases(spark: SparkSession, folder: str) -> DataFrame:
+    return lexicon.base_table(read(spark, folder, "ebl_dictionary"))
+
+
+@query(f"WITH {_BASE}, {_SG} SELECT * FROM sg")
+def sumerogram_definitions(spark: SparkSession, folder: str) -> DataFrame:
+    return lexicon.sumerogram_table(read(spark, folder, "oa_lexicon_ebl"), read(spark, folder, "ebl_dictionary"))
+
+
+@query(f"WITH {_PN} SELECT c.ref_id, c.form, p.norm, p.lexeme, p.type, CASE WHEN p.form IS NOT NULL THEN 1.0::DOUBLE END AS similarity FROM canon_names c LEFT JOIN pn p USING (form)")
+def exact_name_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    terms = read(spark, folder, "canon_names").select("ref_id", "form")
+    return lexicon.lookup_exact(terms, "form", lexicon.proper_noun_table(read(spark, folder, "oa_lexicon_ebl")))
+
+
+@query()
+def fuzzy_name_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    terms = read(spark, folder, "canon_names").select("form")
+    return lexicon.fuzzy_matches(terms, "form", lexicon.proper_noun_table(read(spark, folder, "oa_lexicon_ebl")))
+
+
+@query(f"""WITH {_BASE}, {_SG}, w AS (SELECT row_id, form FROM oa_lexicon_ebl WHERE type = 'word')
+SELECT w.row_id, w.form, coalesce(a.definition, b.definition) AS definition FROM w LEFT JOIN sg a ON a.form = w.form LEFT JOIN sg b ON b.form = replace(w.form, '.', '')""")
+def sumerogram_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    lex = read(spark, folder, "oa_lexicon_ebl")
+    return lexicon.lookup_sumerograms(lex.where("type = 'word'").select("row_id", "form"), "form", lexicon.sumerogram_table(lex, read(spark, folder, "ebl_dictionary")))
+
+
+@query("""SELECT w.row_id, w.lexeme, d.definition FROM oa_lexicon_ebl w LEFT JOIN (SELECT word, max_by(definition, row_id) AS definition FROM ebl_dictionary
+ WHERE definition <> '' AND word IS NOT NULL GROUP BY word) d ON d.word = w.lexeme WHERE w.lexeme IS NOT NULL""")
+def dictionary_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    terms = read(spark, folder, "oa_lexicon_ebl").where("lexeme is not null").select("row_id", "lexeme")
+    return lexicon.lookup_dictionary(terms, "lexeme", read(spark, folder, "ebl_dictionary"))
+
+
+@query(f"""WITH {_PN}, {_BASE}, {_SG} SELECT (SELECT count(*) FROM pn) AS proper_nouns, (SELECT count(*) FROM sg WHERE definition <> '') AS sumerograms,
+(SELECT count(DISTINCT word) FROM ebl_dictionary WHERE definition <> '') AS dictionary""")
+def lexicon_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return lexicon.lexicon_stats(read(spark, folder, "oa_lexicon_ebl"), read(spark, folder, "ebl_dictionary"))
+
+
+_GRAMS = f"""keyed AS (SELECT t, row_id, {_key('x')} AS k FROM texts),
+g AS MATERIALIZED (SELECT DISTINCT t, row_id, substr(k, i, 3) AS g FROM (SELECT t, row_id, k, unnest(range(1, length(k) - 1)) AS i FROM keyed WHERE length(k) >= 3)),
+n AS MATERIALIZED (SELECT t, row_id, count(*) AS n FROM g GROUP BY ALL)"""
+
+
+@query(f"""WITH texts AS (SELECT 0 AS t, row_id, transliteration AS x FROM extracted_pairs UNION ALL SELECT 1, row_id, transliteration FROM train_sentences), {_GRAMS},
+hit AS (SELECT a.row_id FROM g a JOIN g b ON a.g = b.g AND a.t = 0 AND b.t = 1 JOIN n x ON x.t = 0 AND x.row_id = a.row_id JOIN n y ON y.t = 1 AND y.row_id = b.row_id
+ GROUP BY a.row_id, b.row_id, x.n, y.n HAVING count(*)::DOUBLE / (x.n + y.n - count(*)) >= 0.7)
+SELECT row_id AS id FROM (SELECT row_id FROM hit UNION SELECT row_id FROM keyed WHERE t = 0 AND length(k) < 3)""")
+def existing_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.existing_duplicates(read(spark, folder, "extracted_pairs"), read(spark, folder, "train_sentences"), "transliteration").distinct()
+
+
+@query(f"""WITH RECURSIVE texts AS (SELECT 0 AS t, row_id, transliteration AS x FROM extracted_pairs), {_GRAMS},
+e AS MATERIALIZED (SELECT a.row_id AS a, b.row_id AS b FROM g a JOIN g b ON a.g = b.g AND a.row_id < b.row_id JOIN n x ON x.row_id = a.row_id JOIN n y ON y.row_id = b.row_id
+ GROUP BY a.row_id, b.row_id, x.n, y.n HAVING count(*)::DOUBLE / (x.n + y.n - count(*)) >= 0.7),
+later AS (SELECT b, list(a) AS before FROM e GROUP BY b),
+o AS MATERIALIZED (SELECT b, before, row_number() OVER (ORDER BY b) AS k FROM later),
+r(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT r.k + 1, CASE WHEN len(list_filter(o.before, lambda x: NOT list_contains(r.gone, x))) > 0 THEN list_append(r.gone, o.b) ELSE r.gone END FROM r JOIN o ON o.k = r.k + 1)
+SELECT row_id FROM n WHERE NOT list_contains((SELECT gone FROM r ORDER BY k DESC LIMIT 1), row_id)""")
+def near_dedup_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.near_dedup(read(spark, folder, "extracted_pairs"), "transliteration").select("row_id")
+
+
+# --- vectors -------------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT query_id, id, distance, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, d AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY d, v.vec_id)::INTEGER AS rank
+ FROM (SELECT q.vec_id AS qi, v.vec_id AS vi, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)), 6) AS d
+  FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) x JOIN embeddings q ON q.vec_id = x.qi JOIN embeddings v ON v.vec_id = x.vi) WHERE rank <= 5""")
+def knn_topk(spark: SparkSession, folder: str) -> DataFrame:
+    v = read(spark, folder, "embeddings").select("vec_id", "embedding")
+    return vector.search(v.where("vec_id % 20 = 0"), v, 5).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query()
+def knn_ivf(spark: SparkSession, folder: str) -> DataFrame:
+    v = read(spark, folder, "embeddings").select("vec_id", "embedding")
+    index, centers = vector.build_ivf(v)
+    return vector.search_ivf(v.where("vec_id % 20 = 0"), index, centers, 5, nprobe=max(1, len(centers) // 2))
+
+
+@query()
+def query_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    lex = read(spark, folder, "oa_lexicon_ebl")
+    return lexicon.query_context(read(spark, folder, "train_sentences"), lexicon.proper_noun_table(lex), lexicon.sumerogram_table(lex, read(spark, folder, "ebl_dictionary")))
+
+
+@query()
+def prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """A lexicon section and the text of each passage, within the budget."""
+    lex, rows = read(spark, folder, "oa_lexicon_ebl"), read(spark, folder, "train_sentences")
+    section = context.lexicon_section(rows, lexicon.proper_noun_table(lex), lexicon.sumerogram_table(lex, read(spark, folder, "ebl_dictionary")))
+    none = F.lit(None).cast("string")
+    return rows.join(section, "row_id", "left").select("row_id", context.assemble(F.col("lexicon"), none, F.col("transliteration")).alias("prompt"))
+
+
+def _assembled(budget: int) -> str:
+    rest = f"({budget} - length(l) - 4)"
+    half = f"CAST(floor({rest} / 2) AS BIGINT)"
+    cut = lambda s, n: f"CASE WHEN {n} >= 0 THEN left({s}, {n}) ELSE left({s}, greatest(length({s}) + {n}, 0)) END"
+    return f"""WITH p AS (SELECT row_id, coalesce(transliteration, '') AS a, coalesce(translation, '') AS b, 'Translate: ' || coalesce(source_pdf, '') AS l FROM extracted_pairs),
+w AS (SELECT *, list_filter([a, b, l], lambda x: x <> '') AS parts FROM p), v AS (SELECT *, array_to_string(parts, chr(10) || chr(10)) AS whole, len(parts) AS n FROM w)
+SELECT row_id, CASE WHEN length(whole) <= {budget} THEN whole WHEN n = 1 THEN left(whole, {budget})
+ WHEN n = 2 THEN {cut('parts[1]', rest)} || chr(10) || chr(10) || l
+ ELSE {cut('parts[1]', half)} || chr(10) || chr(10) || {cut('parts[2]', half)} || chr(10) || chr(10) || l END AS prompt FROM v"""
+
+
+@query(_assembled(400))
+def assembled(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "extracted_pairs").select("row_id", context.assemble(T.text("transliteration"), T.text("translation"), F.col("source_pdf"), 400).alias("prompt"))
+
+
+# --- metrics -------------------------------------------------------------------------------------------------------------------
+
+
+def _evaluated(spark: SparkSession, folder: str) -> DataFrame:
+    """The passages of both tables side by side, by number."""
+    e, s = (read(spark, folder, t).select("row_id", "transliteration", F.col("translation").alias(c)) for t, c in (("extracted_pairs", "hypothesis"), ("train_sentences", "reference")))
+    return e.join(s.select("row_id", "reference"), "row_id")
+
+
+@query()
+def corpus_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.all_metrics(_evaluated(spark, folder), "hypothesis", "reference", "transliteration")
+
+
+@query(rf"""WITH r AS (SELECT row_id, regexp_replace(coalesce(e.translation, ''), '{_S}', '', 'g') AS h, regexp_replace(coalesce(s.translation, ''), '{_S}', '', 'g') AS f
+ FROM extracted_pairs e JOIN train_sentences s USING (row_id)),
+o AS (SELECT unnest(range(1, 7)) AS n),
+c AS (SELECT row_id, n, g, sum(a) AS a, sum(b) AS b FROM (
+ SELECT row_id, n, substr(h, i, n) AS g, 1 AS a, 0 AS b FROM (SELECT row_id, h, n, unnest(range(1, length(h) - n + 2)) AS i FROM r, o WHERE length(h) >= n)
+ UNION ALL SELECT row_id, n, substr(f, i, n), 0, 1 FROM (SELECT row_id, f, n, unnest(range(1, length(f) - n + 2)) AS i FROM r, o WHERE length(f) >= n)) GROUP BY ALL),
+t AS (SELECT n, sum(least(a, b))::DOUBLE AS m, sum(a) AS a, sum(b) AS b FROM c GROUP BY n HAVING sum(a) > 0 AND sum(b) > 0),
+q AS (SELECT avg(m / a) AS p, avg(m / b) AS r FROM t)
+SELECT round(100 * coalesce(CASE WHEN p + r > 0 THEN 5 * p * r / (4 * p + r) ELSE 0.0 END, 0), 6)::DOUBLE AS chrf FROM q""")
+def chrf_score(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.chrf(_evaluated(spark, folder), "hypothesis", "reference")
+
+
+# --- samples, splits, augmentation, submission ---------------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT count(*) AS n, ceil(count(*) * 0.1 - 1e-9)::BIGINT AS t FROM train), v AS (SELECT n, t, ceil((n - t) * (0.1 / 0.9) - 1e-9)::BIGINT AS v FROM n)
+SELECT unnest(['train', 'val', 'test']) AS split, unnest([n - t - v, v, t])::BIGINT AS n FROM v""")
+def split_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return sample.random_split(read(spark, folder, "train")).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query()
+def sampled_pdfs(spark: SparkSession, folder: str) -> DataFrame:
+    return sample.sample_groups(read(spark, folder, "publications"), "pdf_name", 5).select("row_id", "pdf_name")
+
+
+@query()
+def sampled_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return sample.sample_rows(read(spark, folder, "train"), 100).select("row_id")
+
+
+@query()
+def augmented(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "train_sentences").select("row_id", "transliteration")
+    return augment.augment(rows, factor=2, gap_prob=0.3)
+
+
+@query("""SELECT t.row_id AS id, coalesce(p.translation, '') AS translation FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) AS k FROM train) t
+ JOIN (SELECT translation, row_number() OVER (ORDER BY row_id DESC) AS k FROM train) p USING (k)""")
+def zipped_submission(spark: SparkSession, folder: str) -> DataFrame:
+    train = read(spark, folder, "train")
+    predictions = train.select((-F.col("row_id")).alias("row_id"), F.col("translation").alias("prediction"))
+    return submit.zip_predictions(train.select(F.col("row_id").alias("id")), predictions)
+
+
+@query("""SELECT count(*) AS n_rows, count(*) FILTER (source_page IS NULL) = 0 AS valid, count(*) FILTER (source_page IS NULL) AS null_ids, count(*) FILTER (translation IS NULL) AS null_texts,
+0::BIGINT AS non_integer_ids, '' AS missing_columns FROM extracted_pairs""")
+def validated_submission(spark: SparkSession, folder: str) -> DataFrame:
+    return submit.validate_submission(read(spark, folder, "extracted_pairs").select(F.col("source_page").alias("id"), "translation"))
+
+
+@query("SELECT row_id, list_append(list_transform(range(1, least(octet_length(encode(x)), 511) + 1), lambda i: (('0x' || substr(hex(encode(x)), 2 * i - 1, 2))::INTEGER + 3)::INTEGER), 1::INTEGER)::INTEGER[] AS ids FROM (SELECT row_id, coalesce(translation, '') AS x FROM train_sentences)")
+def byte_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "train_sentences").select("row_id", models.byte_ids("translation").alias("ids"))
+
+
+# --- pipelines -------------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def pipeline_publications(spark: SparkSession, folder: str) -> DataFrame:
+    return pipelines.extract_publications(read(spark, folder, "publications"), read(spark, folder, "combined_corpus"))
+
+
+@query(f"SELECT row_id, {_normalize('transliteration')} AS transliteration, coalesce(translation, '') AS translation FROM train")
+def pipeline_preprocess(spark: SparkSession, folder: str) -> DataFrame:
+    return pipelines.preprocess(read(spark, folder, "train"))[0].select("row_id", "transliteration", "translation")
+
