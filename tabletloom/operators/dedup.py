@@ -1,7 +1,6 @@
 """Exact and near duplicates.
 
-The similarity join is exact: an all-pairs prefix filter over trigrams in order of rarity, with bounds on sizes and
-positions, joins only the rare trigrams of each distinct set; candidates are verified by their whole sets.
+Near duplicates are found by the exact similarity join of ``simjoin`` over the distinct trigram sets.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabletloom.functions.text import dedup_key, trigrams
+from tabletloom.operators.simjoin import join_sets
 from tabletloom.session import cut
 
 THRESHOLD = 0.7
@@ -38,38 +38,11 @@ def trigram_sets(df: DataFrame, column: str, order: str = "row_id") -> DataFrame
     return df.select(F.col(order).alias("id"), grams.alias("grams")).where("size(grams) > 0").withColumn("sid", F.xxhash64("grams"))
 
 
-def _ranked(sets: DataFrame, rank: DataFrame) -> DataFrame:
-    """(sid, toks, n): each distinct set as numbers in order of rarity."""
-    flat = sets.select("sid", F.explode("grams").alias("g")).join(rank, "g")
-    return flat.groupBy("sid").agg(F.array_sort(F.collect_list("r")).alias("toks")).withColumn("n", F.size("toks"))
-
-
-def _rank(sets: DataFrame) -> DataFrame:
-    """A number of each trigram, ascending with its frequency: frequency first, then the trigram's hash."""
-    counts = sets.select(F.explode("grams").alias("g")).groupBy("g").count()
-    return counts.select("g", (F.shiftleft(F.least(F.col("count"), F.lit(2**30)), 32) + F.pmod(F.xxhash64("g"), F.lit(2**32))).alias("r"))
-
-
 def similar_sets(left: DataFrame, right: DataFrame | None, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b) of different sets with Jaccard similarity of at least ``threshold``: of left and right, or within left."""
-    distinct = lambda x: x.select("sid", "grams").dropDuplicates(["sid"])
-    a = distinct(left)
-    b = a if right is None else distinct(right)
-    rank = cut(_rank(a if right is None else a.unionByName(b).dropDuplicates(["sid"])))
-    x = cut(_ranked(a, rank))
-    y = x if right is None else cut(_ranked(b, rank))
-
-    def prefix(s: DataFrame, name: str) -> DataFrame:
-        keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-        return s.select(F.col("sid").alias(name), F.col("n").alias(f"n{name}"), F.posexplode(F.slice("toks", F.lit(1), keep.cast("int"))).alias(f"p{name}", "tok"))
-
-    na, nb = F.col("na"), F.col("nb")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (na + nb) - 1e-9)
-    near = (na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9) & (1 + F.least(na - F.col("pa") - 1, nb - F.col("pb") - 1) + F.least("pa", "pb") >= need)
-    c = prefix(x, "a").join(prefix(y, "b"), "tok").where(near & ((F.col("a") < F.col("b")) if right is None else (F.col("a") != F.col("b"))))
-    c = c.select("a", "b").distinct()
-    t = lambda s, name: s.select(F.col("sid").alias(name), F.col("toks").alias(f"t{name}"))
-    return c.join(t(x, "a"), "a").join(t(y, "b"), "b").where(jaccard(F.col("ta"), F.col("tb")) >= threshold).select("a", "b")
+    side = lambda df, k: df.select("sid", F.lit(k).cast("tinyint").alias("side"), F.col("grams").alias("elems")).dropDuplicates(["sid"])
+    sets = side(left, 0) if right is None else side(left, 0).union(side(right, 1))
+    return join_sets(cut(sets), threshold, two=right is not None)
 
 
 def existing_duplicates(new: DataFrame, existing: DataFrame, column: str, threshold: float = THRESHOLD, order: str = "row_id") -> DataFrame:
