@@ -24,8 +24,7 @@ def akkadian_score(c: Column | str) -> Column:
 
 
 def _share(words: Column, known: list[str]) -> Column:
-    listed = F.array(*map(F.lit, known))
-    return F.size(F.filter(words, lambda w: F.array_contains(listed, w))) / F.greatest(F.size(words), F.lit(1))
+    return F.size(F.filter(words, lambda w: w.isin(*known))) / F.greatest(F.size(words), F.lit(1))
 
 
 def english_score(c: Column | str) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,19 +27,26 @@ def tokens_13a(c: Column) -> Column:
     return F.filter(F.split(s, f"{SPACE}+"), lambda x: x != "")
 
 
-def _grams(toks: Column, n: int, sep: str) -> Column:
-    at = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(toks, i, F.lit(n)), sep))
+def _overlap(df: DataFrame, hyp: Column, refs: list[Column], orders: int) -> DataFrame:
+    """(n, matched, hyp, ref): corpus sums of clipped n-gram counts of each order; n-grams never leave their row."""
+    rows = df.select(hyp.alias("h"), F.array(*refs).alias("r"))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matched, of_h, of_r = ([0] * orders for _ in range(3))
+        grams = lambda x, n: Counter(zip(*(x[k:] for k in range(n)), strict=False)) if n > 1 else Counter(x)
+        for batch in batches:
+            for h, refs_ in zip(batch.column("h").to_pylist(), batch.column("r").to_pylist(), strict=True):
+                for n in range(1, orders + 1):
+                    of_h[n - 1] += max(0, len(h) - n + 1)
+                    of_r[n - 1] += max(0, len(refs_[0]) - n + 1)
+                    most: Counter = Counter()
+                    for r in refs_:
+                        most |= grams(r, n)
+                    matched[n - 1] += sum((grams(h, n) & most).values())
+        yield pa.RecordBatch.from_arrays([pa.array(range(1, orders + 1), pa.int32()), *(pa.array(x, pa.int64()) for x in (matched, of_h, of_r))], names=["n", "matched", "hyp", "ref"])
 
-def _overlap(df: DataFrame, hyp: Column, refs: list[Column], orders: int, sep: str) -> DataFrame:
-    """(n, matched, in hypotheses, in first references): corpus sums of clipped n-gram counts of each order."""
-    rows = df.select(F.monotonically_increasing_id().alias("_i"), hyp.alias("_h"), *(r.alias(f"_r{k}") for k, r in enumerate(refs)))
-    one = lambda name, side, n: F.transform(_grams(F.col(name), n, sep), lambda g: F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), g.alias("g")))
-    grams = F.concat(*(one(name, side, n) for side, name in ((0, "_h"), *((k + 1, f"_r{k}") for k in range(len(refs)))) for n in range(1, orders + 1)))
-    counts = rows.select("_i", F.explode(grams).alias("x")).select("_i", "x.*").groupBy("_i", "n", "g").agg(*(F.count_if(F.col("side") == k).alias(f"c{k}") for k in range(len(refs) + 1)))
-    most = F.greatest(*(F.col(f"c{k + 1}") for k in range(len(refs)))) if len(refs) > 1 else F.col("c1")
-    return counts.groupBy("n").agg(F.sum(F.least("c0", most)).alias("matched"), F.sum("c0").alias("hyp"), F.sum("c1").alias("ref"))
+    counts = rows.mapInArrow(count, "n int, matched long, hyp long, ref long")
+    return counts.groupBy("n").agg(F.sum("matched").alias("matched"), F.sum("hyp").alias("hyp"), F.sum("ref").alias("ref"))
 
 
 def _closest(h: Column, lengths: list[Column]) -> Column:
@@ -49,7 +59,7 @@ def bleu(df: DataFrame, hypothesis: str, references: list[str]) -> DataFrame:
     h, refs = tokens_13a(text(hypothesis)), [tokens_13a(text(r)) for r in references]
     lengths = df.select(F.size(h).alias("h"), F.array(*(F.size(r) for r in refs)).alias("r")).select("h", _closest(F.col("h"), [F.col("r")[k] for k in range(len(refs))]).alias("r"))
     size = lengths.agg(F.coalesce(F.sum("h"), F.lit(0)).alias("hyp_len"), F.coalesce(F.sum("r"), F.lit(0)).alias("ref_len"))
-    sums = _overlap(df, h, refs, 4, " ").groupBy().agg(*(F.coalesce(F.max(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}") for n in range(1, 5) for c in ("matched", "hyp")))
+    sums = _overlap(df, h, refs, 4).groupBy().agg(*(F.coalesce(F.max(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}") for n in range(1, 5) for c in ("matched", "hyp")))
     one = size.join(sums)  # of one row each
     p, zeros = [], F.lit(0)
     for n in range(1, 5):
@@ -65,8 +75,8 @@ def bleu(df: DataFrame, hypothesis: str, references: list[str]) -> DataFrame:
 
 def chrf(df: DataFrame, hypothesis: str, reference: str, order: int = 6, beta: float = 2.0) -> DataFrame:
     """One row (chrf): character n-gram F-score in percent, white space left out."""
-    chars = lambda c: F.filter(F.split(F.regexp_replace(text(c), SPACE, ""), ""), lambda x: x != "")
-    sums = _overlap(df, chars(hypothesis), [chars(reference)], order, "").where("hyp > 0 and ref > 0")
+    chars = lambda c: F.regexp_replace(text(c), SPACE, "")
+    sums = _overlap(df, chars(hypothesis), [chars(reference)], order).where("hyp > 0 and ref > 0")
     avg = sums.agg(F.avg(F.col("matched") / F.col("hyp")).alias("p"), F.avg(F.col("matched") / F.col("ref")).alias("r"))
     b = beta * beta
     f = F.when((F.col("p") + F.col("r")) > 0, (1 + b) * F.col("p") * F.col("r") / (b * F.col("p") + F.col("r"))).otherwise(0.0)

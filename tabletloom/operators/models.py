@@ -46,9 +46,10 @@ def predict(df: DataFrame, column: str, make: Callable[[], Callable[[list[str]],
 
 def byte_ids(column: str, limit: int = 512):  # noqa: ANN201
     """UTF-8 bytes as ids, cut to ``limit`` with the end mark."""
-    raw = F.hex(F.encode(text(column), "UTF-8"))
-    every = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.least((F.length(raw) / 2).cast("int"), F.lit(limit - 1)) - 1, F.lit(0))), lambda i: F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + SHIFT), lambda x: x.isNotNull())
-    return F.concat(F.when(F.length(raw) > 0, every).otherwise(F.array().cast("array<int>")), F.array(F.lit(END)))
+    raw = F.encode(text(column), "UTF-8")
+    n = F.least(F.octet_length(raw), F.lit(limit - 1))
+    every = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int") + SHIFT)
+    return F.concat(F.when(n > 0, every).otherwise(F.array().cast("array<int>")), F.array(F.lit(END)))
 
 
 def retry(call: Callable[[], R], tries: int = 3, wait: float = 5.0, sleep: Callable[[float], Any] = time.sleep) -> R:
