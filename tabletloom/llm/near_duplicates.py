@@ -82,14 +82,14 @@ def table_rows(tables: dict[str, DataFrame], column: str, id_column: str = "row_
     for name, df in tables.items():
         one = df.select(F.lit(name).alias("tbl"), F.col(id_column).cast("long").alias("row_id"), F.lit(0).cast("tinyint").alias("flag"), F.lit(0).cast("tinyint").alias("side"), F.col(column).cast("string").alias("text"))
         out = one if out is None else out.unionByName(one)
-    return out.where("text is not null")
+    return out.where("text is not null and row_id is not null")
 
 
 def near_duplicate_links(tables: dict[str, DataFrame], column: str, threshold: float = 0.7, id_column: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """Links between classes of equal keys, and the membership: (a, b, jaccard) and (tbl, row_id, cls).
 
-    Null texts and texts of fewer than three characters without white space and ``!?.`` belong to no class and
-    have no link. Repeated rows share a class; extra columns and columns of clashing names are ignored; empty tables
+    Null texts, rows with a null id, and texts of fewer than three characters without white space and ``!?.`` belong to
+    no class and have no link. Repeated rows share a class; extra columns and columns of clashing names are ignored; empty tables
     give empty results.
     """
     rows = table_rows(tables, column, id_column)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,14 +61,18 @@ def pack(sized: DataFrame, rows: int, capacity: int, id_column: str = "doc_id",
     narrow = sized.select(F.col(id_column).alias("id"), F.coalesce(F.col(size_column), F.lit(0)).cast("long").alias("size"))
     keyed = narrow.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "size"], kind="stable", ignore_index=True)
-        placed = pd.DataFrame(best_fit(pdf["size"].tolist(), capacity, open_bins), columns=["item", "begin", "size", "container"], dtype="int64")
-        placed["container"] += int(key[0]) << 40
-        out = pd.DataFrame({"item": pdf.index, "id": pdf["id"]}).merge(placed, on="item", how="left").sort_values(["item", "begin"], kind="stable")
-        out["piece_no"] = out.groupby("item").cumcount() + 1
-        out[["begin", "size"]] = out[["begin", "size"]].fillna(0)
-        return out.astype({"begin": "int64", "size": "int64", "container": "Int64"})[["id", "piece_no", "begin", "size", "container"]]
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("id", "ascending"), ("size", "ascending")])
+        sizes = table.column("size").to_pylist()
+        rows = [(i, b, n, c + (key[0].as_py() << 40)) for i, b, n, c in best_fit(sizes, capacity, open_bins)]
+        rows += [(i, 0, 0, None) for i, n in enumerate(sizes) if not n]
+        rows.sort(key=lambda r: r[:2])
+        item = [r[0] for r in rows]
+        piece = [1 if not k or item[k - 1] != i else 0 for k, i in enumerate(item)]
+        for k, first in enumerate(piece):
+            piece[k] = 1 if first else piece[k - 1] + 1
+        columns = [table.column("id").combine_chunks().take(pa.array(item, pa.int64())), *(pa.array(x, pa.int64()) for x in (piece, *([r[j] for r in rows] for j in (1, 2, 3))))]
+        return pa.Table.from_arrays(columns, names=["id", "piece_no", "begin", "size", "container"])
 
     id_type = narrow.schema["id"].dataType.simpleString()
-    return keyed.groupBy("shard").applyInPandas(run, f"id {id_type}, piece_no long, begin long, size long, container long").withColumnRenamed("id", id_column)
+    return keyed.groupBy("shard").applyInArrow(run, f"id {id_type}, piece_no long, begin long, size long, container long").withColumnRenamed("id", id_column)
