@@ -126,7 +126,7 @@ def fuzzy_matches(terms: DataFrame, column: str, names: DataFrame, threshold: fl
                 pdf["similarity"] = [difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() for a, b in zip(pdf["term"], pdf["form"], strict=True)]
                 yield pdf[pdf["similarity"] >= threshold]
 
-        lengths = F.sequence(F.ceil(F.length("term") * (threshold / (2 - threshold))).cast("int"), F.floor(F.length("term") * ((2 - threshold) / threshold)).cast("int"))
+        lengths = F.sequence(F.ceil(F.length("term") * (threshold / (2 - threshold)) - 1e-9).cast("int"), F.floor(F.length("term") * ((2 - threshold) / threshold) + 1e-9).cast("int"))
         a = missing.select("term", F.explode(lengths).alias("len"))
         pairs = a.join(t.select("form", "pos", F.length("form").alias("len")), "len").select("term", "form", "pos").mapInPandas(ratios, "term string, form string, pos long, similarity double")
         w = Window.partitionBy("term").orderBy(F.desc("similarity"), "pos")
