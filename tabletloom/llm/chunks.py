@@ -37,7 +37,7 @@ def atoms(text: str, begin: int, end: int, room: int, level: int = 0) -> Iterato
             return
     while end - begin > room:
         cut = begin + room
-        while cut > begin + room // 2 and unicodedata.combining(text[cut]):  # marks stay with their letter
+        while cut > begin + max(1, room // 2) and unicodedata.combining(text[cut]):  # marks stay with their letter
             cut -= 1
         yield cut
         begin = cut

@@ -92,13 +92,15 @@ def consistent(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if not total:
         return out, row
     cls = ccc[out]
-    mark = (cls > 0) & np.r_[False, row[1:] == row[:-1]]  # a mark at a row's start has nothing to stand on
+    mark = cls > 0
     if not mark.any():
         return out, row
-    base = np.cumsum(~mark) - 1  # index of the starter that a mark belongs to
+    # a group is a starter with its marks, or marks at a row's start, which have nothing to stand on
+    opens = ~mark | np.r_[True, row[1:] != row[:-1]]
+    base = np.cumsum(opens) - 1
     order = np.lexsort((np.where(mark, cls, 0), base))
-    out, row, cls, mark = out[order], row[order], cls[order], mark[order]
-    at = np.flatnonzero(~mark)  # positions of the starters
+    out, row, cls = out[order], row[order], cls[order]
+    at = np.flatnonzero(opens)
     nth = np.arange(total) - at[base]  # 0 for starters, k for their k-th mark
     letter = out[at].astype(np.int64)
     kept_class = np.zeros(len(at), np.uint8)
