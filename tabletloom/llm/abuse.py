@@ -1,7 +1,7 @@
 """Problem 10: abusive, hateful or sexual passages, found by maximum-scoring segments of token log-odds.
 
-Words and word pairs get the log-odds of standing in abusive rather than other text, with Dirichlet priors of the
-corpus-wide frequencies. Minus a drift, these are scores that are negative on average, so that the maximal-scoring
+Words and word pairs get the log-odds that one of their tokens stands in abusive text, with Dirichlet priors whose
+strength follows the corpus-wide frequencies. Minus a drift, these are scores that are negative on average, so that the maximal-scoring
 segments of a document (one linear scan) are its candidate passages. The best segment of clean labelled documents
 follows an extreme-value law in the logarithm of the length; a passage's p-value under it decides.
 """
@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that the model is fitted on at most (those of least hash, so that it is a fixed sample).
 LABELLED = 20_000
+#: Share of abusive tokens before anything is seen, and the least and greatest score of a token.
+PRIOR, BOUNDS, DRIFT = 0.1, (-0.5, 4.0), 0.5
+#: Weight of the prior, and how it follows the frequency expected in the sample from that in the corpus.
+STRENGTH = (0.1, 0.02)
 # Signs that stand for letters in evasive spelling.
 _EVASIVE = str.maketrans("013457@$!|€", "oieastasiie")
 _WORD = re.compile(r"\b(?:[^\W\d_] ){2,}[^\W\d_]\b|[\w@$][\w@$*!|€'’]*[\w@$*|€]|[\w@$]|!{2,}")
@@ -82,7 +86,7 @@ def maximal_segments(scores: np.ndarray | list[float]) -> list[tuple[int, int, f
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
-    drift: float = 0.7
+    drift: float = DRIFT
     base: float = 0.0  # score from which on the tail of clean documents' best segments is exponential
     share: float = 1.0  # of clean documents beyond it
     scale: float = 1.0
@@ -112,7 +116,8 @@ class Model:
 
 
 def token_score(single: float, pair: float, drift: float) -> float:
-    return max(-3.0, min(6.0, (single + pair) / 2)) - drift
+    lo, hi = BOUNDS
+    return (max(lo, min(hi, single)) + max(lo, min(hi, pair))) / 2 - drift
 
 
 def sample_features(texts: list[str]) -> set[str]:
@@ -156,18 +161,16 @@ class _Coded:
             mine[ids] = True
             yes = np.bincount(ids[on & inside], minlength=n).astype(float)
             no = np.bincount(ids[on & ~inside], minlength=n).astype(float)
-            strength = max(50.0, 0.5 * yes.sum())
-            a = np.maximum(self.prior * mine / max(1.0, self.prior[mine].sum()) * strength, 0.01)
-            x, y = yes + a, no + a
-            d = np.log(x / np.maximum(yes.sum() + strength - x, 1)) - np.log(y / np.maximum(no.sum() + strength - y, 1))
+            usual = self.prior * mine / max(1.0, self.prior[mine].sum()) * (yes.sum() + no.sum())  # expected in the sample
+            strength = STRENGTH[0] + STRENGTH[1] * usual
             here = mine & (yes + no > 0)
-            out[here], seen[here] = d[here], True
+            out[here], seen[here] = np.log((yes + PRIOR * strength) / (no + (1 - PRIOR) * strength))[here], True
         return out, seen
 
     def scores(self, weights: np.ndarray, seen: np.ndarray, drift: float) -> np.ndarray:
         u = weights[self.uni]
         b = np.where(seen[self.bi], weights[self.bi], 0.5 * u)
-        return np.clip((u + b) / 2, -3.0, 6.0) - drift
+        return (np.clip(u, *BOUNDS) + np.clip(b, *BOUNDS)) / 2 - drift
 
     def segments(self, scores: np.ndarray, docs: np.ndarray) -> dict[int, list[tuple[int, int, float]]]:
         return {int(i): maximal_segments(scores[self.start[i] : self.start[i + 1]].tolist()) for i in docs}
@@ -181,12 +184,12 @@ def _train(c: _Coded, flagged: np.ndarray, used: np.ndarray, rounds: int, drift:
         for i, found in c.segments(c.scores(weights, seen, drift), np.flatnonzero(flagged & used)).items():
             best = max((s for _, _, s in found), default=0.0)
             for a, b, s in found:
-                if s >= 0.5 * best and s > 4:
+                if s >= 0.3 * best and s > 1.5:
                     inside[c.start[i] + a : c.start[i] + b] = True
     return weights, seen
 
 
-def fit(texts: list[str], flagged: list[int], corpus: dict[str, int] | None = None, rounds: int = 3, drift: float = 0.7, folds: int = 2, level: float = 1e-3) -> Model:
+def fit(texts: list[str], flagged: list[int], corpus: dict[str, int] | None = None, rounds: int = 3, drift: float = DRIFT, folds: int = 2, level: float = 1e-4) -> Model:
     """The model of labelled texts. The first round takes flagged documents as abusive throughout; later rounds only
     their best segments, so that the neutral text around them counts as other text. ``corpus`` has corpus-wide counts of
     the features, the base of the priors. The law of clean documents' best segments and the p-value that parts flagged
