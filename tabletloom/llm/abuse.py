@@ -253,8 +253,8 @@ def fit_tables(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id
     A document with several verdicts has the latest decided one; undecided ones count as no label.
     """
     verdict = labels.where("flagged is not null").groupBy(F.col(id_column).alias("k")).agg(F.max_by("flagged", F.struct("reviewed_at", "flagged")).alias("flagged"))
-    chosen = verdict.orderBy(F.xxhash64("k"), "k").limit(labelled)
-    got = documents.select(F.col(id_column).alias("k"), F.col(text_column).cast("string").alias("text")).join(chosen, "k").groupBy("k").agg(F.min("text").alias("text"), F.max("flagged").alias("flagged")).toArrow()
+    chosen = verdict.orderBy(F.xxhash64("k"), "k").limit(labelled)  # so many rows at most, so it can be broadcast
+    got = documents.select(F.col(id_column).alias("k"), F.col(text_column).cast("string").alias("text")).join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("text").alias("text"), F.max("flagged").alias("flagged")).toArrow()
     rows = sorted(zip(got.column("k").to_pylist(), got.column("text").to_pylist(), got.column("flagged").to_pylist(), strict=True))
     texts, flagged = [r[1] for r in rows], [r[2] for r in rows]
     return fit(texts, flagged, features_counted(documents, text_column, sample_features(texts)) if texts else None)

@@ -96,6 +96,13 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_counts(_read(spark, folder, "combined_corpus"))
 
 
+def p6_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each record outside train that reappears: its best match and the share of it in shared spans."""
+    from tabletloom.llm.split_overlap import overlap_coverage
+
+    return overlap_coverage(_read(spark, folder, "combined_corpus"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     from tabletloom.llm.bitext import align
 
@@ -145,4 +152,4 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("abusive").alias("abusive"), F.avg(F.col("abusive").cast("int")).alias("rate"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_unmatched, p3_found, p3_groups, p4_found, p4_paragraphs, p5_found, p5_pieces, p6_found, p6_counts, p7_found, p8_ids, p9_packed, p9_fill, p10_found, p10_scores, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_unmatched, p3_found, p3_groups, p4_found, p4_paragraphs, p5_found, p5_pieces, p6_found, p6_counts, p6_coverage, p7_found, p8_ids, p9_packed, p9_fill, p10_found, p10_scores, p10_rates)}

@@ -205,3 +205,18 @@ def test_overlaps_are_all_alike_cross_pairs(spark, monkeypatch):
     counts = split_overlap.overlap_counts(df).collect()
     assert sum(r["overlapping"] for r in counts) == len({(s, o) for s, _, o in got})
     assert split_overlap.overlaps(df.limit(0)).count() == 0
+    best = {(r["side"], r["other_id"]): r for r in split_overlap.overlap_coverage(df).collect()}
+    assert set(best) == {(s, o) for s, _, o in got}
+    assert all(0 <= r["coverage"] <= 1 and (r["jaccard"] < 1 or r["coverage"] > 0) for r in best.values())
+    assert split_overlap.overlap_coverage(df.limit(0)).count() == 0
+
+
+def test_shared_spans_are_those_of_brute_force():
+    def covered(x, y, least):
+        inside = {k for i in range(len(x) - least + 1) if x[i : i + least] in y for k in range(i, i + least)}
+        return len(inside)
+
+    rng = random.Random(11)
+    for _ in range(150):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 40))) for _ in range(2))
+        assert split_overlap.shared_spans(a, b, 4) == (covered(a, b, 4), covered(b, a, 4))
