@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,7 +121,11 @@ def match_keys(keys: DataFrame, entries: DataFrame, threshold: float = THRESHOLD
     and keys whose best entries are too close below ``SURE`` stay unmatched.
     """
     spark = keys.sparkSession
-    fold = F.udf(name_key, "string")  # over the reference list only
+
+    @F.pandas_udf("string")
+    def fold(forms: pd.Series) -> pd.Series:
+        return forms.map(name_key)
+
     known = cut(entries.where("form is not null").select("ref_id", F.explode(F.split(fold("form"), r"\|")).alias("v")).where("v <> ''").distinct())
     asked = keys.select("key", F.explode(F.split("key", r"\|")).alias("v")).where("v <> ''")
     # character pairs over a-z, ^ and $: at most 28 * 28 of them, whatever the data
