@@ -73,7 +73,7 @@ def _unique(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 def candidates(sets: DataFrame, threshold: float, two: bool) -> DataFrame:
     """(a, b) of sets that pass all filters; ``sets`` has (sid, side, n, toks in order of rarity)."""
-    parts = 4 * shuffle_partitions(sets.sparkSession)
+    parts = shuffle_partitions(sets.sparkSession)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
