@@ -3,8 +3,10 @@
 The texts of all splits, without white space and ``!?.`` and in lower case, are one long concatenation. Of its suffixes
 those that start at a minimizer (least hash of a 20-character window among 20 neighbouring starts) are kept; a span that
 two texts share has the same minimizers in both. The suffixes are partitioned by their first 20 characters and sorted
-in each partition by them, so suffixes with a common prefix of 20 or more characters are adjacent. Cross-split
-neighbours whose sketches allow it are candidates; their spans are then merged into exact coverage and similarity.
+in each partition by them, so suffixes with a common prefix of 20 or more characters are adjacent. Texts whose edits leave
+no common span of 39 characters share no minimizer for certain, so every text has pairs of least trigram hashes as keys
+as well. Cross-split neighbours whose sketches allow it are candidates; their spans are then merged into exact coverage
+and similarity.
 """
 
 from __future__ import annotations
@@ -76,7 +78,7 @@ def side_rows(df: DataFrame, sides: tuple[str, ...], train: str = "train", id_co
 
 def overlapping_classes(rows: DataFrame, known: DataFrame, texts: int, threshold: float = 0.7) -> DataFrame:
     """Pairs (a, b, jaccard) of classes of equal keys of one side, of which one has a training and one another record."""
-    parts = max(shuffle_partitions(rows.sparkSession), texts * 18 * S.ENTRY.itemsize // (24 << 20))
+    parts = max(shuffle_partitions(rows.sparkSession), texts * 30 * S.ENTRY.itemsize // (24 << 20))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = S.Parts(parts)
@@ -101,10 +103,8 @@ def overlapping_classes(rows: DataFrame, known: DataFrame, texts: int, threshold
                 bits = S.sketch_bits(S.mix(code), trow, len(ids))
                 key, pos = sampled_suffixes(cp, row)
                 r = row[pos]
-                small = np.flatnonzero(size < PREFIX + WINDOW - 1)  # short texts are found by pairs of least trigram hashes
-                if len(small):
-                    k2, r2 = short_keys(code, trow, small)
-                    key, r = np.concatenate([key, k2]), np.concatenate([r, r2])
+                k2, r2 = pair_keys(code, trow, len(ids))
+                key, r = np.concatenate([key, k2]), np.concatenate([r, r2])
                 yield from out.add(S.mix(key + side[r]), ids[r], bits[r], flag[r])
         yield from out.flush()
 
@@ -112,13 +112,12 @@ def overlapping_classes(rows: DataFrame, known: DataFrame, texts: int, threshold
     return S.verify(cut(S.compare_parts(entries, parts, cross=True)), rows, known, threshold)
 
 
-def short_keys(code: np.ndarray, row: np.ndarray, small: np.ndarray, agree: int = 2, blocks: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of texts too short for suffixes of the full prefix: pairs of least trigram hashes."""
-    ok = np.isin(row, small)
-    at = np.searchsorted(small, row[ok])
-    m = S.densify(S.bin_minima(S.mix(code[ok] ^ np.uint64(0xD6E8FEB86659FD93)), at, len(small), agree * blocks)).reshape(len(small), blocks, agree)
+def pair_keys(code: np.ndarray, row: np.ndarray, rows: int, agree: int = 2, blocks: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all texts, whatever their lengths: pairs of least trigram hashes. Texts at Jaccard 0.7 share none of the
+    12 with a probability of 0.03 %, however the edits are spread."""
+    m = S.densify(S.bin_minima(S.mix(code ^ np.uint64(0xD6E8FEB86659FD93)), row, rows, agree * blocks)).reshape(rows, blocks, agree)
     key = S.mix(m[:, :, 0] * np.uint64(3) + S.mix(m[:, :, 1]) + np.arange(1, blocks + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    return key.ravel(), np.repeat(small, blocks)
+    return key.ravel(), np.repeat(np.arange(rows), blocks)
 
 
 def overlaps(df: DataFrame, sides: tuple[str, ...] = ("transliteration", "translation"), threshold: float = 0.7, id_column: str = "row_id") -> DataFrame:

@@ -211,6 +211,32 @@ def test_overlaps_are_all_alike_cross_pairs(spark, monkeypatch):
     assert split_overlap.overlap_coverage(df.limit(0)).count() == 0
 
 
+def edited(text, rng, edits):
+    """``text`` with so many letters replaced, added or left out at random places."""
+    for _ in range(edits):
+        k, new = rng.randrange(len(text)), rng.choice("abcdefghijklmnop")
+        text = rng.choice((text[:k] + new + text[k + 1 :], text[:k] + new + text[k:], text[:k] + text[k + 1 :]))
+    return text
+
+
+def test_overlaps_of_every_length_are_found(spark):
+    rng = random.Random(12)
+    rows, bands = [], {}
+    for size in (30, 38, 39, 45, 60, 130, 300):
+        for k in range(150):
+            a = "".join(rng.choices("abcdefghijklmnop", k=size))
+            b = a[:20] + "q" + a[20:] if size == 38 and k % 2 else edited(a, rng, rng.randint(1, max(1, size // 15)))
+            if alike(a, b):
+                bands.setdefault(size, set()).add((len(rows), len(rows) + 1))
+            rows += [(len(rows), "train", a), (len(rows) + 1, "val", b)]
+    df = spark.createDataFrame(rows, "row_id long, split string, transliteration string")
+    got = {(r["train_id"], r["other_id"]) for r in split_overlap.overlaps(df, ("transliteration",)).collect()}
+    across = {p for p in set().union(*bands.values()) if (len(rows[p[0]][2]) < 39) != (len(rows[p[1]][2]) < 39)}
+    assert len(across) > 30
+    for band, expected in [*bands.items(), ("across", across)]:
+        assert len(expected & got) >= 0.97 * len(expected), (band, len(expected), len(expected & got))
+
+
 def test_shared_spans_are_those_of_brute_force():
     def covered(x, y, least):
         inside = {k for i in range(len(x) - least + 1) if x[i : i + least] in y for k in range(i, i + least)}
