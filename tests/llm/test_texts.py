@@ -80,6 +80,21 @@ def test_defects_of_known_pages(spark):
     assert ocr_repair.paragraphs(df.limit(0)).count() == 0
 
 
+def test_short_and_long_words_are_repaired(spark):
+    rng = random.Random(4)
+    long = "šumma-awīlum-" * 6 + "ana"
+    texts = [t for t, _ in pages()]
+    bad = {7: "§a", 20: "ſa", 33: "5a", 46: long.replace("š", "5", 1), 59: "l9"}
+    rows = []
+    for i, t in enumerate(texts):
+        w = bad.get(i, "ša" if i % 4 else long)
+        rows.append((i, f"{t}\nthe merchant {w} {rng.choice(('house', 'garden'))} received silver"))
+    df = spark.createDataFrame(rows, "row_id long, page_text string")
+    got = {(r["row_id"], r["word"], r["right"]) for r in ocr_repair.defects(df).where("defect = 'glyph'").collect()}
+    assert {(7, "§a", "ša"), (20, "ſa", "ša"), (33, "5a", "ša"), (46, bad[46], long)} <= got
+    assert not [g for g in got if g[1] in ("l9", "ša", long)]
+
+
 def test_rebuild_keeps_sign_joints():
     page = "1\nThe re-\nport of Ṣe-\nlu-lu and tbe end\n\nnext"
     found = [{"line_no": 1, "defect": "furniture"}, {"line_no": 2, "defect": "hyphen"}, {"line_no": 4, "defect": "glyph", "word": "tbe", "right": "the"}]
