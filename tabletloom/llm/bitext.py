@@ -265,15 +265,18 @@ def _accounted(ids: np.ndarray, others: np.ndarray, table: np.ndarray, agree: li
 
 
 def in_order(score: np.ndarray) -> np.ndarray:
-    """Which cells an alignment in order of greatest total score goes through (beads of any number against one)."""
+    """Which cells an alignment in order of greatest total score goes through (beads of any number against one); by
+    anti-diagonals, with one byte a cell besides."""
     n, m = score.shape
-    best, way = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1), np.int8)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            x = score[i - 1, j - 1] - 0.3
-            options = (best[i - 1, j - 1] + x, best[i - 1, j], best[i, j - 1], best[i - 1, j] + x * 0.9, best[i, j - 1] + x * 0.9)
-            k = max(range(5), key=options.__getitem__)
-            best[i, j], way[i, j] = options[k], k
+    way = np.zeros((n + 1, m + 1), np.int8)
+    last, before = np.zeros(n + 1), np.zeros(n + 1)  # best totals of the last two anti-diagonals, by line
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        x = score[i - 1, d - i - 1] - 0.3
+        options = np.stack([before[i - 1] + x, last[i - 1], last[i], last[i - 1] + x * 0.9, last[i] + x * 0.9])
+        way[i, d - i] = np.argmax(options, axis=0)
+        before, last = last, np.zeros(n + 1)
+        last[i] = options.max(axis=0)
     on, i, j = np.zeros((n, m), bool), n, m
     while i and j:
         k = way[i, j]
@@ -289,14 +292,14 @@ def links(lines: list[str], sentences: list[str], lexicon: Lexicon) -> list[tupl
         return []
     of_line, of_sentence = shares(lines, sentences, lexicon)
     both = np.maximum(of_line, of_sentence)
-    bonus = 0.08 * in_order(both) if both.size <= 10_000 else 0.0
+    bonus = 0.08 * in_order(both)
     found: dict[tuple[int, int], float] = {}
     for i in range(len(lines)):
-        j = int(np.argmax(of_line[i] + 0.25 * of_sentence[i] + bonus[i] if isinstance(bonus, np.ndarray) else of_line[i] + 0.25 * of_sentence[i]))
+        j = int(np.argmax(of_line[i] + 0.25 * of_sentence[i] + bonus[i]))
         if of_line[i, j] >= ACCEPT:
             found[i, j] = float(both[i, j])
     for j in range(len(sentences)):
-        i = int(np.argmax(of_sentence[:, j] + 0.25 * of_line[:, j] + (bonus[:, j] if isinstance(bonus, np.ndarray) else 0.0)))
+        i = int(np.argmax(of_sentence[:, j] + 0.25 * of_line[:, j] + bonus[:, j]))
         if of_sentence[i, j] >= ACCEPT:
             found[i, j] = float(both[i, j])
     return [(i + 1, j + 1, s) for (i, j), s in sorted(found.items())]

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,6 +186,38 @@ def test_alignment_of_known_documents(spark):
     assert bitext.align(df.limit(0)).count() == 0
 
 
+def test_repeated_lines_of_long_documents_keep_their_partners(monkeypatch):
+    n = 101
+    score = np.zeros((n, n))
+    score[1::2, 1::2] = 0.6  # a formula on every other line
+    score[np.arange(0, n, 2), np.arange(0, n, 2)] = 0.9
+    monkeypatch.setattr(bitext, "shares", lambda *_: (score, score))
+    assert [x[:2] for x in bitext.links(["a"] * n, ["b"] * n, None)] == [(i, i) for i in range(1, n + 1)]
+
+
+def test_alignment_in_order_is_that_of_every_cell():
+    def by_cell(score):
+        n, m = score.shape
+        best, way = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1), np.int8)
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                x = score[i - 1, j - 1] - 0.3
+                options = (best[i - 1, j - 1] + x, best[i - 1, j], best[i, j - 1], best[i - 1, j] + x * 0.9, best[i, j - 1] + x * 0.9)
+                way[i, j] = k = max(range(5), key=options.__getitem__)
+                best[i, j] = options[k]
+        on, i, j = np.zeros((n, m), bool), n, m
+        while i and j:
+            k = way[i, j]
+            on[i - 1, j - 1] = k in (0, 3, 4)
+            i, j = i - (k in (0, 1, 3)), j - (k in (0, 2, 4))
+        return on
+
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        score = rng.random((rng.integers(1, 25), rng.integers(1, 25))).round(1)
+        assert (bitext.in_order(score) == by_cell(score)).all()
+
+
 # --- problem 8 ---
 
 RANKS = Path(tok.DEFAULT_RANKS)
