@@ -66,10 +66,10 @@ def similar_classes(rows: DataFrame, known: DataFrame, n: int, threshold: float
                 cp, row, ids = cp[keep], (np.cumsum(new) - 1)[row[keep]], ids[new]
                 code, row = S.trigrams(cp, row)
                 h = S.mix(code)
-                bits = S.sketch_bits(h, row, len(ids))
+                bits, filled = S.sketch_bits(h, row, len(ids))
                 keys = anchor_keys(S.densify(S.bin_minima(h, row, len(ids), anchors)), agree, blocks)
                 rep = np.repeat(np.arange(len(ids)), anchors)
-                yield from out.add(keys.ravel(), ids[rep], bits[rep], np.zeros(len(rep), np.uint8))
+                yield from out.add(keys.ravel(), ids[rep], bits[rep], filled[rep], np.zeros(len(rep), np.uint8))
         yield from out.flush()
 
     entries = rows.select("text").mapInArrow(replicate, "part int, blob binary")

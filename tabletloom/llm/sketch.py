@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from tabletloom.session import cut
 
-#: One entry of the packed shuffle: key within its part, class of the text, 192 sketch bits, flags.
-ENTRY = np.dtype([("key", "<u4"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("flag", "u1")])
+#: One entry of the packed shuffle: key within its part, class of the text, 192 sketch bits, flags, filled sketch bins.
+ENTRY = np.dtype([("key", "<u4"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("flag", "u1"), ("filled", "u1")])
 SKETCH_BITS = 192
-#: Two texts at Jaccard 0.7 differ in 28.8 +- 5.0 of 192 bits, at 0.25 in 72 +- 6.7, unrelated ones (0.1) in 86 +- 6.9.
-SKETCH_LIMIT = 44
+#: By the smaller number of filled bins of two texts, the bits in which they may differ. At Jaccard 0.7 they differ in 28.8
+#: bits, with a deviation of the root of 22 + 1150 / trigrams (simulated; bins filled by copies spread it); the limit is
+#: four deviations above. Texts at 0.25 differ in 72, unrelated ones (0.1) in 86.
+SKETCH_LIMITS = np.ceil(28.8 + 4 * np.sqrt(22 + 1150 / np.maximum(np.arange(SKETCH_BITS + 1), 1))).astype(np.uint8)
 #: Runs of one key beyond this length are cut into blocks that are compared as tasks of their own.
 BLOCK = 4096
 
@@ -124,11 +126,12 @@ def densify(m: np.ndarray) -> np.ndarray:
     return np.where(found, value + step * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
 
 
-def sketch_bits(code_hash: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+def sketch_bits(code_hash: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """rows x 3 words: one bit of the least hash of each of 192 bins, empty bins filled, so that the bits of two texts
-    differ with half the probability of their Jaccard distance whatever the lengths."""
-    m = densify(bin_minima(mix(code_hash ^ np.uint64(0x5851F42D4C957F2D)), row, rows, SKETCH_BITS))
-    return np.packbits((mix(m) & np.uint64(1)).astype(np.uint8), axis=1).view("<u8")
+    differ on average with half the probability of their Jaccard distance; and how many bins of each row were not empty."""
+    m = bin_minima(mix(code_hash ^ np.uint64(0x5851F42D4C957F2D)), row, rows, SKETCH_BITS)
+    filled = (m != np.iinfo(np.uint64).max).sum(axis=1).astype(np.uint8)
+    return np.packbits((mix(densify(m)) & np.uint64(1)).astype(np.uint8), axis=1).view("<u8"), filled
 
 
 PART_SCHEMA = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
@@ -140,9 +143,9 @@ class Parts:
     def __init__(self, parts: int, limit: int = 48 << 20) -> None:
         self.parts, self.limit, self.held, self.size = parts, limit, [], 0
 
-    def add(self, key64: np.ndarray, ids: np.ndarray, bits: np.ndarray, flag: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, key64: np.ndarray, ids: np.ndarray, bits: np.ndarray, filled: np.ndarray, flag: np.ndarray) -> Iterator[pa.RecordBatch]:
         e = np.empty(len(key64), ENTRY)
-        e["key"], e["id"], e["flag"] = key64 >> np.uint64(32), ids, flag
+        e["key"], e["id"], e["filled"], e["flag"] = key64 >> np.uint64(32), ids, filled, flag
         e["s0"], e["s1"], e["s2"] = bits.T
         self.held.append(((key64 % np.uint64(self.parts)).astype(np.int32), e))
         self.size += e.nbytes
@@ -167,15 +170,17 @@ class Entries:
     """Entries as columns."""
 
     def __init__(self, e: np.ndarray) -> None:
-        self.id, self.flag = e["id"].astype(np.int64), e["flag"].copy()
+        self.id, self.flag, self.filled = e["id"].astype(np.int64), e["flag"].copy(), e["filled"].copy()
         self.words = [e[w].copy() for w in ("s0", "s1", "s2")]
 
 
-def near(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of ids whose sketches differ in at most ``limit`` bits; most others are gone after two words."""
+def near(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ids whose sketches differ in at most as many bits as ``SKETCH_LIMITS`` allows; most others are gone
+    after two words."""
     d = np.bitwise_count(a.words[0][i] ^ b.words[0][j]) + np.bitwise_count(a.words[1][i] ^ b.words[1][j])
+    limit = SKETCH_LIMITS[np.minimum(a.filled[i], b.filled[j])]
     ok = d <= limit
-    i, j, d = i[ok], j[ok], d[ok]
+    i, j, d, limit = i[ok], j[ok], d[ok], limit[ok]
     ok = d + np.bitwise_count(a.words[2][i] ^ b.words[2][j]) <= limit
     x, y = a.id[i[ok]], b.id[j[ok]]
     ok = x != y
@@ -195,28 +200,28 @@ def products(left: np.ndarray, first: np.ndarray, count: np.ndarray, size: int =
         at = to
 
 
-def run_pairs(e: Entries, start: np.ndarray, size: np.ndarray, cross: bool, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def run_pairs(e: Entries, start: np.ndarray, size: np.ndarray, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Near pairs within each run of entries: all of them, or with ``cross`` those of flag 2 with those of flag 1."""
     group = np.repeat(np.arange(len(start)), size)
     at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(len(group))
     if not cross:
         for i, j in products(at, at + 1, np.repeat(start + size, size) - at - 1):
-            yield near(e, i, e, j, limit)
+            yield near(e, i, e, j)
         return
     train, other = (e.flag[at] & 1) > 0, (e.flag[at] & 2) > 0
     trains = at[train]
     count = np.bincount(group[train], minlength=len(start))
     first = np.cumsum(count) - count
     for i, j in products(at[other], first[group[other]], count[group[other]]):
-        yield near(e, i, e, trains[j], limit)
+        yield near(e, i, e, trains[j])
 
 
-def block_pairs(a: Entries, b: Entries, cross: bool, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def block_pairs(a: Entries, b: Entries, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for fa, fb in ((1, 2), (2, 1)) if cross else ((0, 0),):
         i = np.flatnonzero((a.flag & fa) == fa)
         j = np.flatnonzero((b.flag & fb) == fb)
         for x, y in products(i, np.zeros(len(i), np.int64), np.full(len(i), len(j))):
-            yield near(a, x, b, j[y], limit)
+            yield near(a, x, b, j[y])
 
 
 JOB_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
@@ -232,8 +237,8 @@ def unique_pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
     return p["a"], p["b"]
 
 
-def compare_parts(entries: DataFrame, parts: int, cross: bool, limit: int = SKETCH_LIMIT) -> DataFrame:
-    """Candidate pairs (a, b) of class ids that share a key and whose sketches differ in at most ``limit`` bits.
+def compare_parts(entries: DataFrame, parts: int, cross: bool) -> DataFrame:
+    """Candidate pairs (a, b) of class ids that share a key and whose sketches differ in few bits (``near``).
 
     ``entries`` has rows (part, blob). Each part is sorted by key; keys with more than ``BLOCK`` entries are cut into
     blocks whose comparisons are spread over all tasks, so that a hot key is no single task.
@@ -257,7 +262,7 @@ def compare_parts(entries: DataFrame, parts: int, cross: bool, limit: int = SKET
             start = np.flatnonzero(np.r_[True, e["key"][1:] != e["key"][:-1]]) if len(e) else np.empty(0, np.int64)
             size = np.diff(np.r_[start, len(e)])
             usual = (size > 1) & (size <= BLOCK)
-            for x in run_pairs(Entries(e), start[usual], size[usual], cross, limit):
+            for x in run_pairs(Entries(e), start[usual], size[usual], cross):
                 found.append(x)
                 held += len(x[0])
                 if held > 1 << 21:
@@ -280,7 +285,7 @@ def compare_parts(entries: DataFrame, parts: int, cross: bool, limit: int = SKET
             found = [(np.asarray(a.filter(ok), np.int64), np.asarray(b.filter(ok), np.int64))]
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
                 if left is not None:
-                    found += list(block_pairs(Entries(np.frombuffer(left, ENTRY)), Entries(np.frombuffer(right, ENTRY)), cross, limit))
+                    found += list(block_pairs(Entries(np.frombuffer(left, ENTRY)), Entries(np.frombuffer(right, ENTRY)), cross))
             x, y = unique_pairs(found)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], schema=PAIR_SCHEMA)
 

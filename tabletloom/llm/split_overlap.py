@@ -100,12 +100,12 @@ def overlapping_classes(rows: DataFrame, known: DataFrame, texts: int, threshold
                 if not len(ids):
                     continue
                 code, trow = S.trigrams(cp, row)
-                bits = S.sketch_bits(S.mix(code), trow, len(ids))
+                bits, filled = S.sketch_bits(S.mix(code), trow, len(ids))
                 key, pos = sampled_suffixes(cp, row)
                 r = row[pos]
                 k2, r2 = pair_keys(code, trow, len(ids))
                 key, r = np.concatenate([key, k2]), np.concatenate([r, r2])
-                yield from out.add(S.mix(key + side[r]), ids[r], bits[r], flag[r])
+                yield from out.add(S.mix(key + side[r]), ids[r], bits[r], filled[r], flag[r])
         yield from out.flush()
 
     entries = rows.select("text", "flag", "side").mapInArrow(suffixes, "part int, blob binary")

@@ -211,6 +211,24 @@ def test_overlaps_are_all_alike_cross_pairs(spark, monkeypatch):
     assert split_overlap.overlap_coverage(df.limit(0)).count() == 0
 
 
+def test_sketches_let_alike_texts_of_every_length_pass():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for union in (10, 20, 40, 100, 300):
+        both, n = -(-7 * union // 10), 2000
+        x = rng.integers(0, 2**63, (n, union), dtype=np.uint64)
+        e = []
+        for part in (x, x[:, :both]):
+            of = np.zeros(n, sketch.ENTRY)
+            bits, of["filled"] = sketch.sketch_bits(part.ravel(), np.repeat(np.arange(n), part.shape[1]), n)
+            of["s0"], of["s1"], of["s2"] = bits.T
+            of["id"] = np.arange(n) + n * len(e)
+            e.append(sketch.Entries(of))
+        at = np.arange(n)
+        assert len(sketch.near(e[0], at, e[1], at)[0]) >= 0.998 * n, union
+
+
 def edited(text, rng, edits):
     """``text`` with so many letters replaced, added or left out at random places."""
     for _ in range(edits):
