@@ -5,7 +5,7 @@ texts agree symbol by symbol with the probability of their Jaccard similarity. T
 ``agree + 1`` symbols. The anchors of a block are the words of the single parity-check code of that length, a covering
 code of radius 1: changing any one symbol of a word reaches exactly one code word, so each word has ``agree + 1``
 anchors within the radius, and a code word is named by the ``agree`` symbols that stay. Fingerprints are replicated to
-all of them; two words at distance 1 or less in a block always meet. At each anchor they are compared by 192 sketch bits,
+all of them; two words at distance 1 or less in a block always meet. At each anchor they are compared by 128 sketch bits,
 and the remaining pairs exactly by their trigram sets.
 """
 
@@ -19,13 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabletloom.llm import sketch as S
-from tabletloom.session import cut, shuffle_partitions
+from tabletloom.session import cut
 
 
-def plan(rows: int) -> tuple[int, int]:
-    """(agree, blocks) for so many rows: the anchors' selectivity follows the collection so that the comparisons an
-    anchor stay few. At Jaccard 0.7 a pair misses all blocks with a probability of 0.5 % or less, at 0.75 of 0.1 %."""
-    return (4, 7) if rows <= 5_000_000 else (5, 10) if rows <= 60_000_000 else (6, 14)
+#: Symbols of a block that must agree (one more may differ), and blocks. At Jaccard 0.7 a pair misses all blocks with a
+#: probability of 0.5 %, at 0.75 of 0.1 %. Larger collections may ask for more selective anchors, such as (5, 10).
+AGREE, BLOCKS = 4, 7
 
 
 def anchor_keys(symbols: np.ndarray, agree: int, blocks: int) -> np.ndarray:
@@ -41,14 +40,19 @@ def anchor_keys(symbols: np.ndarray, agree: int, blocks: int) -> np.ndarray:
     return out
 
 
-def similar_classes(rows: DataFrame, known: DataFrame, n: int, threshold: float = 0.7) -> DataFrame:
+def similar_classes(rows: DataFrame, known: DataFrame, n: int, threshold: float = 0.7, agree: int = AGREE, blocks: int = BLOCKS) -> DataFrame:
     """Pairs (a, b, jaccard) of alike classes of equal keys; ``rows`` as in ``sketch.ROWS``, ``known`` their members."""
-    agree, blocks = plan(n)
     anchors = blocks * (agree + 1)
-    parts = max(shuffle_partitions(rows.sparkSession), n * anchors * S.ENTRY.itemsize // (24 << 20))
+    parts = S.part_count(rows.sparkSession, n * anchors)
+    def anchors_of(cp: np.ndarray, row: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        code, row = S.trigrams(cp, row)
+        h = S.mix(code)
+        return anchor_keys(S.densify(S.bin_minima(h, row, texts, anchors)), agree, blocks), h, row
+
+    hot = S.hot_keys(rows, n, lambda texts, _: anchors_of(*S.flat_keys(texts), len(texts))[0].ravel())
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, seen = S.Parts(parts), np.empty(0, np.uint64)
+        out, seen = S.Parts(parts, hot), np.empty(0, np.uint64)
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
                 cp, row = S.flat_keys(whole.slice(at, 4000).column("text").to_pylist())
@@ -64,10 +68,8 @@ def similar_classes(rows: DataFrame, known: DataFrame, n: int, threshold: float
                     continue
                 keep = new[row]
                 cp, row, ids = cp[keep], (np.cumsum(new) - 1)[row[keep]], ids[new]
-                code, row = S.trigrams(cp, row)
-                h = S.mix(code)
+                keys, h, row = anchors_of(cp, row, len(ids))
                 bits, filled = S.sketch_bits(h, row, len(ids))
-                keys = anchor_keys(S.densify(S.bin_minima(h, row, len(ids), anchors)), agree, blocks)
                 rep = np.repeat(np.arange(len(ids)), anchors)
                 yield from out.add(keys.ravel(), ids[rep], bits[rep], filled[rep], np.zeros(len(rep), np.uint8))
         yield from out.flush()

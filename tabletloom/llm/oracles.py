@@ -43,11 +43,18 @@ SELECT '{c}' AS side, ra AS t, rb AS o, j FROM alike WHERE ta = 0 AND tb = 1)"""
 
 _OVERLAPS = f"({_side('transliteration')} UNION ALL {_side('translation')})"
 
+_COVERAGE = f"""WITH k AS (SELECT split, row_id, unnest(['transliteration', 'translation']) AS side, unnest([{_KEY.format(c='transliteration')}, {_KEY.format(c='translation')}]) AS k FROM combined_corpus WHERE split IS NOT NULL),
+g AS (SELECT split, row_id, side, length(k) AS n, i, substr(k, i, 24) AS g FROM (SELECT *, unnest(range(1, length(k) - 22)) AS i FROM k WHERE length(k) >= 24)),
+t AS (SELECT DISTINCT side, g FROM g WHERE split = 'train'),
+c AS (SELECT side, row_id, n, least(24, i - coalesce(lag(i) OVER (PARTITION BY side, row_id ORDER BY i), -24)) AS more FROM g JOIN t USING (side, g) WHERE split <> 'train')
+SELECT side, row_id AS other_id, n AS n_chars, sum(more)::BIGINT AS covered, round(sum(more) / n, 6)::DOUBLE AS coverage FROM c GROUP BY side, row_id, n"""
+
 ORACLES: dict[str, str] = {
+    "p6_coverage": _COVERAGE,
     "p1_found": f"""WITH t AS (SELECT 'train' AS tbl, row_id, transliteration AS x FROM train UNION ALL SELECT 'oa_lexicon_ebl', row_id, form FROM oa_lexicon_ebl),
 l AS (SELECT tbl, row_id, x, {_look('x')} AS look FROM t WHERE x IS NOT NULL)
 SELECT a.tbl, a.row_id AS row_id_a, b.row_id AS row_id_b FROM l a JOIN l b ON a.tbl = b.tbl AND a.look = b.look AND a.row_id < b.row_id AND a.x <> b.x""",
-    "p1_texts": f"SELECT row_id, {_look('transliteration')} AS consistent FROM train",
+    "p1_texts": f"SELECT 'train' AS tbl, row_id, {_look('transliteration')} AS consistent FROM train UNION ALL SELECT 'oa_lexicon_ebl', row_id, {_look('form')} FROM oa_lexicon_ebl",
     "p3_found": f"WITH {_alike(_PAIRS)} SELECT ta AS tbl_a, ra AS row_id_a, tb AS tbl_b, rb AS row_id_b FROM alike",
     "p5_found": "SELECT row_id, 'transliteration' AS field FROM train WHERE length(transliteration) > 1000 UNION ALL SELECT row_id, 'translation' FROM train WHERE length(translation) > 2000",
     "p6_found": f"SELECT DISTINCT least(t, o) AS row_id_a, greatest(t, o) AS row_id_b FROM {_OVERLAPS}",

@@ -22,10 +22,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """The consistent transliteration of every row of train."""
+    """The consistent text of every row of both fields: (tbl, row_id, consistent)."""
     from tabletloom.llm.look import with_consistent
 
-    return with_consistent(_read(spark, folder, "train").select("row_id", "transliteration"), "transliteration", "consistent").select("row_id", "consistent")
+    fields = [_read(spark, folder, t).select(F.lit(t).alias("tbl"), "row_id", F.col(c).alias("text")) for t, c in (("train", "transliteration"), ("oa_lexicon_ebl", "form"))]
+    return with_consistent(fields[0].unionByName(fields[1]), "text", "consistent").select("tbl", "row_id", "consistent")
 
 
 def _canonical(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,7 +98,7 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    """Of each record outside train that reappears: its best match and the share of it in shared spans."""
+    """Of each record outside train that shares a span with training records: the share of it in such spans."""
     from tabletloom.llm.split_overlap import overlap_coverage
 
     return overlap_coverage(_read(spark, folder, "combined_corpus"))

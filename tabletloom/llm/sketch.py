@@ -6,25 +6,30 @@ Everything here works on flat code-point arrays of a whole Arrow batch; no call
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabletloom.session import cut
+from tabletloom.session import cut, shuffle_partitions
 
-#: One entry of the packed shuffle: key within its part, class of the text, 192 sketch bits, flags, filled sketch bins.
-ENTRY = np.dtype([("key", "<u4"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("flag", "u1"), ("filled", "u1")])
-SKETCH_BITS = 192
-#: By the smaller number of filled bins of two texts, the bits in which they may differ. At Jaccard 0.7 they differ in 28.8
-#: bits, with a deviation of the root of 22 + 1150 / trigrams (simulated; bins filled by copies spread it); the limit is
-#: four deviations above. Texts at 0.25 differ in 72, unrelated ones (0.1) in 86.
-SKETCH_LIMITS = np.ceil(28.8 + 4 * np.sqrt(22 + 1150 / np.maximum(np.arange(SKETCH_BITS + 1), 1))).astype(np.uint8)
+#: One entry of the packed shuffle: its key, the class of the text, 128 sketch bits, flags, filled sketch bins.
+ENTRY = np.dtype([("key", "<u8"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("flag", "u1"), ("filled", "u1")])
+SKETCH_BITS = 128
+#: By the smaller number of filled bins of two texts, the bits in which they may differ. At Jaccard 0.7 they differ in 19.2
+#: bits, with a variance of 15 + 450 / filled bins at most (simulated; bins filled by copies spread it); the limit is 4
+#: deviations above, which loses under 0.1 % of these pairs. Texts at 0.25 differ in 48, unrelated ones (0.1) in 58.
+SKETCH_LIMITS = np.ceil(19.2 + 4 * np.sqrt(15 + 450 / np.maximum(np.arange(SKETCH_BITS + 1), 1))).astype(np.uint8)
 #: Runs of one key beyond this length are cut into blocks that are compared as tasks of their own.
-BLOCK = 4096
+BLOCK = 16_384
+#: Bytes of entries that one task sorts and compares.
+PART_BYTES = 12 << 20
+#: Texts of the sample in which hot keys are looked for at most, and the entries a cell of a hot key should hold. Both say
+#: how work is spread, never what is found.
+HOT_SAMPLE, CELL = 50_000, 250_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -127,7 +132,7 @@ def densify(m: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(code_hash: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """rows x 3 words: one bit of the least hash of each of 192 bins, empty bins filled, so that the bits of two texts
+    """rows x 2 words: one bit of the least hash of each of 128 bins, empty bins filled, so that the bits of two texts
     differ on average with half the probability of their Jaccard distance; and how many bins of each row were not empty."""
     m = bin_minima(mix(code_hash ^ np.uint64(0x5851F42D4C957F2D)), row, rows, SKETCH_BITS)
     filled = (m != np.iinfo(np.uint64).max).sum(axis=1).astype(np.uint8)
@@ -137,17 +142,67 @@ def sketch_bits(code_hash: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.n
 PART_SCHEMA = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 
 
+def part_count(spark: SparkSession, entries: int) -> int:
+    """Parts for so many entries: of ``PART_BYTES`` each, as many as the session's shuffles at least."""
+    return max(shuffle_partitions(spark), -(-entries * ENTRY.itemsize // PART_BYTES))
+
+
+def hot_keys(rows: DataFrame, texts: int, keys_of: Callable[[list[str], int], np.ndarray]) -> dict[int, int]:
+    """{key: side of its grid} of keys that would have over ``CELL`` entries, as counted in a sample of at most about
+    ``HOT_SAMPLE`` of the texts; ``keys_of`` gives the keys of a list of texts. Where there are no more texts than
+    ``CELL``, no key can have more."""
+    if texts <= CELL:
+        return {}
+    rate = min(1.0, HOT_SAMPLE / texts)
+    chosen = rows.where(F.pmod(F.xxhash64("tbl", "row_id", "side"), F.lit(1_000_003)) < F.lit(int(1_000_003 * rate) + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = np.asarray(b.column("side"))
+            for side in np.unique(sides):
+                texts = b.column("text").filter(pa.array(sides == side)).to_pylist()
+                k, n = np.unique(keys_of(texts, int(side)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["k", "n"])
+
+    # every key that passes stands for CELL of the texts, so there are few
+    found = chosen.select("text", "side").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > CELL * rate).collect()
+    return {r["k"] & (2**64 - 1): int(r["n"] / rate) // CELL + 1 for r in found}
+
+
 class Parts:
-    """Collects entries by part and gives them as (part, blob) batches; few rows carry many entries."""
+    """Collects entries by part and gives them as (part, blob) batches; few rows carry many entries.
 
-    def __init__(self, parts: int, limit: int = 48 << 20) -> None:
-        self.parts, self.limit, self.held, self.size = parts, limit, [], 0
+    The entries of a hot key are spread over the cells of a grid before they are shuffled: one of column j goes to
+    the cells (i, j) and (j, i) of all i, so that any two meet in a cell and no cell holds all. ``cross``: the grid is
+    training entries by others, and each goes to the cells of its row or of its column only.
+    """
 
-    def add(self, key64: np.ndarray, ids: np.ndarray, bits: np.ndarray, filled: np.ndarray, flag: np.ndarray) -> Iterator[pa.RecordBatch]:
-        e = np.empty(len(key64), ENTRY)
-        e["key"], e["id"], e["filled"], e["flag"] = key64 >> np.uint64(32), ids, filled, flag
-        e["s0"], e["s1"], e["s2"] = bits.T
-        self.held.append(((key64 % np.uint64(self.parts)).astype(np.int32), e))
+    def __init__(self, parts: int, hot: dict[int, int] | None = None, cross: bool = False, limit: int = 48 << 20) -> None:
+        self.parts, self.limit, self.held, self.size, self.cross = parts, limit, [], 0, cross
+        self.hot = np.array(sorted(hot or {}), np.uint64)
+        self.side = np.array([hot[int(k)] for k in self.hot], np.int64) if hot else np.empty(0, np.int64)
+
+    def add(self, key: np.ndarray, ids: np.ndarray, bits: np.ndarray, filled: np.ndarray, flag: np.ndarray) -> Iterator[pa.RecordBatch]:
+        e = np.empty(len(key), ENTRY)
+        e["key"], e["id"], e["filled"], e["flag"] = key, ids, filled, flag
+        e["s0"], e["s1"] = bits.T
+        place = mix(key ^ np.uint64(0xA0761D6478BD642F))
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, key), len(self.hot) - 1)
+            found = np.flatnonzero(self.hot[at] == key)
+            many = self.side[at[found]]
+            rep = np.repeat(found, many)
+            other = np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)
+            own = (mix(e["id"][rep].copy()) % np.repeat(many, many).astype(np.uint64)).astype(np.int64)
+            train = (e["flag"][rep] & 1) > 0
+            i, j = (np.where(train, own, other), np.where(train, other, own)) if self.cross else (np.minimum(own, other), np.maximum(own, other))
+            cells = mix(place[rep] + mix((i * 65_537 + j).astype(np.uint64)))
+            usual = np.ones(len(e), bool)
+            usual[found] = False
+            spread = e[rep]
+            spread["key"] = cells
+            e, place = np.concatenate([e[usual], spread]), np.concatenate([place[usual], cells])
+        self.held.append(((place % np.uint64(self.parts)).astype(np.int32), e))
         self.size += e.nbytes
         if self.size > self.limit:
             yield from self.flush()
@@ -171,17 +226,17 @@ class Entries:
 
     def __init__(self, e: np.ndarray) -> None:
         self.id, self.flag, self.filled = e["id"].astype(np.int64), e["flag"].copy(), e["filled"].copy()
-        self.words = [e[w].copy() for w in ("s0", "s1", "s2")]
+        self.words = [e[w].copy() for w in ("s0", "s1")]
 
 
 def near(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of ids whose sketches differ in at most as many bits as ``SKETCH_LIMITS`` allows; most others are gone
-    after two words."""
-    d = np.bitwise_count(a.words[0][i] ^ b.words[0][j]) + np.bitwise_count(a.words[1][i] ^ b.words[1][j])
+    """The pairs of ids whose sketches differ in at most as many bits as ``SKETCH_LIMITS`` allows; many others are gone
+    after one word."""
+    d = np.bitwise_count(a.words[0][i] ^ b.words[0][j])
     limit = SKETCH_LIMITS[np.minimum(a.filled[i], b.filled[j])]
     ok = d <= limit
     i, j, d, limit = i[ok], j[ok], d[ok], limit[ok]
-    ok = d + np.bitwise_count(a.words[2][i] ^ b.words[2][j]) <= limit
+    ok = d + np.bitwise_count(a.words[1][i] ^ b.words[1][j]) <= limit
     x, y = a.id[i[ok]], b.id[j[ok]]
     ok = x != y
     return np.minimum(x, y)[ok], np.maximum(x, y)[ok]
@@ -216,12 +271,19 @@ def run_pairs(e: Entries, start: np.ndarray, size: np.ndarray, cross: bool) -> I
         yield near(e, i, e, trains[j])
 
 
-def block_pairs(a: Entries, b: Entries, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for fa, fb in ((1, 2), (2, 1)) if cross else ((0, 0),):
-        i = np.flatnonzero((a.flag & fa) == fa)
-        j = np.flatnonzero((b.flag & fb) == fb)
-        for x, y in products(i, np.zeros(len(i), np.int64), np.full(len(i), len(j))):
-            yield near(a, x, b, j[y])
+def blocks(run: np.ndarray, cross: bool) -> Iterator[tuple[bytes, bytes]]:
+    """The pairs of blocks of a long run; with ``cross`` those of training entries with those of others."""
+    cuts = lambda e: [e[i : i + BLOCK].tobytes() for i in range(0, len(e), BLOCK)]
+    if cross:
+        other = cuts(run[(run["flag"] & 2) > 0])
+        return ((x, y) for x in cuts(run[(run["flag"] & 1) > 0]) for y in other)
+    every = cuts(run)
+    return ((x, y) for i, x in enumerate(every) for y in every[i:])
+
+
+def block_pairs(a: Entries, b: Entries) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for x, y in products(np.arange(len(a.id)), np.zeros(len(a.id), np.int64), np.full(len(a.id), len(b.id))):
+        yield near(a, x, b, y)
 
 
 JOB_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
@@ -240,8 +302,8 @@ def unique_pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
 def compare_parts(entries: DataFrame, parts: int, cross: bool) -> DataFrame:
     """Candidate pairs (a, b) of class ids that share a key and whose sketches differ in few bits (``near``).
 
-    ``entries`` has rows (part, blob). Each part is sorted by key; keys with more than ``BLOCK`` entries are cut into
-    blocks whose comparisons are spread over all tasks, so that a hot key is no single task.
+    ``entries`` has rows (part, blob). Each part is sorted by key; runs of more than ``BLOCK`` entries are cut into
+    blocks whose comparisons are spread over all tasks. Keys beyond ``CELL`` entries come in cells (``Parts``).
     """
 
     def sort_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,10 +331,8 @@ def compare_parts(entries: DataFrame, parts: int, cross: bool) -> DataFrame:
                     found = [unique_pairs(found)]
                     held = len(found[0][0])
             for s, n in zip(start[size > BLOCK], size[size > BLOCK], strict=True):
-                cuts = [e[i : min(i + BLOCK, s + n)].tobytes() for i in range(s, s + n, BLOCK)]
-                for i, x in enumerate(cuts):
-                    for y in cuts[i:]:
-                        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], schema=JOB_SCHEMA)
+                for x, y in blocks(e[s : s + n], cross):
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], schema=JOB_SCHEMA)
         a, b = unique_pairs(found)
         for i in range(0, len(a), 1 << 16):
             n = len(a[i : i + (1 << 16)])
@@ -285,11 +345,11 @@ def compare_parts(entries: DataFrame, parts: int, cross: bool) -> DataFrame:
             found = [(np.asarray(a.filter(ok), np.int64), np.asarray(b.filter(ok), np.int64))]
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
                 if left is not None:
-                    found += list(block_pairs(Entries(np.frombuffer(left, ENTRY)), Entries(np.frombuffer(right, ENTRY)), cross))
+                    found += list(block_pairs(Entries(np.frombuffer(left, ENTRY)), Entries(np.frombuffer(right, ENTRY))))
             x, y = unique_pairs(found)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], schema=PAIR_SCHEMA)
 
-    jobs = entries.repartition(parts, "part").mapInArrow(sort_part, "a long, b long, left binary, right binary")
+    jobs = entries.repartitionById(parts, "part").mapInArrow(sort_part, "a long, b long, left binary, right binary")
     return jobs.repartition(parts).mapInArrow(run_jobs, "a long, b long").distinct()
 
 

@@ -1,12 +1,14 @@
-"""Problem 6: records of evaluation splits that reappear in the training split, found by a sparse suffix array.
-
-The texts of all splits, without white space and ``!?.`` and in lower case, are one long concatenation. Of its suffixes
-those that start at a minimizer (least hash of a 20-character window among 20 neighbouring starts) are kept; a span that
-two texts share has the same minimizers in both. The suffixes are partitioned by their first 20 characters and sorted
-in each partition by them, so suffixes with a common prefix of 20 or more characters are adjacent. Texts whose edits leave
-no common span of 39 characters share no minimizer for certain, so every text has pairs of least trigram hashes as keys
-as well. Cross-split neighbours whose sketches allow it are candidates; their spans are then merged into exact coverage
-and similarity.
+"""Problem 6: records of evaluation splits that reappear in the training split, found by a suffix array.
+
+The texts of all splits, without white space and ``!?.`` and in lower case, are one long concatenation. Of its suffixes a
+sample is kept that is the same wherever the same characters stand: in each of 16 classes of trigrams, those that begin with
+the text's least trigram of the class (by a hash). They are bucketed by their first 10 characters and sorted in each bucket
+by these (as packed codes), so suffixes with a common prefix of 10 or more characters are adjacent: a run of the array.
+Cross-split neighbours in a run whose sketches allow it are candidates, and are compared exactly. Very short texts have
+pairs of least trigrams as keys as well.
+
+Coverage takes all suffixes: those of training texts and of others with a common prefix of ``SPAN`` characters are adjacent
+in the array, and the spans that a record shares with any training record are merged.
 """
 
 from __future__ import annotations
@@ -21,8 +23,15 @@ from pyspark.sql import functions as F
 from tabletloom.llm import sketch as S
 from tabletloom.session import cut, shuffle_partitions
 
-PREFIX, WINDOW = 20, 20
+#: Characters of the common prefix, and sampled suffixes of a text. Pairs at Jaccard 0.7 to 0.76 with random edits miss each
+#: other with a probability of 0.07 % at 45 characters, less beyond (simulated). Larger collections may ask for a longer one.
+PREFIX, SAMPLED = 10, 16
+#: Texts with so many trigrams or fewer have pair keys besides; two alike texts of which one has 40 or fewer both have them.
+SHORT = 57
+#: Length from which on a shared span counts for coverage.
+SPAN = 24
 _BASE = 0x9E3779B97F4A7C15
+_NONE = np.iinfo(np.uint64).max
 
 
 def prefix_hashes(cp: np.ndarray, length: int) -> np.ndarray:
@@ -38,32 +47,57 @@ def prefix_hashes(cp: np.ndarray, length: int) -> np.ndarray:
     return S.mix((total[length:] - total[:-length]) * inverse[: n - length + 1])
 
 
-def slide(a: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
-    out, s = a, 1
-    while s < width and len(out):
-        t = min(s, width - s)
-        out = f(out[:-t], out[t:]) if len(out) > t else out[:0]
-        s += t
+def packed_prefixes(cp: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The first 10 characters of each suffix as 6-bit codes in one number, so that numbers sort as the suffixes do (by
+    code); what lies beyond the text's end is 0."""
+    c = cp.astype(np.uint64)
+    code = np.where(c < 128, c & np.uint64(63), np.uint64(1) + S.mix(c.copy()) % np.uint64(63))
+    out = code << np.uint64(6 * (PREFIX - 1))
+    for k in range(1, min(PREFIX, len(cp))):
+        out[:-k] |= np.where(row[k:] == row[:-k], code[k:], np.uint64(0)) << np.uint64(6 * (PREFIX - 1 - k))
     return out
 
 
-def sampled_suffixes(cp: np.ndarray, row: np.ndarray, prefix: int = PREFIX, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(prefix hash, position) of the suffixes that start at the minimizer of a window that lies within a text.
+def sampled_suffixes(cp: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(packed prefix, row) of the sampled suffixes, each prefix once a row; among suffixes that begin with the same trigram
+    the least by a hash of the prefix, wherever it stands."""
+    if len(cp) < 3:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    prefix = packed_prefixes(cp, row)[:-2]
+    code, r = S.trigrams(cp, row)
+    prefix = prefix[row[:-2] == row[2:]]
+    h = S.mix(code ^ np.uint64(0xD6E8FEB86659FD93))
+    at = r * SAMPLED + (((h & np.uint64(0xFFFF)) * np.uint64(SAMPLED)) >> np.uint64(16)).astype(np.int64)
+    order = (h >> np.uint64(32) << np.uint64(32)) | (S.mix(prefix.copy()) >> np.uint64(32))
+    least = np.full(rows * SAMPLED, _NONE, np.uint64)
+    np.minimum.at(least, at, order)
+    k = np.flatnonzero(order == least[at])
+    _, first = np.unique(at[k], return_index=True)  # a repeated prefix counts once
+    k = k[first]
+    return prefix[k], r[k]
 
-    Texts shorter than window + prefix - 1 have none. The window must not be longer than the prefix: then no window
-    with both ends inside reaches from one text into the next.
-    """
-    h = prefix_hashes(cp, prefix)
-    n = len(h)
-    if n < window:
-        return h[:0], np.empty(0, np.int64)
-    inside = row[:n] == row[prefix - 1 : prefix - 1 + n]
-    h[~inside] = np.iinfo(np.uint64).max
-    least = slide(h, window, np.minimum)
-    least[~(inside[: n - window + 1] & inside[window - 1 :])] = 0
-    pad = np.zeros(window - 1, np.uint64)
-    at = np.flatnonzero((slide(np.concatenate([pad, least, pad]), window, np.maximum) == h) & inside)
-    return h[at], at
+
+def pair_keys(code: np.ndarray, row: np.ndarray, rows: int, agree: int = 2, blocks: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of least trigram hashes, for texts of at most ``SHORT`` trigrams. Texts at Jaccard 0.7 share none of the 12
+    with a probability of 0.03 %, however the edits are spread."""
+    short = np.bincount(row, minlength=rows) <= SHORT
+    keep = short[row]
+    if not keep.any():
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    number = np.flatnonzero(short)
+    code, row = code[keep], (np.cumsum(short) - 1)[row[keep]]
+    m = S.densify(S.bin_minima(S.mix(code ^ np.uint64(0xD6E8FEB86659FD93)), row, len(number), agree * blocks)).reshape(len(number), blocks, agree)
+    key = S.mix(m[:, :, 0] * np.uint64(3) + S.mix(m[:, :, 1].copy()) + np.arange(1, blocks + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+    return key.ravel(), np.repeat(number, blocks)
+
+
+def suffix_keys(cp: np.ndarray, row: np.ndarray, rows: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, their rows, trigram codes, their rows); the last bits of a key are the side, whose texts are arrays of their own."""
+    code, trow = S.trigrams(cp, row)
+    k1, r1 = sampled_suffixes(cp, row, rows)
+    k2, r2 = pair_keys(code, trow, rows)
+    r = np.concatenate([r1, r2])
+    return (np.concatenate([k1, k2]) << np.uint64(4)) | side[r], r, code, trow
 
 
 def side_rows(df: DataFrame, sides: tuple[str, ...], train: str = "train", id_column: str = "row_id") -> DataFrame:
@@ -78,10 +112,11 @@ def side_rows(df: DataFrame, sides: tuple[str, ...], train: str = "train", id_co
 
 def overlapping_classes(rows: DataFrame, known: DataFrame, texts: int, threshold: float = 0.7) -> DataFrame:
     """Pairs (a, b, jaccard) of classes of equal keys of one side, of which one has a training and one another record."""
-    parts = max(shuffle_partitions(rows.sparkSession), texts * 30 * S.ENTRY.itemsize // (24 << 20))
+    parts = S.part_count(rows.sparkSession, texts * SAMPLED)
+    hot = S.hot_keys(rows, texts, lambda t, side: suffix_keys(*S.flat_keys(t), len(t), np.full(len(t), side, np.uint64))[0])
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = S.Parts(parts)
+        out = S.Parts(parts, hot, cross=True)
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
                 batch = whole.slice(at, 4000)
@@ -96,30 +131,18 @@ def overlapping_classes(rows: DataFrame, known: DataFrame, texts: int, threshold
                 new &= size >= 3
                 keep = new[row]
                 cp, row = cp[keep], (np.cumsum(new) - 1)[row[keep]]
-                ids, flag, side, size = ids[new], flag[new], side[new], size[new]
+                ids, flag, side = ids[new], flag[new], side[new]
                 if not len(ids):
                     continue
-                code, trow = S.trigrams(cp, row)
+                key, r, code, trow = suffix_keys(cp, row, len(ids), side)
                 bits, filled = S.sketch_bits(S.mix(code), trow, len(ids))
-                key, pos = sampled_suffixes(cp, row)
-                r = row[pos]
-                k2, r2 = pair_keys(code, trow, len(ids))
-                key, r = np.concatenate([key, k2]), np.concatenate([r, r2])
-                yield from out.add(S.mix(key + side[r]), ids[r], bits[r], filled[r], flag[r])
+                yield from out.add(key, ids[r], bits[r], filled[r], flag[r])
         yield from out.flush()
 
     entries = rows.select("text", "flag", "side").mapInArrow(suffixes, "part int, blob binary")
     return S.verify(cut(S.compare_parts(entries, parts, cross=True)), rows, known, threshold)
 
 
-def pair_keys(code: np.ndarray, row: np.ndarray, rows: int, agree: int = 2, blocks: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all texts, whatever their lengths: pairs of least trigram hashes. Texts at Jaccard 0.7 share none of the
-    12 with a probability of 0.03 %, however the edits are spread."""
-    m = S.densify(S.bin_minima(S.mix(code ^ np.uint64(0xD6E8FEB86659FD93)), row, rows, agree * blocks)).reshape(rows, blocks, agree)
-    key = S.mix(m[:, :, 0] * np.uint64(3) + S.mix(m[:, :, 1]) + np.arange(1, blocks + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    return key.ravel(), np.repeat(np.arange(rows), blocks)
-
-
 def overlaps(df: DataFrame, sides: tuple[str, ...] = ("transliteration", "translation"), threshold: float = 0.7, id_column: str = "row_id") -> DataFrame:
     """(side, train_id, other_id, jaccard): every training record and record of another split whose texts are alike.
 
@@ -145,66 +168,99 @@ def overlap_counts(df: DataFrame, sides: tuple[str, ...] = ("transliteration", "
     return rows.join(found, ["side", "other_id"], "left").groupBy("split", "source", "side").agg(F.count("*").alias("records"), F.count("j").alias("overlapping"), F.count(F.when(F.col("j") == 1.0, 1)).alias("identical"))
 
 
-def shared_spans(a: str, b: str, least: int = 12) -> tuple[int, int]:
-    """How many characters of ``a`` and of ``b`` lie in spans of ``least`` or more characters that both have.
+SUFFIX_SCHEMA = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("cls", pa.binary()), ("pos", pa.binary())])
 
-    From the suffix array of both texts: in its order the longest common prefix with the other text's suffixes is that
-    with the nearest one before or after; the spans are merged for each text.
-    """
-    joined = f"{a}\x00{b}\x01"
-    n, cut_at = len(joined), len(a)
-    rank = np.unique(np.frombuffer(joined.encode("utf-32-le"), np.uint32), return_inverse=True)[1].astype(np.int64)
-    width = 1
-    while width < n and rank.max() < n - 1:  # prefix doubling
-        second = np.full(n, -1, np.int64)
-        second[: n - width] = rank[width:]
-        rank = np.unique(rank * (n + 1) + second + 1, return_inverse=True)[1].astype(np.int64)
-        width *= 2
-    order = np.argsort(rank, kind="stable")
-    lcp, h = np.zeros(n, np.int64), 0  # of each suffix with the one before it in order
-    for i in range(n):
-        if rank[i]:
-            j = int(order[rank[i] - 1])
-            while i + h < n and j + h < n and joined[i + h] == joined[j + h] and joined[i + h] not in "\x00\x01":
-                h += 1
-            lcp[rank[i]] = h
-            h = max(0, h - 1)
+
+def covered_spans(rows: DataFrame, texts: int, span: int) -> DataFrame:
+    """(cls, pos): the positions of texts outside train at which ``span`` characters begin that a training text of the same
+    side has. All suffixes are sorted in buckets of their prefixes; neighbours of the two kinds with the same prefix tell."""
+    parts = max(shuffle_partitions(rows.sparkSession), texts // 4000)
+
+    def prefixes(cp: np.ndarray, row: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, prefix) of all suffixes."""
+        h = prefix_hashes(cp, span)
+        at = np.flatnonzero(row[: len(h)] == row[span - 1 : span - 1 + len(h)])
+        return at, S.mix(h[at] + side[row[at]])
+
+    hot = S.hot_keys(rows, texts, lambda t, side: np.unique(prefixes(*S.flat_keys(t), np.full(len(t), side, np.uint64))[1]))
+    hot_key = np.array(sorted(hot), np.uint64)
+    width = np.array([hot[int(k)] for k in hot_key], np.int64)
+
+    def salted(key: np.ndarray, salt: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(index, key): keys that very many texts have are cut: training texts go to all salts, others to that given."""
+        if not len(hot_key):
+            return np.arange(len(key)), key
+        i = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
+        many = np.where(hot_key[i] == key, width[i], 1)
+        if salt is None:
+            at = np.repeat(np.arange(len(key)), many)
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
         else:
-            h = 0
-    side = order > cut_at
-    longest = np.zeros(n, np.int64)
-    for steps in (range(n), range(n - 1, -1, -1)):
-        best = [0, 0]  # common prefix with the nearest suffix of either text seen
-        for at in steps:
-            d = int(lcp[at] if steps.step == 1 else lcp[at + 1] if at + 1 < n else 0)
-            best = [min(best[0], d), min(best[1], d)]
-            longest[order[at]] = max(longest[order[at]], best[1 - int(side[at])])
-            best[int(side[at])] = n
-    covered = np.zeros(n + 1, np.int64)
-    for p in np.flatnonzero(longest >= least):
-        covered[p] += 1
-        covered[p + longest[p]] -= 1
-    inside = np.cumsum(covered[:n]) > 0
-    return int(inside[:cut_at].sum()), int(inside[cut_at + 1 : n - 1].sum())
-
-
-def overlap_coverage(df: DataFrame, sides: tuple[str, ...] = ("transliteration", "translation"), threshold: float = 0.7, id_column: str = "row_id") -> DataFrame:
-    """(side, other_id, train_id, jaccard, coverage): of each record outside train the most similar training record (the
-    least id of equals), and the share of its text that lies in spans shared with it."""
-    found = overlaps(df, sides, threshold, id_column).groupBy("side", "other_id").agg(F.max_by(F.struct("train_id", "jaccard"), F.struct("jaccard", -F.col("train_id"))).alias("t")).select("side", "other_id", "t.*")
-    texts = None
-    for s in sides:
-        one = df.select(F.lit(s).alias("side"), F.col(id_column).cast("long").alias("id"), F.col(s).cast("string").alias("text"))
-        texts = one if texts is None else texts.unionByName(one)
-    other = found.join(texts.withColumnsRenamed({"id": "other_id", "text": "to"}), ["side", "other_id"])
-    both = other.join(texts.withColumnsRenamed({"id": "train_id", "text": "tt"}), ["side", "train_id"]).select("side", "other_id", "train_id", "jaccard", "to", "tt")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, nth = np.arange(len(key)), (salt % many.astype(np.uint64)).astype(np.int64)
+        return at, np.where(nth > 0, S.mix(key[at] + nth.astype(np.uint64)), key[at])
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                n = batch.num_rows
+                cp, row = S.flat_keys(batch.column("text").to_pylist())
+                flag, side = np.asarray(batch.column("flag")), np.asarray(batch.column("side")).astype(np.uint64)
+                ids = S.class_ids(cp, row, n, side)
+                at_char, h = prefixes(cp, row, side)
+                size = np.bincount(row, minlength=n)
+                r = row[at_char]
+                train = flag[r] == 1
+                own = salted(np.unique(h[train]), None)[1]  # where training texts repeat a prefix does not matter
+                other = r[~train]
+                key = np.concatenate([own, salted(h[~train], ids[other])[1]])
+                cls = np.concatenate([np.zeros(len(own), np.uint64), ids[other]])
+                pos = np.concatenate([np.full(len(own), -1, np.int32), (at_char[~train] - (np.cumsum(size) - size)[other]).astype(np.int32)])
+                bucket = (key % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                names, first = np.unique(bucket[order], return_index=True)
+                blobs = ([x.tobytes() for x in np.split(a[order], first[1:])] for a in (key, cls, pos))
+                if len(names):
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], schema=SUFFIX_SCHEMA)
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[bytes]] = [[], [], []]
+        for b in batches:
+            for k, c in enumerate(("h", "cls", "pos")):
+                held[k] += b.column(c).to_pylist()
+        h, cls, pos = (np.frombuffer(b"".join(x), t) for x, t in zip(held, (np.uint64, np.int64, np.int32), strict=True))
+        order = np.lexsort((pos, h))  # training suffixes come first among equals
+        h, cls, pos = h[order], cls[order], pos[order]
+        start = np.r_[True, h[1:] != h[:-1]] if len(h) else np.empty(0, bool)
+        shared = (pos[start] < 0)[np.cumsum(start) - 1] & (pos >= 0) if len(h) else start
+        for at in range(0, int(shared.sum()), 1 << 18):
+            k = np.flatnonzero(shared)[at : at + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(cls[k]), pa.array(pos[k])], names=["cls", "pos"])
+
+    entries = rows.select("text", "flag", "side").mapInArrow(suffixes, "bucket int, h binary, cls binary, pos binary")
+    return entries.repartitionById(parts, "bucket").mapInArrow(neighbours, "cls long, pos int")
+
+
+def overlap_coverage(df: DataFrame, sides: tuple[str, ...] = ("transliteration", "translation"), span: int = SPAN, id_column: str = "row_id") -> DataFrame:
+    """(side, other_id, n_chars, covered, coverage): of each record outside train with ``span`` or more characters (without
+    white space and ``!?.``) in a row that some training record has on that side: its characters, those in such spans, and
+    their share. The spans of all training records are merged.
+
+    Null and short texts have no row; repeated rows share their coverage. Empty input gives an empty result.
+    """
+    rows = side_rows(df, sides, id_column=id_column)
+    spans = covered_spans(rows, len(sides) * df.count(), span)
+    # a position adds what it reaches beyond the one before, so that overlapping spans count once
+    step = F.array_sort(F.collect_set("pos"))
+    gap = F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.when(i == 1, F.lit(span)).otherwise(F.least(F.lit(span), F.get("p", i - 1) - F.get("p", i - 2))))
+    covered = spans.groupBy("cls").agg(step.alias("p")).select("cls", F.aggregate(gap, F.lit(0), lambda a, x: a + x).cast("long").alias("covered"))
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            share = []
-            for x, y in zip(b.column("to").to_pylist(), b.column("tt").to_pylist(), strict=True):
-                x, y = S.alike_key(x), S.alike_key(y)
-                share.append(1.0 if x == y else shared_spans(x, y)[0] / len(x))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("side", "other_id", "train_id", "jaccard")), pa.array(share, pa.float64())], names=["side", "other_id", "train_id", "jaccard", "coverage"])
+            cp, row = S.flat_keys(b.column("text").to_pylist())
+            cls = S.class_ids(cp, row, b.num_rows, np.asarray(b.column("side")))
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("side"), pa.array(cls.view(np.int64)), pa.array(np.bincount(row, minlength=b.num_rows))], names=["row_id", "side", "cls", "n_chars"])
 
-    return both.mapInArrow(run, "side string, other_id long, train_id long, jaccard double, coverage double")
+    other = rows.where("flag = 2").select("row_id", "side", "text").mapInArrow(sizes, "row_id long, side tinyint, cls long, n_chars long")
+    name = F.element_at(F.array(*map(F.lit, sides)), F.col("side") + 1)
+    return other.join(covered, "cls").select(name.alias("side"), F.col("row_id").alias("other_id"), "n_chars", "covered", F.round(F.col("covered") / F.col("n_chars"), 6).alias("coverage"))
