@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 from tabletloom.session import cut, shuffle_partitions
 
-#: One entry of the packed shuffle: its key, the class of the text, 128 sketch bits, flags, filled sketch bins.
-ENTRY = np.dtype([("key", "<u8"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("flag", "u1"), ("filled", "u1")])
-SKETCH_BITS = 128
-#: By the smaller number of filled bins of two texts, the bits in which they may differ. At Jaccard 0.7 they differ in 19.2
-#: bits, with a variance of 15 + 450 / filled bins at most (simulated; bins filled by copies spread it); the limit is 4
-#: deviations above, which loses under 0.1 % of these pairs. Texts at 0.25 differ in 48, unrelated ones (0.1) in 58.
-SKETCH_LIMITS = np.ceil(19.2 + 4 * np.sqrt(15 + 450 / np.maximum(np.arange(SKETCH_BITS + 1), 1))).astype(np.uint8)
+#: One entry of the packed shuffle: its key, the class of the text, 192 sketch bits, flags, filled sketch bins.
+ENTRY = np.dtype([("key", "<u8"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("flag", "u1"), ("filled", "u1")])
+SKETCH_BITS = 192
+#: By the smaller number of filled bins of two texts, the bits in which they may differ. At Jaccard 0.7 they differ in 28.8
+#: bits, with a deviation of the root of 22 + 1150 / trigrams (simulated; bins filled by copies spread it); the limit is
+#: four deviations above. Texts at 0.25 differ in 72, unrelated ones (0.1) in 86.
+SKETCH_LIMITS = np.ceil(28.8 + 4 * np.sqrt(22 + 1150 / np.maximum(np.arange(SKETCH_BITS + 1), 1))).astype(np.uint8)
 #: Runs of one key beyond this length are cut into blocks that are compared as tasks of their own.
 BLOCK = 16_384
 #: Bytes of entries that one task sorts and compares.
@@ -72,8 +72,8 @@ def flat_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def class_ids(cp: np.ndarray, row: np.ndarray, rows: int, side: np.ndarray) -> np.ndarray:
     """A 64-bit id of each row's key and side: the sum of mixed (character, position) pairs, mixed with the length."""
     size = np.bincount(row, minlength=rows)
-    place = (np.arange(len(cp)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64)
-    h = mix(cp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(place))
+    place = np.arange(len(cp)) - np.repeat(np.cumsum(size) - size, size)
+    h = mix(cp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(np.arange(int(size.max(initial=0)), dtype=np.uint64))[place])
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h, out=total[1:])
     end = np.cumsum(size)
@@ -132,7 +132,7 @@ def densify(m: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(code_hash: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """rows x 2 words: one bit of the least hash of each of 128 bins, empty bins filled, so that the bits of two texts
+    """rows x 3 words: one bit of the least hash of each of 192 bins, empty bins filled, so that the bits of two texts
     differ on average with half the probability of their Jaccard distance; and how many bins of each row were not empty."""
     m = bin_minima(mix(code_hash ^ np.uint64(0x5851F42D4C957F2D)), row, rows, SKETCH_BITS)
     filled = (m != np.iinfo(np.uint64).max).sum(axis=1).astype(np.uint8)
@@ -185,7 +185,7 @@ class Parts:
     def add(self, key: np.ndarray, ids: np.ndarray, bits: np.ndarray, filled: np.ndarray, flag: np.ndarray) -> Iterator[pa.RecordBatch]:
         e = np.empty(len(key), ENTRY)
         e["key"], e["id"], e["filled"], e["flag"] = key, ids, filled, flag
-        e["s0"], e["s1"] = bits.T
+        e["s0"], e["s1"], e["s2"] = bits.T
         place = mix(key ^ np.uint64(0xA0761D6478BD642F))
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, key), len(self.hot) - 1)
@@ -226,22 +226,39 @@ class Entries:
 
     def __init__(self, e: np.ndarray) -> None:
         self.id, self.flag, self.filled = e["id"].astype(np.int64), e["flag"].copy(), e["filled"].copy()
-        self.words = [e[w].copy() for w in ("s0", "s1")]
+        self.words = [e[w].copy() for w in ("s0", "s1", "s2")]
 
 
 def near(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of ids whose sketches differ in at most as many bits as ``SKETCH_LIMITS`` allows; many others are gone
-    after one word."""
-    d = np.bitwise_count(a.words[0][i] ^ b.words[0][j])
+    """The pairs of ids whose sketches differ in at most as many bits as ``SKETCH_LIMITS`` allows; most others are gone
+    after two words."""
+    d = np.bitwise_count(a.words[0][i] ^ b.words[0][j]) + np.bitwise_count(a.words[1][i] ^ b.words[1][j])
     limit = SKETCH_LIMITS[np.minimum(a.filled[i], b.filled[j])]
     ok = d <= limit
     i, j, d, limit = i[ok], j[ok], d[ok], limit[ok]
-    ok = d + np.bitwise_count(a.words[1][i] ^ b.words[1][j]) <= limit
+    ok = d + np.bitwise_count(a.words[2][i] ^ b.words[2][j]) <= limit
     x, y = a.id[i[ok]], b.id[j[ok]]
     ok = x != y
     return np.minimum(x, y)[ok], np.maximum(x, y)[ok]
 
 
+def dense_near(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Like ``near``, of each of ``i`` with each of ``j``: as matrices, some rows at a time."""
+    if not len(i) or not len(j):
+        return
+    most = SKETCH_LIMITS[min(int(a.filled[i].min()), int(b.filled[j].min()))]
+    right = [w[j] for w in b.words]
+    step = max(1, (1 << 18) // len(j))
+    for at in range(0, len(i), step):
+        k = i[at : at + step]
+        d = np.bitwise_count(a.words[0][k, None] ^ right[0][None])
+        for n in (1, 2):
+            d += np.bitwise_count(a.words[n][k, None] ^ right[n][None])
+        x, y = np.nonzero(d <= most)
+        if len(x):
+            yield near(a, k[x], b, j[y])
+
+
 def products(left: np.ndarray, first: np.ndarray, count: np.ndarray, size: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of each of ``left`` with the ``count`` numbers from ``first`` on, some ``size`` at a time."""
     done = np.cumsum(count)
@@ -255,20 +272,28 @@ def products(left: np.ndarray, first: np.ndarray, count: np.ndarray, size: int =
         at = to
 
 
+#: Comparisons from which on a run is compared as a matrix; those of smaller runs are listed together.
+DENSE = 4_096
+
+
 def run_pairs(e: Entries, start: np.ndarray, size: np.ndarray, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Near pairs within each run of entries: all of them, or with ``cross`` those of flag 2 with those of flag 1."""
     group = np.repeat(np.arange(len(start)), size)
     at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(len(group))
-    if not cross:
-        for i, j in products(at, at + 1, np.repeat(start + size, size) - at - 1):
+    train, other = ((e.flag[at] & f) > 0 for f in (1, 2)) if cross else (np.ones(len(at), bool),) * 2
+    trains, others = at[train], at[other]
+    n, m = (np.bincount(group[x], minlength=len(start)) for x in (train, other))
+    first, begin = np.cumsum(n) - n, np.cumsum(m) - m
+    dense = n * m >= DENSE
+    for k in np.flatnonzero(dense).tolist():
+        yield from dense_near(e, others[begin[k] : begin[k] + m[k]], e, trains[first[k] : first[k] + n[k]])
+    few = ~dense[group] & other
+    if cross:
+        for i, j in products(at[few], first[group[few]], n[group[few]]):
+            yield near(e, i, e, trains[j])
+    else:
+        for i, j in products(at[few], at[few] + 1, (start + size)[group[few]] - at[few] - 1):
             yield near(e, i, e, j)
-        return
-    train, other = (e.flag[at] & 1) > 0, (e.flag[at] & 2) > 0
-    trains = at[train]
-    count = np.bincount(group[train], minlength=len(start))
-    first = np.cumsum(count) - count
-    for i, j in products(at[other], first[group[other]], count[group[other]]):
-        yield near(e, i, e, trains[j])
 
 
 def blocks(run: np.ndarray, cross: bool) -> Iterator[tuple[bytes, bytes]]:
@@ -282,8 +307,7 @@ def blocks(run: np.ndarray, cross: bool) -> Iterator[tuple[bytes, bytes]]:
 
 
 def block_pairs(a: Entries, b: Entries) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for x, y in products(np.arange(len(a.id)), np.zeros(len(a.id), np.int64), np.full(len(a.id), len(b.id))):
-        yield near(a, x, b, y)
+    yield from dense_near(a, np.arange(len(a.id)), b, np.arange(len(b.id)))
 
 
 JOB_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])

@@ -1,7 +1,7 @@
 """Problem 6: records of evaluation splits that reappear in the training split, found by a suffix array.
 
 The texts of all splits, without white space and ``!?.`` and in lower case, are one long concatenation. Of its suffixes a
-sample is kept that is the same wherever the same characters stand: in each of 16 classes of trigrams, those that begin with
+sample is kept that is the same wherever the same characters stand: in each of 12 classes of trigrams, those that begin with
 the text's least trigram of the class (by a hash). They are bucketed by their first 10 characters and sorted in each bucket
 by these (as packed codes), so suffixes with a common prefix of 10 or more characters are adjacent: a run of the array.
 Cross-split neighbours in a run whose sketches allow it are candidates, and are compared exactly. Very short texts have
@@ -24,8 +24,8 @@ from tabletloom.llm import sketch as S
 from tabletloom.session import cut, shuffle_partitions
 
 #: Characters of the common prefix, and sampled suffixes of a text. Pairs at Jaccard 0.7 to 0.76 with random edits miss each
-#: other with a probability of 0.07 % at 45 characters, less beyond (simulated). Larger collections may ask for a longer one.
-PREFIX, SAMPLED = 10, 16
+#: other with a probability of about 0.2 % from 60 characters on (simulated). Larger collections may ask for a longer one.
+PREFIX, SAMPLED = 10, 12
 #: Texts with so many trigrams or fewer have pair keys besides; two alike texts of which one has 40 or fewer both have them.
 SHORT = 57
 #: Length from which on a shared span counts for coverage.
@@ -48,13 +48,26 @@ def prefix_hashes(cp: np.ndarray, length: int) -> np.ndarray:
 
 
 def packed_prefixes(cp: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The first 10 characters of each suffix as 6-bit codes in one number, so that numbers sort as the suffixes do (by
+    """The first ``PREFIX`` = 10 characters of each suffix as 6-bit codes in one number, so that numbers sort as the suffixes do (by
     code); what lies beyond the text's end is 0."""
     c = cp.astype(np.uint64)
-    code = np.where(c < 128, c & np.uint64(63), np.uint64(1) + S.mix(c.copy()) % np.uint64(63))
-    out = code << np.uint64(6 * (PREFIX - 1))
-    for k in range(1, min(PREFIX, len(cp))):
-        out[:-k] |= np.where(row[k:] == row[:-k], code[k:], np.uint64(0)) << np.uint64(6 * (PREFIX - 1 - k))
+    code = c & np.uint64(63)
+    wide = np.flatnonzero(cp >= 128)
+    code[wide] = np.uint64(1) + S.mix(c[wide]) % np.uint64(63)
+    size = np.bincount(row)
+    end = np.cumsum(size[size > 0])
+
+    def twice(x: np.ndarray, y: np.ndarray, bits: int, ahead: int) -> np.ndarray:
+        out = x << np.uint64(bits)
+        out[:-ahead] |= y[ahead:] if len(x) > ahead else y[:0]
+        return out
+
+    two = twice(code, code, 6, 1)
+    out = twice(twice(twice(two, two, 12, 2), twice(two, two, 12, 2), 24, 4), two, 12, 8)
+    for left in range(1, PREFIX):  # what was taken from behind a text's end goes
+        at = end - left
+        at = at[at >= np.r_[0, end[:-1]]]
+        out[at] &= np.uint64(2**60 - 1) ^ np.uint64(2 ** (6 * (PREFIX - left)) - 1)
     return out
 
 
@@ -68,7 +81,7 @@ def sampled_suffixes(cp: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.nda
     prefix = prefix[row[:-2] == row[2:]]
     h = S.mix(code ^ np.uint64(0xD6E8FEB86659FD93))
     at = r * SAMPLED + (((h & np.uint64(0xFFFF)) * np.uint64(SAMPLED)) >> np.uint64(16)).astype(np.int64)
-    order = (h >> np.uint64(32) << np.uint64(32)) | (S.mix(prefix.copy()) >> np.uint64(32))
+    order = (h & np.uint64(0xFFFFFFFF00000000)) | ((prefix * np.uint64(_BASE)) >> np.uint64(32))
     least = np.full(rows * SAMPLED, _NONE, np.uint64)
     np.minimum.at(least, at, order)
     k = np.flatnonzero(order == least[at])
