@@ -67,3 +67,10 @@ def ship(spark: SparkSession) -> None:
     target = Path(tempfile.mkdtemp(prefix="tabletloom-")) / name  # on the driver only: Spark serves it from there
     target.write_bytes(data.getvalue())
     sc.addPyFile(str(target))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, should a small file give fewer: for work that costs much more than
+    moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
