@@ -186,36 +186,88 @@ def test_alignment_of_known_documents(spark):
     assert bitext.align(df.limit(0)).count() == 0
 
 
-def test_repeated_lines_of_long_documents_keep_their_partners(monkeypatch):
+def test_repeated_lines_of_long_documents_keep_their_partners():
     n = 101
-    score = np.zeros((n, n))
-    score[1::2, 1::2] = 0.6  # a formula on every other line
-    score[np.arange(0, n, 2), np.arange(0, n, 2)] = 0.9
-    monkeypatch.setattr(bitext, "shares", lambda *_: (score, score))
-    assert [x[:2] for x in bitext.links(["a"] * n, ["b"] * n, None)] == [(i, i) for i in range(1, n + 1)]
-
-
-def test_alignment_in_order_is_that_of_every_cell():
-    def by_cell(score):
-        n, m = score.shape
-        best, way = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1), np.int8)
-        for i in range(1, n + 1):
-            for j in range(1, m + 1):
-                x = score[i - 1, j - 1] - 0.3
-                options = (best[i - 1, j - 1] + x, best[i - 1, j], best[i, j - 1], best[i - 1, j] + x * 0.9, best[i, j - 1] + x * 0.9)
-                way[i, j] = k = max(range(5), key=options.__getitem__)
-                best[i, j] = options[k]
-        on, i, j = np.zeros((n, m), bool), n, m
-        while i and j:
-            k = way[i, j]
-            on[i - 1, j - 1] = k in (0, 3, 4)
-            i, j = i - (k in (0, 1, 3)), j - (k in (0, 2, 4))
-        return on
+    score = np.zeros((1, n, n))
+    score[0, 1::2, 1::2] = 0.6  # a formula on every other line
+    score[0, np.arange(0, n, 2), np.arange(0, n, 2)] = 0.9
+    found = bitext.links(score, score, np.array([n]), np.array([n]))
+    assert (found[0] == np.eye(n, dtype=bool)).all()
+
+
+def test_moved_lines_are_found_by_further_passes():
+    order = [5, 1, 2, 0, 4, 3, 7, 6]
+    score = np.zeros((1, 8, 9))
+    score[0, np.arange(8), order] = 0.8
+    score[0, 2, 8] = 0.7  # a second sentence of one line, far away
+    found = bitext.links(score, score, np.array([8]), np.array([9]))
+    assert {tuple(x) for x in np.argwhere(found[0]).tolist()} == {*enumerate(order), (2, 8)}
+
+
+def test_alignment_in_order_is_the_best():
+    def best_total(x):
+        best = np.zeros((x.shape[0] + 1, x.shape[1] + 1))
+        for i in range(1, x.shape[0] + 1):
+            for j in range(1, x.shape[1] + 1):
+                v = x[i - 1, j - 1]
+                best[i, j] = max(best[i - 1, j - 1] + v, best[i - 1, j] + max(0, 0.9 * v), best[i, j - 1] + max(0, 0.9 * v))
+        return best[-1, -1]
 
     rng = np.random.default_rng(2)
-    for _ in range(100):
-        score = rng.random((rng.integers(1, 25), rng.integers(1, 25))).round(1)
-        assert (bitext.in_order(score) == by_cell(score)).all()
+    n, m = rng.integers(1, 25, 100), rng.integers(1, 25, 100)
+    score = np.full((100, n.max(), m.max()), -1.0)
+    for d in range(100):
+        score[d, : n[d], : m[d]] = rng.random((n[d], m[d])).round(1) - 0.5
+    on = bitext.in_order(score, n, m)
+    for d in range(100):
+        assert not on[d, n[d] :].any() and not on[d, :, m[d] :].any()
+        total, last = 0.0, (-1, -1)
+        for i, j in np.argwhere(on[d]).tolist():
+            assert i >= last[0] and j >= last[1]
+            total += score[d, i, j] * (0.9 if i == last[0] or j == last[1] else 1)
+            last = (i, j)
+        assert total >= best_total(score[d, : n[d], : m[d]]) - 1e-6
+
+
+def test_length_beads_are_the_cheapest():
+    def best_total(a, b):
+        ratio = min(5.0, max(0.2, (sum(b) + 1) / (sum(a) + 1)))
+        cost = lambda x, y: abs(x * ratio - y) / (3.0 * ((x * ratio + y) / 2 + 1) ** 0.5)
+        best = np.full((len(a) + 1, len(b) + 1), np.inf)
+        best[0, 0] = 0
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                for di, dj, c in ((1, 1, 0), (1, 0, 3), (0, 1, 3), (2, 1, 1.5), (1, 2, 1.5)):
+                    if i >= di and j >= dj:
+                        best[i, j] = min(best[i, j], best[i - di, j - dj] + c + (cost(sum(a[i - di : i]), sum(b[j - dj : j])) if di and dj else 0))
+        return best[-1, -1], cost
+
+    rng = np.random.default_rng(4)
+    n, m = rng.integers(1, 9, 40), rng.integers(1, 9, 40)
+    a, b = np.zeros((40, 8), int), np.zeros((40, 8), int)
+    for d in range(40):
+        a[d, : n[d]], b[d, : m[d]] = rng.integers(5, 90, n[d]), rng.integers(5, 90, m[d])
+    d, i, j, c = bitext.length_beads(a, b, n, m)
+    same = np.array([5, 50, 20])
+    assert [tuple(x) for x in zip(*(x.tolist() for x in bitext.length_beads(same[None], same[None], np.array([3]), np.array([3]))[:3]), strict=True)] == [(0, 2, 2), (0, 1, 1), (0, 0, 0)]
+    for k in range(40):
+        total, cost = best_total(a[k, : n[k]].tolist(), b[k, : m[k]].tolist())
+        mine = [(x, y, z) for q, x, y, z in zip(d, i, j, c, strict=True) if q == k]
+        assert sum(z for *_, z in mine) <= total + 1e-3
+        assert all(abs(z - cost(a[k, x], b[k, y])) < 1e-3 for x, y, z in mine)
+
+
+def test_names_agree_by_letter_pairs():
+    def jaccard(x, y):
+        x, y = ({s[i : i + 2] for i in range(len(s) - 1)} for s in (x, y))
+        return len(x & y) / len(x | y)
+
+    rng = random.Random(3)
+    names = ["^" + "".join(rng.choices("abcdz", k=rng.randint(1, 9))) + "$" for _ in range(60)]
+    bits = bitext.letter_pairs(names)
+    for x, y in ((rng.randrange(60), rng.randrange(60)) for _ in range(300)):
+        both, either = np.bitwise_count(bits[x] & bits[y]).sum(), np.bitwise_count(bits[x] | bits[y]).sum()
+        assert both / either == pytest.approx(jaccard(names[x], names[y]))
 
 
 # --- problem 8 ---
