@@ -25,12 +25,18 @@ SENTENCES = [
 ]
 
 
-def pages(seed=1, n=80):
+def invented(rng):
+    """Words of a richer vocabulary."""
+    return ["".join(rng.choices(("mer", "tan", "so", "les", "cor", "in", "de", "mos", "ten", "ran"), k=rng.randint(3, 4))) for _ in range(150)]
+
+
+def pages(seed=1, n=240):
     """Pages with known defects: (text, set of (line, defect))."""
     rng = random.Random(seed)
+    more = invented(rng)
     out = []
     for p in range(n):
-        words = [w for s in rng.choices(SENTENCES, k=8) for w in s.split()]
+        words = [w for s in rng.choices(SENTENCES, k=5) for w in (*s.split(), *rng.choices(more, k=6))]
         lines, defects = [], set()
         if p % 2:
             lines.append(f"{p}  Caravan Letters")
@@ -38,8 +44,8 @@ def pages(seed=1, n=80):
         line = ""
         while words:
             w = words.pop(0)
-            if "-" not in w and len(w) > 5 and rng.random() < 0.06:
-                for a, b in (("t", "f"), ("s", "5"), ("o", "0"), ("m", "rn"), ("n", "ii"), ("e", "c")):
+            if "-" not in w and len(w) > 5 and rng.random() < 0.02:
+                for a, b in rng.sample((("t", "f"), ("s", "5"), ("o", "0"), ("m", "rn"), ("n", "ii"), ("e", "c")), 6):
                     if a in w:
                         w = w.replace(a, b, 1)
                         defects.add((len(lines) + 1, "glyph"))
@@ -50,7 +56,7 @@ def pages(seed=1, n=80):
                     defects.add((len(lines), "hyphen"))
                     line = w[4:]
                     continue
-                if (len(lines) + 1, "glyph") in defects and w not in " ".join(SENTENCES):
+                if (len(lines) + 1, "glyph") in defects and w not in " ".join((*SENTENCES, *more)):
                     defects.discard((len(lines) + 1, "glyph"))
                     defects.add((len(lines) + 2, "glyph"))
                 lines.append(line)
@@ -73,7 +79,7 @@ def test_defects_of_known_pages(spark):
     expected = {(i, k, d) for i, (_, ds) in enumerate(given_) for k, d in ds}
     for kind in ("furniture", "hyphen", "glyph"):
         g, e = ({x for x in s if x[2] == kind} for s in (got, expected))
-        assert len(g & e) >= 0.85 * len(e) and len(g & e) >= 0.9 * len(g), (kind, len(g), len(e), len(g & e))
+        assert len(g & e) >= 0.95 * len(e) and len(g & e) >= 0.95 * len(g), (kind, len(g), len(e), len(g & e))
     text = {r["row_id"]: r["text"] for r in ocr_repair.paragraphs(df).collect() if r["paragraph_no"] == 1}
     assert "Caravan" not in " ".join(v for k, v in text.items() if k is not None and k < 900)
     assert 900 not in text and 901 not in text
@@ -86,16 +92,25 @@ def test_short_and_long_words_are_repaired(spark):
     long = "šumma-awīlum-" * 6 + "ana"
     texts = [t for t, _ in pages()]
     bad = {7: "§a", 20: "ſa", 33: "5a", 46: long.replace("š", "5", 1), 59: "l9"}
+    signs = ["iš-ma", "še-um", "uš-ba-al", "aš-šur", "la-áš"]  # words that show the operations
+    shown = {60 + 5 * k + i: w.replace("š", s, 1) for k, s in enumerate("§ſ5") for i, w in enumerate(signs)}
     rows = []
     for i, t in enumerate(texts):
         w = bad.get(i, "ša" if i % 4 else long)
-        rows.append((i, f"{t}\nthe merchant {w} {rng.choice(('house', 'garden'))} received silver"))
+        rows.append((i, f"{t}\nthe merchant {w} {rng.choice(('house', 'garden'))} {shown.get(i, signs[i % 5])} received silver"))
     df = spark.createDataFrame(rows, "row_id long, page_text string")
     got = {(r["row_id"], r["word"], r["right"]) for r in ocr_repair.defects(df).where("defect = 'glyph'").collect()}
     assert {(7, "§a", "ša"), (20, "ſa", "ša"), (33, "5a", "ša"), (46, bad[46], long)} <= got
     assert not [g for g in got if g[1] in ("l9", "ša", long)]
 
 
+def test_operations_are_learned_from_words():
+    frequent = {w: 100 for w in ("merchant", "tablets", "silver", "market", "month", "garden", "ītēpuš", "balance", "of", "off")}
+    rare = {"merchaiit": 1, "tableis": 2, "monfh": 1, "gardeii": 1, "balaiice": 1, "markef": 1, "merchanf": 3, "itēpuš": 1, "ītepuš": 1, "itepuš": 2}
+    assert ocr_repair.learn_operations(rare, frequent) == [("f", "t"), ("ii", "n")]
+    assert ocr_repair.learn_operations({}, frequent) == []
+
+
 def test_rebuild_keeps_sign_joints():
     page = "1\nThe re-\nport of Ṣe-\nlu-lu and tbe end\n\nnext"
     found = [{"line_no": 1, "defect": "furniture"}, {"line_no": 2, "defect": "hyphen"}, {"line_no": 4, "defect": "glyph", "word": "tbe", "right": "the"}]
