@@ -21,7 +21,7 @@ HEADER_MARKS = "šṭṣḫāēīūṣṭŠḤĪŪĀĒṦḫšṢ"
 # Language scores.
 DIACRITICS = "šṭṣḫāēīūṢŠḤĪŪĀĒṦ"
 SCORE_SUMEROGRAM = r"[A-Z]{2,}(?:\.[A-Z]+)*"
-SCORE_GAP = r"\[[\w\s\.x\?\+]*\]"
+SCORE_GAP = r"\[[\p{L}\p{N}_\s\x0B\x1C-\x1F\x85\p{Z}.x?+]*\]"
 KEYWORDS = "dumu i-na a-na itu.kam li-mu-um iš-tù ḫa-mu kù.babbar ma-na gín um-ma igi ṣí-ib-tám ú-ṣa-áb i-ṣé-er i-šu ḫa-mu-uš-tim i-ša-qal il5-qé".split()
 ENGLISH = (
     "the and of to in is that he she his her was will from with has have had not but or as at by be it its this for an are were been being which who whom they "

@@ -43,5 +43,16 @@ def assemble(lexicon: Column, examples: Column, source: Column | None, budget: i
     return F.when(F.length(whole) <= budget, whole).when(n == 1, F.substring(whole, 1, budget)).when(n == 2, two).otherwise(three)
 
 
+def assemble_all(df: DataFrame, names: DataFrame, table: DataFrame, hits: DataFrame | None = None, id_column: str = "row_id", column: str = "transliteration", budget: int = BUDGET) -> DataFrame:
+    """(id, prompt, estimate) of all rows: lexicon entries, the hits (query_id, rank, transliteration, translation) as
+    examples, and the text itself. Rows without entries or hits have fewer sections."""
+    out = df.select(id_column, column).join(lexicon_section(df, names, table, id_column, column), id_column, "left")
+    if hits is None:
+        out = out.withColumn("examples", F.lit(None).cast("string"))
+    else:
+        out = out.join(examples_section(hits).withColumnRenamed("query_id", id_column), id_column, "left")
+    return out.select(id_column, assemble(F.col("lexicon"), F.col("examples"), F.col(column), budget).alias("prompt"), estimated_length(F.col(column)).alias("estimate"))
+
+
 def estimated_length(source: Column) -> Column:
     return F.lit(100 + 300 + 12) + F.length(text(source))

@@ -1,15 +1,15 @@
 """Exact and near duplicates.
 
-Near duplicates are found by the exact similarity join of ``simjoin`` over the distinct trigram sets.
+Near duplicates are found by the exact similarity join of ``simjoin`` over the distinct keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabletloom.functions.text import dedup_key, trigrams
-from tabletloom.operators.simjoin import join_sets
+from tabletloom.functions.text import dedup_key
+from tabletloom.operators.simjoin import join_texts
 from tabletloom.session import cut
 
 THRESHOLD = 0.7
@@ -26,63 +26,65 @@ def unique_in_order(df: DataFrame, column: str, order: str = "row_id") -> DataFr
     return df.groupBy(column).agg(F.min(order).alias("first"))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays of distinct elements; 0 if either is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
-
-
 def trigram_sets(df: DataFrame, column: str, order: str = "row_id") -> DataFrame:
-    """(id, sid, grams): rows with trigrams, with a number of their set (rows of equal sets share it)."""
-    grams = F.array_sort(trigrams(dedup_key(column)))
-    return df.select(F.col(order).alias("id"), grams.alias("grams")).where("size(grams) > 0").withColumn("sid", F.xxhash64("grams"))
+    """(id, sid, key): rows with trigrams, with a number of their key (rows of equal keys share it)."""
+    key = dedup_key(column)
+    return df.select(F.col(order).alias("id"), key.alias("key")).where("length(key) >= 3").withColumn("sid", F.xxhash64("key"))
 
 
 def similar_sets(left: DataFrame, right: DataFrame | None, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) of different sets with Jaccard similarity of at least ``threshold``: of left and right, or within left."""
-    side = lambda df, k: df.select("sid", F.lit(k).cast("tinyint").alias("side"), F.col("grams").alias("elems")).dropDuplicates(["sid"])
+    """(a, b) of different keys with Jaccard similarity of at least ``threshold``: of left and right, or within left."""
+    side = lambda df, k: df.select("sid", F.lit(k).cast("tinyint").alias("side"), "key").dropDuplicates(["sid"])
     sets = side(left, 0) if right is None else side(left, 0).union(side(right, 1))
-    return join_sets(cut(sets), threshold, two=right is not None)
+    return join_texts(sets, threshold, two=right is not None)
 
 
 def existing_duplicates(new: DataFrame, existing: DataFrame, column: str, threshold: float = THRESHOLD, order: str = "row_id") -> DataFrame:
     """Orders of the new rows that are alike to an existing row, or have no trigram."""
     n, e = trigram_sets(new, column, order), trigram_sets(existing, column, order)
-    n, e = cut(n.select("id", "sid", "grams")), e.select("sid", "grams")
     hit = similar_sets(n, e, threshold).select(F.col("a").alias("sid")).union(n.select("sid").join(e.select("sid"), "sid", "left_semi"))
     alike = n.join(hit.distinct(), "sid", "left_semi").select("id")
-    empty = new.select(F.col(order).alias("id")).join(n.select("id"), "id", "left_anti")
+    empty = new.where(F.length(dedup_key(column)) < 3).select(F.col(order).alias("id"))
     return alike.union(empty)
 
 
 def greedy_survivors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``nodes`` (id) without those that an earlier survivor is linked to: the first maximal independent set in id order.
 
-    ``edges`` has (a, b), a < b. Each round keeps the rows all of whose earlier neighbours are out, and puts out their
-    later neighbours; decisions are checkpointed, so the plan stays short.
+    ``edges`` has (a, b), a < b. Only nodes with an edge are decided. Each round keeps those all of whose earlier neighbours
+    are out, puts out the later neighbours of what is kept, and drops the edges of both, so that rounds shrink; they are
+    checkpointed, so the plan stays short. There are as many rounds as the longest chain of decisions.
     """
-    state = cut(nodes.select("id", F.lit(0).alias("s")))  # 0 open, 1 kept, 2 out
     edges = cut(edges.select("a", "b").distinct())
-    while True:
-        e = edges.join(state.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-        seen = e.groupBy("b").agg(F.max((F.col("sa") == 1).cast("int")).alias("kept"), F.max((F.col("sa") == 0).cast("int")).alias("open")).withColumnRenamed("b", "id")
-        new = F.when(F.col("s") != 0, F.col("s")).when(F.col("kept") == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
-        state = cut(state.join(seen, "id", "left").select("id", new.alias("s")))
-        if state.where("s = 0").isEmpty():
-            return state.where("s = 1").select("id")
+    gone = None
+    rest = edges
+    while not rest.isEmpty():
+        kept = rest.select(F.col("a").alias("id")).distinct().join(rest.select(F.col("b").alias("id")), "id", "left_anti")
+        out = cut(rest.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        gone = out if gone is None else cut(gone.union(out))
+        rest = rest.join(out.withColumnRenamed("id", "a"), "a", "left_anti").join(out.withColumnRenamed("id", "b"), "b", "left_anti")
+        rest = cut(rest.select("a", "b"))
+    return nodes.select("id") if gone is None else nodes.select("id").join(gone, "id", "left_anti")
 
 
 def near_dedup(new: DataFrame, column: str, existing: DataFrame | None = None, threshold: float = THRESHOLD, order: str = "row_id") -> DataFrame:
     """The new rows that survive: first those alike to existing rows (and those without trigrams) go, then in order each
-    row that is alike to an earlier survivor."""
+    row that is alike to an earlier survivor. ``order`` may be of any type that sorts, such as a struct."""
     if existing is not None:
-        out = existing_duplicates(new, existing, column, threshold, order)
+        out = existing_duplicates(new, existing.select(F.col(column)).withColumn(order, F.lit(None)), column, threshold, order)
+        rest = cut(new.join(out.withColumnRenamed("id", order), order, "left_anti"))
     else:
-        out = new.select(F.col(order).alias("id")).join(trigram_sets(new, column, order).select("id"), "id", "left_anti")
-    rest = cut(new.join(out.withColumnRenamed("id", order), order, "left_anti"))
+        rest = new.where(F.length(dedup_key(column)) >= 3)
     sets = cut(trigram_sets(rest, column, order))
-    # of rows with equal sets only the first can survive
+    # of rows with equal keys only the first can survive
     first = cut(sets.groupBy("sid").agg(F.min("id").alias("id")))
     links = similar_sets(sets, None, threshold).join(first.select(F.col("sid").alias("a"), F.col("id").alias("ia")), "a").join(first.select(F.col("sid").alias("b"), F.col("id").alias("ib")), "b")
     kept = greedy_survivors(links.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")), first)
     return rest.join(kept.withColumnRenamed("id", order), order, "left_semi")
+
+
+def numbered(df: DataFrame, order: str = "row_id", name: str = "row_no") -> DataFrame:
+    """What is left of a filtered table with new dense numbers from 0 in the old order."""
+    from tabletloom.operators.submit import with_positions
+
+    return with_positions(df, order).withColumnRenamed("pos", name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from tabletloom.functions import fixed as X
 from tabletloom.functions.features import NAME, SUMEROGRAM, all_matches
 from tabletloom.functions.text import clean_definition, dictionary_base, is_upper, text, undotted
-from tabletloom.session import cut
+from tabletloom.operators.flat import flat
+from tabletloom.session import cut, spread
 
 SIMILAR = 0.8
 #: A lookup table of at most so many rows is broadcast; a larger one is joined by a shuffle.
@@ -83,52 +85,85 @@ def lookup_dictionary(terms: DataFrame, column: str, dictionary: DataFrame) -> D
     return terms.join(small(d), column, "left")
 
 
+def _ratio(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+class _Forms:
+    """Forms with their letter counts, to find the one most alike to a term."""
+
+    def __init__(self, forms: list[str]) -> None:
+        self.forms, self.low = forms, [f.lower() for f in forms]
+        cp, row = flat(self.low)
+        self.letters = np.unique(cp)
+        self.size = np.array([len(x) for x in self.low], np.int64)
+        self.counts = np.zeros((len(forms), len(self.letters)), np.int16)
+        np.add.at(self.counts, (row, np.searchsorted(self.letters, cp)), 1)
+
+    def best(self, term: str, threshold: float) -> tuple[str, float] | None:
+        """The earliest form of the greatest ratio. No ratio exceeds twice the common letters over both lengths, so forms are
+        tried by falling bound, as long as that could still win."""
+        query = term.lower()
+        cp = np.frombuffer(query.encode("utf-32-le", "surrogatepass"), np.uint32)
+        own = np.bincount(np.searchsorted(self.letters, cp[np.isin(cp, self.letters)]), minlength=len(self.letters))
+        used = np.flatnonzero(own)
+        common = np.minimum(self.counts[:, used], own[used]).sum(axis=1) if len(used) else np.zeros(len(self.forms), np.int64)
+        bound = 2 * common / np.maximum(self.size + len(query), 1)
+        near = np.flatnonzero(bound >= threshold - 1e-12)
+        top, found = 0.0, -1
+        for i in near[np.argsort(-bound[near], kind="stable")].tolist():
+            if bound[i] < top:
+                break
+            ratio = _ratio(query, self.low[i])
+            if ratio > top or ratio == top and 0 <= i < found:
+                top, found = ratio, i
+        return (self.forms[found], top) if found >= 0 and top >= threshold else None
+
+
+def _pieces(c: Column) -> Column:
+    """Pairs of neighbouring letters, and single ones of words of up to five."""
+    low = F.lower(c)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2)))
+    return F.array_distinct(F.when(F.length(low) <= 5, F.concat(pairs, F.split(low, ""))).otherwise(pairs))
+
+
 def fuzzy_matches(terms: DataFrame, column: str, names: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """(term, form, norm, lexeme, type, similarity) of each distinct term: its own form at similarity 1, else the form of
-    the greatest matching-blocks ratio in lower case, the earliest among equals, if that reaches ``threshold``.
+    the greatest matching-blocks ratio in lower case, the earliest among equals, if that reaches ``threshold`` (0.8 or more).
 
-    Each distinct term is compared once. The ratio is at most twice the shorter length over both lengths, and at most
-    twice the common letters over both lengths, so only pairs within both bounds are compared.
+    Each distinct term is compared once. Beyond ``BROADCAST_ROWS`` forms, terms and forms meet at common pairs of letters:
+    with a ratio of 0.8 over S letters at most 0.2 S letters are unmatched, so there are at most 0.2 S + 1 blocks and at
+    least 0.2 S - 1 common pairs, one or more from S = 10 on; shorter words meet at single letters.
     """
+    if threshold < SIMILAR:
+        raise ValueError(f"threshold must be at least {SIMILAR}")
     distinct = terms.select(F.col(column).alias("term")).where("term is not null").distinct()
     t = cut(names)
     exact = distinct.join(small(t.select(F.col("form").alias("term"), F.col("form"), "norm", "lexeme", "type")), "term").withColumn("similarity", F.lit(1.0))
     missing = cut(distinct.join(small(t.select(F.col("form").alias("term"))), "term", "left_anti"))
     n = t.count()
     if n <= BROADCAST_ROWS:  # the forms travel to the terms
-        shared = names.sparkSession.sparkContext.broadcast([(r["form"], r["form"].lower(), r["pos"]) for r in t.select("form", "pos").orderBy("pos").collect()])
+        shared = names.sparkSession.sparkContext.broadcast([r["form"] for r in t.select("form", "pos").orderBy("pos").collect()])
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            forms = [(f, low, {c: low.count(c) for c in set(low)}) for f, low, _ in shared.value]
+            forms = _Forms(shared.value)
             for pdf in batches:
-                out = []
-                for term in pdf["term"]:
-                    query = term.lower()
-                    top, found = 0.0, None
-                    for form, low, letters in forms:
-                        size = len(query) + len(low)
-                        if not size or 2 * min(len(query), len(low)) / size < max(threshold, top):
-                            continue
-                        if 2 * sum(min(query.count(c), k) for c, k in letters.items()) / size < max(threshold, top):
-                            continue
-                        ratio = difflib.SequenceMatcher(None, query, low).ratio()
-                        if ratio > top:
-                            top, found = ratio, form
-                    if found is not None and top >= threshold:
-                        out.append((term, found, top))
-                yield pd.DataFrame(out, columns=["term", "form", "similarity"])
-
-        near = missing.mapInPandas(best, "term string, form string, similarity double")
-    else:  # terms and forms meet in blocks of nearby lengths
+                found = [(term, *got) for term in pdf["term"] if (got := forms.best(term, threshold))]
+                yield pd.DataFrame(found, columns=["term", "form", "similarity"])
+
+        near = spread(missing).mapInPandas(best, "term string, form string, similarity double")
+    else:
 
         def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                pdf["similarity"] = [difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() for a, b in zip(pdf["term"], pdf["form"], strict=True)]
+                pdf["similarity"] = [_ratio(a.lower(), b.lower()) for a, b in zip(pdf["term"], pdf["form"], strict=True)]
                 yield pdf[pdf["similarity"] >= threshold]
 
-        lengths = F.sequence(F.ceil(F.length("term") * (threshold / (2 - threshold)) - 1e-9).cast("int"), F.floor(F.length("term") * ((2 - threshold) / threshold) + 1e-9).cast("int"))
-        a = missing.select("term", F.explode(lengths).alias("len"))
-        pairs = a.join(t.select("form", "pos", F.length("form").alias("len")), "len").select("term", "form", "pos").mapInPandas(ratios, "term string, form string, pos long, similarity double")
+        a = missing.select("term", F.explode(_pieces(F.col("term"))).alias("piece"))
+        b = t.select("form", "pos", F.explode(_pieces(F.col("form"))).alias("piece"))
+        x, y = F.length("term"), F.length("form")
+        pairs = a.join(b, "piece").where(2 * F.least(x, y) >= threshold * (x + y) - 1e-9).select("term", "form", "pos").distinct()
+        pairs = pairs.mapInPandas(ratios, "term string, form string, pos long, similarity double")
         w = Window.partitionBy("term").orderBy(F.desc("similarity"), "pos")
         near = pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("term", "form", "similarity")
     near = near.join(small(t.select("form", "norm", "lexeme", "type"), n), "form").select("term", "form", "norm", "lexeme", "type", "similarity")

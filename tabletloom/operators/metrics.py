@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabletloom.functions.features import proper_nouns
 from tabletloom.functions.text import SPACE, match_key, text
+from tabletloom.operators.flat import flat, mix
+from tabletloom.session import spread
 
 
 def tokens_13a(c: Column) -> Column:
     """The public mteval-13a tokenisation: punctuation apart, full stops and commas beside digits together."""
+    # Replacements and patterns of that tokenisation, in its order.
     s = c
     for a, b in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         s = F.replace(s, F.lit(a), F.lit(b))
@@ -27,25 +30,52 @@ def tokens_13a(c: Column) -> Column:
     return F.filter(F.split(s, f"{SPACE}+"), lambda x: x != "")
 
 
+def _grams(codes: np.ndarray, row: np.ndarray, orders: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each order the distinct n-grams (as 64-bit numbers with their row folded in), and how often each occurs."""
+    own = mix(row.astype(np.uint64) ^ np.uint64(0xA0761D6478BD642F))
+    key = np.zeros(len(codes), np.uint64)
+    for n in range(1, orders + 1):
+        if n <= len(codes):
+            key = mix(key[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(n))
+        else:
+            key = key[:0]
+        inside = row[: len(key)] == row[n - 1 : n - 1 + len(key)]
+        yield np.unique(key[inside] + own[: len(key)][inside], return_counts=True)
+
+
 def _overlap(df: DataFrame, hyp: Column, refs: list[Column], orders: int) -> DataFrame:
     """(n, matched, hyp, ref): corpus sums of clipped n-gram counts of each order; n-grams never leave their row."""
-    rows = df.select(hyp.alias("h"), F.array(*refs).alias("r"))
+    names = ["h", *(f"r{k}" for k in range(len(refs)))]
+    rows = df.select(*(c.alias(n) for c, n in zip([hyp, *refs], names, strict=True)))
+
+    def coded(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+        columns = [batch.column(n) for n in names]
+        if not pa.types.is_list(columns[0].type):
+            return [(cp.astype(np.uint64), row) for cp, row in (flat(c.to_pylist()) for c in columns)]
+        numbers = pa.concat_arrays([c.flatten() for c in columns]).dictionary_encode().indices
+        out, at = [], 0
+        for c in columns:
+            size = np.asarray(pa.compute.list_value_length(c)).astype(np.int64)
+            n = int(size.sum())
+            out.append((np.asarray(numbers[at : at + n]).astype(np.uint64), np.repeat(np.arange(len(size)), size)))
+            at += n
+        return out
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matched, of_h, of_r = ([0] * orders for _ in range(3))
-        grams = lambda x, n: Counter(zip(*(x[k:] for k in range(n)), strict=False)) if n > 1 else Counter(x)
-        for batch in batches:
-            for h, refs_ in zip(batch.column("h").to_pylist(), batch.column("r").to_pylist(), strict=True):
-                for n in range(1, orders + 1):
-                    of_h[n - 1] += max(0, len(h) - n + 1)
-                    of_r[n - 1] += max(0, len(refs_[0]) - n + 1)
-                    most: Counter = Counter()
-                    for r in refs_:
-                        most |= grams(r, n)
-                    matched[n - 1] += sum((grams(h, n) & most).values())
-        yield pa.RecordBatch.from_arrays([pa.array(range(1, orders + 1), pa.int32()), *(pa.array(x, pa.int64()) for x in (matched, of_h, of_r))], names=["n", "matched", "hyp", "ref"])
-
-    counts = rows.mapInArrow(count, "n int, matched long, hyp long, ref long")
+        total = np.zeros((3, orders), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                sides = [_grams(*x, orders) for x in coded(whole.slice(at, 1000))]
+                for n, ((h, ch), *others) in enumerate(zip(*sides, strict=True)):
+                    most = np.zeros(len(h), np.int64)
+                    for r, cr in others:
+                        k = np.minimum(np.searchsorted(h, r), max(0, len(h) - 1))
+                        same = h[k] == r if len(h) else np.zeros(len(r), bool)
+                        most[k[same]] = np.maximum(most[k[same]], cr[same])
+                    total[:, n] += (np.minimum(ch, most).sum(), ch.sum(), others[0][1].sum())
+        yield pa.RecordBatch.from_arrays([pa.array(range(1, orders + 1), pa.int32()), *map(pa.array, total)], names=["n", "matched", "hyp", "ref"])
+
+    counts = spread(rows).mapInArrow(count, "n int, matched long, hyp long, ref long")
     return counts.groupBy("n").agg(F.sum("matched").alias("matched"), F.sum("hyp").alias("hyp"), F.sum("ref").alias("ref"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabletloom.functions import fixed as X
 from tabletloom.functions.scoring import akkadian_score, english_score, non_english_score
 from tabletloom.functions.text import fold_space, strip, text
+from tabletloom.session import spread
 
 #: Stands before a header or behind a candidate; it occurs in no text.
 CUT = "\x01"
@@ -58,25 +59,31 @@ def clean_translation(c: Column) -> Column:
     return F.when(F.length(out) >= 15, out).otherwise("")
 
 
-def split_candidates(df: DataFrame, keys: list[str], segment: str) -> DataFrame:
-    """``df`` with the position of each segment's first candidate that passes the gates, as ``at``."""
+def first_splits(segments_: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` with what stands ``before`` and ``after`` the first candidate of each segment that passes the gates.
+
+    Every candidate brings its surroundings only, and only those that pass are moved: to the first of each segment.
+    """
     at = F.col("_at")
-    before = strip(F.substring(F.col(segment), F.greatest(at - 200, F.lit(0)) + 1, F.least(at, F.lit(200))))
-    after = strip(F.substring(F.col(segment), at + 1, F.lit(300)))
-    c = df.select(*keys, F.explode(candidate_ends(F.col(segment))).alias("_at"), segment).select(*keys, "_at", before.alias("_b"), after.alias("_a"))
-    c = c.where((F.length("_b") >= 20) & (F.length("_a") >= 15))
-    c = c.where(akkadian_score("_b") >= 0.3).where(english_score("_a") >= 0.15).where(english_score("_b") <= 0.3).where(non_english_score("_a") <= 1.0)
-    return df.join(c.groupBy(*keys).agg(F.min("_at").alias("at")), keys)
-
-
-def extract_pairs(pages: DataFrame, id_column: str = "row_id", text_column: str = "page_text") -> DataFrame:
-    """(id, segment_no, transliteration, translation): the pair of each segment of a page that has one."""
-    seg = pages.select(id_column, F.posexplode(segments(text_column)).alias("segment_no", "segment"))
-    found = split_candidates(seg, [id_column, "segment_no"], "segment")
-    at = F.col("at")
-    before = strip(F.substring(F.col("segment"), F.greatest(at - 800, F.lit(0)) + 1, F.least(at, F.lit(800))))
-    after = strip(F.substring(F.col("segment"), at + 1, F.lit(2000)))
-    out = found.select(id_column, "segment_no", clean_transliteration(before).alias("transliteration"), clean_translation(after).alias("translation"))
+
+    def around(left: int, right: int) -> tuple[Column, Column]:
+        before = strip(F.substring(F.col("segment"), F.greatest(at - left, F.lit(0)) + 1, F.least(at, F.lit(left))))
+        return before, strip(F.substring(F.col("segment"), at + 1, F.lit(right)))
+
+    (b, a), (before, after) = around(200, 300), around(800, 2000)
+    c = segments_.select(*keys, "segment", F.explode(candidate_ends(F.col("segment"))).alias("_at")).select("*", b.alias("b"), a.alias("a"))
+    c = c.where((F.length("b") >= 20) & (F.length("a") >= 15))
+    c = c.where(akkadian_score("b") >= 0.3).where(english_score("a") >= 0.15).where(english_score("b") <= 0.3).where(non_english_score("a") <= 1.0)
+    found = c.select(*keys, "_at", before.alias("before"), after.alias("after"))
+    return found.groupBy(*keys).agg(F.min_by(F.struct("before", "after"), "_at").alias("s")).select(*keys, "s.*")
+
+
+def extract_pairs(pages: DataFrame, id_column: str = "row_id", text_column: str = "page_text", keep: list[str] | None = None) -> DataFrame:
+    """(id, columns to keep, segment_no, transliteration, translation): the pair of each segment of a page that has one."""
+    keep = keep or []
+    keys = [id_column, *keep, "segment_no"]
+    found = first_splits(spread(pages).select(id_column, *keep, F.posexplode(segments(text_column)).alias("segment_no", "segment")), keys)
+    out = found.select(*keys, clean_transliteration(F.col("before")).alias("transliteration"), clean_translation(F.col("after")).alias("translation"))
     s, t = F.col("transliteration"), F.col("translation")
     out = out.where((F.length(s) >= 100) & (F.length(t) >= 100))
     return (

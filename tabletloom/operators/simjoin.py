@@ -1,10 +1,14 @@
-"""Exact set-similarity join.
+"""Exact similarity join of texts by their sets of character trigrams.
 
-Sets are numbers in order of rarity. Two sets of Jaccard similarity ``t`` share one of the ``n - ceil(t n) + 1`` rarest
-of each (prefix filter), so sets meet at these. There, without losing a pair, most are discarded by their sizes, by the
-overlap that is still possible at the positions, and by a 256-bit parity bitmap: two bitmaps differ in no more bits than
-the sets in elements. What is left is verified by the whole sets. Meeting sets are compared in arrays inside a task;
-only pairs that pass are ever rows. An element that very many sets have is cut into blocks over all tasks.
+The trigrams of a set are put in order of rarity. Two sets of Jaccard similarity ``t`` share one of the
+``n - ceil(t n) + 1`` rarest of each (prefix filter), so sets meet at these. There, without losing a pair, most are
+discarded by their sizes, by the overlap that is still possible at the positions, and by a 256-bit parity bitmap: two
+bitmaps differ in no more bits than the sets in elements. What is left is verified by the whole sets. Meeting sets are
+compared in arrays inside a task; only pairs that pass are ever rows. An element that very many sets have is cut into blocks
+over all tasks.
+
+Any one order of the trigrams serves, so rarity is counted in a fixed number of hash buckets: the table that every task
+needs has the same size whatever the collection.
 """
 
 from __future__ import annotations
@@ -16,18 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabletloom.operators.flat import distinct, flat, jaccard_of_pairs, mix, products, trigrams, unique_pairs
 from tabletloom.session import cut, shuffle_partitions
 
 ENTRY = np.dtype([("tok", "<u8"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("side", "u1"), ("b0", "<u8"), ("b1", "<u8"), ("b2", "<u8"), ("b3", "<u8")])
 #: Sets that one element may bring together in one task; beyond, they are cut into blocks of this size.
 BLOCK = 4_096
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of entries that a task compares.
+PART_BYTES = 16 << 20
+#: Buckets in which trigrams are counted (4 bytes each in every task).
+BUCKETS = 1 << 20
+
 
+def bucket_of(code: np.ndarray) -> np.ndarray:
+    return (mix(code) % np.uint64(BUCKETS)).astype(np.int64)
 
-def parity_bitmaps(tokens: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+
+def parity_bitmaps(code: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """rows x 4 words: bit k is the parity of the number of elements hashed to k."""
-    h = tokens.astype(np.uint64) * _MIX
-    bit = (h >> np.uint64(56)).astype(np.int64)
+    bit = (mix(code ^ np.uint64(0x9E3779B97F4A7C15)) & np.uint64(255)).astype(np.int64)
     odd = (np.bincount(row * 256 + bit, minlength=rows * 256) & 1).astype(np.uint8).reshape(rows, 256)
     return np.packbits(odd, axis=1).view("<u8")
 
@@ -43,7 +54,7 @@ def _passing(a: _Columns, i: np.ndarray, b: _Columns, j: np.ndarray, t: float, t
     need = np.ceil(t / (1 + t) * (na + nb) - 1e-9)
     ok = (na >= t * nb - 1e-9) & (nb >= t * na - 1e-9)
     pa_, pb = a.pos[i], b.pos[j]
-    ok &= 1 + np.minimum(na - pa_, nb - pb) - 1 + np.minimum(pa_, pb) >= need
+    ok &= np.minimum(na - pa_, nb - pb) + np.minimum(pa_, pb) >= need
     ok &= (a.side[i] < b.side[j]) if two else (a.id[i] != b.id[j])
     i, j, most = i[ok], j[ok], (na + nb)[ok] - 2 * need[ok]
     d = np.zeros(len(i), np.int64)
@@ -54,81 +65,85 @@ def _passing(a: _Columns, i: np.ndarray, b: _Columns, j: np.ndarray, t: float, t
     return (x, y) if two else (np.minimum(x, y), np.maximum(x, y))
 
 
-def _products(left: np.ndarray, first: np.ndarray, count: np.ndarray, size: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    done, at = np.cumsum(count), 0
-    while at < len(left):
-        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + size, "right")))
-        n = count[at:to]
-        if n.sum():
-            yield np.repeat(left[at:to], n), np.repeat(first[at:to] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        at = to
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
 
+def rarity(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """(how many sets hold a trigram of each bucket, number of elements of all sets)."""
 
-def _unique(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    p = np.empty(sum(len(x) for x, _ in found), [("a", np.int64), ("b", np.int64)])
-    if len(p):
-        p["a"], p["b"] = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-    return np.unique(p)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in _slices(batches):
+            code, _ = distinct(*trigrams(*flat(b.column("key").to_pylist())))
+            total += np.bincount(bucket_of(code), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
 
+    got = texts.select("key").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    out = np.zeros(BUCKETS, np.int64)
+    out[np.asarray(got.column("k"), np.int64)] = np.asarray(got.column("n"), np.int64)
+    return out, int(out.sum())
 
-def candidates(sets: DataFrame, threshold: float, two: bool) -> DataFrame:
-    """(a, b) of sets that pass all filters; ``sets`` has (sid, side, n, toks in order of rarity)."""
-    parts = shuffle_partitions(sets.sparkSession)
+
+def candidates(texts: DataFrame, threshold: float, two: bool) -> DataFrame:
+    """(a, b) of sets that pass all filters; ``texts`` has (sid, side, key)."""
+    spark = texts.sparkSession
+    counts, elements = rarity(texts)
+    parts = max(shuffle_partitions(spark), int(elements * (1 - threshold) * ENTRY.itemsize) // PART_BYTES)
+    shared = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                lists = b.column("toks")
-                flat = np.asarray(lists.flatten(), np.int64)
-                n = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
-                begin = np.cumsum(n) - n
-                row = np.repeat(np.arange(len(n)), n)
-                bits = parity_bitmaps(flat, row, len(n))
-                keep = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-                pos = np.arange(len(flat)) - begin[row]
-                inside = pos < keep[row]
-                r = row[inside]
-                e = np.empty(len(r), ENTRY)
-                e["tok"], e["id"], e["n"], e["pos"], e["side"] = flat[inside], np.asarray(b.column("sid"))[r], n[r], pos[inside], np.asarray(b.column("side"))[r]
-                e["b0"], e["b1"], e["b2"], e["b3"] = bits[r].T
-                part = ((e["tok"] * _MIX) >> np.uint64(33)) % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
-                names, start = np.unique(part[order], return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([x.tobytes() for x in np.split(e[order], start[1:])], pa.binary())], names=["part", "blob"])
+        for b in _slices(batches):
+            code, row = distinct(*trigrams(*flat(b.column("key").to_pylist())))
+            if not len(code):
+                continue
+            order = np.lexsort((code, shared.value[bucket_of(code)], row))
+            code, row = code[order], row[order]
+            rows = b.num_rows
+            n = np.bincount(row, minlength=rows)
+            bits = parity_bitmaps(code, row, rows)
+            keep = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+            pos = np.arange(len(code)) - (np.cumsum(n) - n)[row]
+            inside = pos < keep[row]
+            r = row[inside]
+            e = np.empty(len(r), ENTRY)
+            e["tok"], e["id"], e["n"], e["pos"], e["side"] = code[inside], np.asarray(b.column("sid"))[r], n[r], pos[inside], np.asarray(b.column("side"))[r]
+            e["b0"], e["b1"], e["b2"], e["b3"] = bits[r].T
+            part = mix(e["tok"].copy()) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            names, start = np.unique(part[order], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([x.tobytes() for x in np.split(e[order], start[1:])], pa.binary())], names=["part", "blob"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts_, blobs = [], []
-        for b in batches:
-            parts_ += b.column("part").to_pylist()
-            blobs += b.column("blob").to_pylist()
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        empty = lambda n, t: pa.nulls(n, t)
-        for one in sorted(set(parts_)):
-            e = np.frombuffer(b"".join(x for p, x in zip(parts_, blobs, strict=True) if p == one), ENTRY)
-            e = e[np.argsort(e["tok"], kind="stable")]
-            start = np.flatnonzero(np.r_[True, e["tok"][1:] != e["tok"][:-1]])
-            size = np.diff(np.r_[start, len(e)])
-            c = _Columns(e)
-            usual = (size > 1) & (size <= BLOCK)
-            s, z = start[usual], size[usual]
-            at = np.repeat(s - (np.cumsum(z) - z), z) + np.arange(int(z.sum()))
-            ends = np.repeat(s + z, z)
-            for i, j in _products(at, at + 1, ends - at - 1):
-                if two:
-                    swap = c.side[i] > c.side[j]
-                    i, j = np.where(swap, j, i), np.where(swap, i, j)
-                found.append(_passing(c, i, c, j, threshold, two))
-                if len(found) > 64:
-                    u = _unique(found)
-                    found = [(u["a"], u["b"])]
-            for s1, n1 in zip(start[size > BLOCK], size[size > BLOCK], strict=True):
-                cuts = [e[k : min(k + BLOCK, s1 + n1)].tobytes() for k in range(s1, s1 + n1, BLOCK)]
-                for i, x in enumerate(cuts):
-                    for y in cuts[i:]:
-                        yield pa.RecordBatch.from_arrays([empty(1, pa.int64()), empty(1, pa.int64()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], names=["a", "b", "left", "right"])
-        u = _unique(found)
-        yield pa.RecordBatch.from_arrays([pa.array(u["a"].copy()), pa.array(u["b"].copy()), empty(len(u), pa.binary()), empty(len(u), pa.binary())], names=["a", "b", "left", "right"])
+        e = np.frombuffer(b"".join(x for b in batches for x in b.column("blob").to_pylist()), ENTRY)
+        e = e[np.argsort(e["tok"], kind="stable")]
+        start = np.flatnonzero(np.r_[True, e["tok"][1:] != e["tok"][:-1]]) if len(e) else np.empty(0, np.int64)
+        size = np.diff(np.r_[start, len(e)])
+        c = _Columns(e)
+        usual = (size > 1) & (size <= BLOCK)
+        s, z = start[usual], size[usual]
+        at = np.repeat(s - (np.cumsum(z) - z), z) + np.arange(int(z.sum()))
+        for i, j in products(at, at + 1, np.repeat(s + z, z) - at - 1):
+            if two:
+                swap = c.side[i] > c.side[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+            found.append(_passing(c, i, c, j, threshold, two))
+            if len(found) > 64:
+                found = [unique_pairs(found)]
+        none = pa.nulls(1, pa.int64())
+        for s1, n1 in zip(start[size > BLOCK], size[size > BLOCK], strict=True):
+            cuts = [e[k : min(k + BLOCK, s1 + n1)].tobytes() for k in range(s1, s1 + n1, BLOCK)]
+            for i, x in enumerate(cuts):
+                for y in cuts[i:]:
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array([x], pa.binary()), pa.array([y], pa.binary())], names=["a", "b", "left", "right"])
+        a, b = unique_pairs(found)
+        for at in range(0, len(a), 1 << 17):
+            n = len(a[at : at + (1 << 17)])
+            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + n]), pa.array(b[at : at + n]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["a", "b", "left", "right"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,28 +154,27 @@ def candidates(sets: DataFrame, threshold: float, two: bool) -> DataFrame:
                     continue
                 x, y = (_Columns(np.frombuffer(q, ENTRY)) for q in (left, right))
                 for p, q in ((x, y), (y, x)) if two else ((x, y),):
-                    for k, j in _products(np.arange(len(p.id)), np.zeros(len(p.id), np.int64), np.full(len(p.id), len(q.id))):
+                    for k, j in products(np.arange(len(p.id)), np.zeros(len(p.id), np.int64), np.full(len(p.id), len(q.id))):
                         found.append(_passing(p, k, q, j, threshold, two))
-            u = _unique(found)
-            yield pa.RecordBatch.from_arrays([pa.array(u["a"].copy()), pa.array(u["b"].copy())], names=["a", "b"])
+            x, y = unique_pairs(found)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    entries = sets.select("sid", "side", "toks").mapInArrow(post, "part int, blob binary")
-    jobs = entries.repartition(parts, "part").mapInArrow(meet, "a long, b long, left binary, right binary")
+    entries = texts.select("sid", "side", "key").mapInArrow(post, "part int, blob binary")
+    jobs = entries.repartitionById(parts, "part").mapInArrow(meet, "a long, b long, left binary, right binary")
     return jobs.repartition(parts).mapInArrow(blocks, "a long, b long").distinct()
 
 
-def join_sets(sets: DataFrame, threshold: float, two: bool) -> DataFrame:
-    """(a, b) of sets with a Jaccard similarity of at least ``threshold``: of side 0 and side 1, or of one side, a < b.
-
-    ``sets`` has (sid, side, elems): non-empty arrays of distinct strings, each (sid, side) once.
-    """
-    flat = sets.select("sid", "side", F.explode("elems").alias("g"))
-    counts = flat.groupBy("g").count()
-    order = F.struct("count", F.xxhash64("g").alias("h"))
-    ranked = flat.join(counts, "g").groupBy("sid", "side").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["h"]).alias("toks"))
-    ranked = cut(ranked)
-    c = candidates(ranked, threshold, two)
-    t = lambda side, name: ranked.where(F.col("side") == side).select(F.col("sid").alias(name), F.col("toks").alias(f"t{name}"))
-    both = c.join(t(0, "a"), "a").join(t(1 if two else 0, "b"), "b")
-    n = F.size(F.array_intersect("ta", "tb"))
-    return both.where(n / (F.size("ta") + F.size("tb") - n) >= threshold).select("a", "b")
+def join_texts(texts: DataFrame, threshold: float, two: bool) -> DataFrame:
+    """(a, b) of texts whose trigram sets have a Jaccard similarity of at least ``threshold``: of side 0 and side 1, or of one
+    side, a < b. ``texts`` has (sid, side, key), each (sid, side) once; keys without trigrams are alike to nothing."""
+    texts = cut(texts.select("sid", "side", "key"))
+    c = candidates(texts, threshold, two)
+    one = lambda side, name: texts.where(F.col("side") == side).select(F.col("sid").alias(name), F.col("key").alias(f"k{name}"))
+    both = c.join(one(0, "a"), "a").join(one(1 if two else 0, "b"), "b").select("a", "b", "ka", "kb")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            ok = pa.array(jaccard_of_pairs(b.column("ka").to_pylist(), b.column("kb").to_pylist()) >= threshold)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
+
+    return both.mapInArrow(check, "a long, b long")

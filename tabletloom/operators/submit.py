@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabletloom.sources.tables import require_columns
+from tabletloom.session import cut
+from tabletloom.sources.tables import require_columns, write_csv
 
 
-def with_positions(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with ``pos``, the rank of its rows by a unique key, from counts of range partitions."""
+def with_positions(df: DataFrame, order: str | None) -> DataFrame:
+    """``df`` with ``pos``, the rank of its rows by a unique key (or, without one, in the order of its source), from counts of
+    its partitions."""
     spark = df.sparkSession
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id())
-    from tabletloom.session import cut
-
-    ranged = cut(ranged)
+    sorted_ = df.repartitionByRange(order).sortWithinPartitions(order) if order else df
+    ranged = cut(sorted_.withColumn("_p", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id()))
     counts = {r["_p"]: (r["c"], r["m"]) for r in ranged.groupBy("_p").agg(F.count("*").alias("c"), F.min("_n").alias("m")).collect()}
     rows, before = [], 0
     for p in sorted(counts):
@@ -47,3 +47,15 @@ def validate_submission(df: DataFrame) -> DataFrame:
         F.count("*").alias("n_rows"), (F.count_if(F.col("id").isNull()) == 0).alias("valid"), F.count_if(F.col("id").isNull()).alias("null_ids"),
         F.count_if(F.col("translation").isNull()).alias("null_texts"), F.count_if(F.col("id").isNotNull() & ~whole).alias("non_integer_ids"), F.lit("").alias("missing_columns"),
     )
+
+
+def write_submission(test: DataFrame, predictions: DataFrame, path: str, test_order: str = "id", order: str = "row_id") -> DataFrame:
+    """Zip, validate and write (id, translation) as CSV; the validation's row is returned, and an invalid submission is a
+    ValueError and not written."""
+    out = cut(zip_predictions(test, predictions, test_order, order))
+    found = cut(validate_submission(out))
+    row = found.first()
+    if not row["valid"]:
+        raise ValueError(f"invalid submission: {row.asDict()}")
+    write_csv(out, path)
+    return found

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabletloom.session import cut, shuffle_partitions
+from tabletloom.session import shuffle_partitions
 
 FLAT_UP_TO = 100_000
 #: Queries of a block: a block travels to the vectors, so the bytes of a block are bounded whatever their number.
@@ -119,6 +119,35 @@ def search_ivf(queries: DataFrame, index: DataFrame, centers: np.ndarray, k: int
     return both.select("query_id", "id", F.round(d, 9).alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class Index:
+    """Vectors to be searched exactly (``flat``) or by cells (``ivf``), whichever suits their number."""
+
+    def __init__(self, vectors: DataFrame, kind: str | None = None, id_column: str = "vec_id", column: str = "embedding") -> None:
+        self.rows, self.dimension = vectors.count(), check_dimension(vectors, column)
+        self.kind, self.id_column, self.column = index_kind(self.rows, kind), id_column, column
+        self.vectors, self.centers = build_ivf(vectors, id_column, column) if self.kind == "ivf" else (vectors, None)
+
+    def search(self, queries: DataFrame, k: int = 5, nprobe: int = 1) -> DataFrame:
+        if self.kind == "flat":
+            return search(queries, self.vectors, k, self.id_column, self.column)
+        return search_ivf(queries, self.vectors, self.centers, k, nprobe, self.id_column, self.column)
+
+    def stats(self) -> DataFrame:
+        """One row (kind, n_vectors, dimension, cells)."""
+        cells = 0 if self.centers is None else len(self.centers)
+        return self.vectors.sparkSession.createDataFrame([(self.kind, self.rows, self.dimension, cells)], "kind string, n_vectors long, dimension int, cells int")
+
+
+def entry_at(corpus: DataFrame, position: int, order: str = "row_id") -> DataFrame:
+    """The row at a position from 0 on in the order of a unique key; a position out of bounds is a ValueError."""
+    n = corpus.count()
+    if not 0 <= position < n:
+        raise ValueError(f"position {position} is not within 0 to {n - 1}")
+    from tabletloom.operators.submit import with_positions
+
+    return with_positions(corpus, order).where(F.col("pos") == position).drop("pos")
+
+
 def with_corpus(hits: DataFrame, corpus: DataFrame, id_column: str = "row_id") -> DataFrame:
     """The hits with their row of the corpus; hits without one are dropped."""
     return hits.join(corpus.select(F.col(id_column).alias("id"), "transliteration", "translation"), "id")
@@ -128,6 +157,3 @@ def check_sizes(corpus: DataFrame, vectors: DataFrame) -> None:
     a, b = corpus.count(), vectors.count()
     if a != b:
         raise ValueError(f"corpus has {a} rows, the index {b}")
-
-
-__all__ = ["build_ivf", "check_dimension", "check_sizes", "cut", "index_kind", "search", "search_ivf", "with_corpus"]

@@ -69,8 +69,44 @@ def _tokens(x: str) -> str:
     return rf"""list_transform({split}, lambda w: regexp_replace(w, '^[.,!?;:''"()\[\]]+|[.,!?;:''"()\[\]]+$', '', 'g'))"""
 
 
-def _share(words: list[str]) -> str:
-    return f"len(list_filter(w, lambda x: list_contains({_list(words)}, x)))::DOUBLE / greatest(len(w), 1)"
+def _share(words: list[str], w: str = "w") -> str:
+    return f"len(list_filter({w}, lambda x: list_contains({_list(words)}, x)))::DOUBLE / greatest(len({w}), 1)"
+
+
+#: Runs of letters, digits and underscores between marks, so that the ends of words can be seen without looking around.
+_MARK_B, _MARK_E = "\x01", "\x02"
+
+
+def _marked(x: str) -> str:
+    return rf"regexp_replace({x}, '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(2), 'g')"
+
+
+def _found(x: str, pattern: str) -> str:
+    """The matches of a pattern over marked text, without the marks."""
+    return f"list_transform(regexp_extract_all({_marked(x)}, '{pattern}'), lambda m: translate(m, chr(1) || chr(2), ''))"
+
+
+_CAPITALS = "(upper({0}) = {0} AND lower({0}) <> {0})"
+
+
+def _names(x: str) -> str:
+    pattern = rf"\x01[{fixed.UPPER}][{fixed.LOWER}{fixed.UPPER}{fixed.INDEX}\x01\x02-]*[\x01\x02]"
+    return f"list_filter({_found(x, pattern)}, lambda n: NOT {_CAPITALS.format('n')})"
+
+
+def _akkadian(x: str) -> str:
+    signs = r"\x01[A-Z]{2,}(?:\x02\.\x01[A-Z]+)*\x02"
+    words = " + ".join(f"contains(lower({x}), '{k}')::INTEGER" for k in fixed.KEYWORDS)
+    return f"""CASE WHEN length({_strip(x)}) < 5 THEN 0.0 ELSE 5.0 * length(regexp_replace({x}, '[^{fixed.DIACRITICS}]', '', 'g')) / greatest(length({x}), 1)
+ + 2.0 * least(len(regexp_extract_all({_marked(x)}, '{signs}')) / 3.0, 1.0) + least(len(regexp_extract_all({x}, '{fixed.SCORE_GAP}')) / 2.0, 1.0) + 2.0 * least(({words}) / 3.0, 1.0) END"""
+
+
+def _english(x: str) -> str:
+    return f"CASE WHEN length({_strip(x)}) < 10 THEN 0.0 ELSE least({_share(fixed.ENGLISH, _tokens(x))} * 3 + {_share(fixed.TRADE, _tokens(x))} * 2, 2.0) END"
+
+
+def _foreign(x: str) -> str:
+    return f"CASE WHEN length({_strip(x)}) < 10 THEN 0.0 ELSE greatest({', '.join(f'{_share(words, _tokens(x))} * {k}' for words, k in ((fixed.GERMAN, 15), (fixed.TURKISH, 20), (fixed.FRENCH, 12)))}) END"
 
 
 # --- projections, filters, row operations --------------------------------------------------------------------------------
@@ -153,12 +189,16 @@ def exact_dedup_pages(spark: SparkSession, folder: str) -> DataFrame:
 # --- features --------------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"SELECT term, count(*) AS n FROM (SELECT unnest({_names('transliteration')}) AS term FROM train) GROUP BY term")
 def proper_noun_counts(spark: SparkSession, folder: str) -> DataFrame:
     return pipelines.frequencies(read(spark, folder, "train"), X.proper_nouns("transliteration"))
 
 
-@query()
+_SIGNS = rf"\x01[{fixed.UPPER}]{{2,}}[₀-₉]*(?:\x02\.\x01[{fixed.UPPER}]+[₀-₉]*)*\x02"
+_BARE = r"regexp_replace(transliteration, '\{[^}]+\}', '', 'g')"
+
+
+@query(f"SELECT term, count(*) AS n FROM (SELECT unnest({_found(_BARE, _SIGNS)}) AS term FROM train) WHERE length(term) >= 2 GROUP BY term")
 def sumerogram_counts(spark: SparkSession, folder: str) -> DataFrame:
     return pipelines.frequencies(read(spark, folder, "train"), X.sumerograms("transliteration"))
 
@@ -180,7 +220,7 @@ def language_scores(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "documents").select("doc_id", F.round(scoring.english_score("text"), 6).alias("english"), F.round(scoring.non_english_score("text"), 6).alias("non_english"))
 
 
-@query()
+@query(f"SELECT doc_id, round({_akkadian('x')}, 6)::DOUBLE AS akkadian FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)")
 def akkadian_scores(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "documents").select("doc_id", F.round(scoring.akkadian_score("text"), 6).alias("akkadian"))
 
@@ -203,12 +243,41 @@ def align_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return align.align_corpus(read(spark, folder, "train"), read(spark, folder, "train_sentences")).select("row_id", "pair_no", "transliteration", "translation")
 
 
-@query()
+def _segments(pages: str) -> str:
+    """m, g: the segments of pages (row_id, t), as (row_id, segment_no, segment)."""
+    return rf"""m AS (SELECT *, string_split(regexp_replace(t, '({fixed.TEXT_HEADER})', chr(1) || '\1', 'g'), chr(1)) AS parts FROM {pages}),
+l AS (SELECT *, CASE WHEN len(parts) = 1 THEN [t] WHEN {_strip('parts[1]')} = '' THEN parts[2:] ELSE list_concat([{_strip('parts[1]')}], parts[2:]) END AS segs FROM m),
+g AS (SELECT * EXCLUDE (t, parts, segs), unnest(segs) AS segment, generate_subscripts(segs, 1) - 1 AS segment_no FROM l)"""
+
+
+def _parsed(pages: str) -> str:
+    """CTEs up to ``pairs``: the pairs of pages (row_id, t)."""
+    fold = lambda x: _strip(f"regexp_replace({x}, '{_S}+', ' ', 'g')")
+    begins = f"length({_strip('x')}) > 25 AND regexp_matches({_strip('x')}, '[{fixed.DIACRITICS}]') AND {_akkadian(_strip('x'))} > 1.0 AND {_english(_strip('x'))} < 0.3"
+    return rf"""{_segments(pages)},
+q AS (SELECT *, string_split(regexp_replace(segment, '([:.][ 	
+]+)', '\1' || chr(1), 'g'), chr(1)) AS pieces FROM g),
+c AS (SELECT *, unnest(list_transform(range(1, len(pieces)), lambda k: list_sum(list_transform(pieces[1:k], lambda z: length(z)))))::BIGINT AS ends FROM q),
+w AS (SELECT *, {_strip('substr(segment, greatest(ends - 200, 0) + 1, least(ends, 200))')} AS b, {_strip('substr(segment, ends + 1, 300)')} AS a FROM c),
+h AS (SELECT row_id, segment_no, any_value(segment) AS segment, min(ends) AS ends FROM w WHERE length(b) >= 20 AND length(a) >= 15 AND {_akkadian('b')} >= 0.3 AND {_english('a')} >= 0.15 AND {_english('b')} <= 0.3 AND {_foreign('a')} <= 1.0 GROUP BY row_id, segment_no),
+v AS (SELECT row_id, segment_no, string_split(regexp_replace({_strip('substr(segment, greatest(ends - 800, 0) + 1, least(ends, 800))')}, '{fixed.TEXT_HEADER}', '', 'g'), chr(10)) AS x,
+ string_split(string_split_regex({_strip('substr(segment, ends + 1, 2000)')}, '{fixed.TEXT_HEADER}')[1], chr(10)) AS y FROM h),
+u AS (SELECT *, list_position(list_transform(x, lambda x: {_strip('x')} = '' OR regexp_matches(x, '[{fixed.DIACRITICS}]')), true) AS i, list_position(list_transform(y, lambda x: {begins}), true) AS j FROM v),
+o AS (SELECT row_id, segment_no, {fold(f"regexp_replace(array_to_string(CASE WHEN coalesce(i, 0) = 0 THEN [] ELSE x[i:] END, chr(10)), '{fixed.LABEL}', '', 'g')")} AS s,
+ {fold(f"regexp_replace(array_to_string(CASE WHEN coalesce(j, 0) = 0 THEN y ELSE y[1:j - 1] END, chr(10)), '{fixed.REFERENCE}', '')")} AS r FROM u),
+pairs AS (SELECT row_id, segment_no::INTEGER AS segment_no, s AS transliteration, r AS translation FROM o WHERE length(s) >= 100 AND length(r) >= 100 AND {_akkadian('s')} >= 1.0 AND {_english('s')} <= 0.2 AND {_foreign('s')} <= 0.5
+ AND {_english('r')} >= 0.4 AND {_english('substr(r, 1, 300)')} >= 0.15 AND {_foreign('r')} <= 0.5)"""
+
+
+@query(f"WITH p AS (SELECT row_id, coalesce(page_text, '') AS t FROM publications), {_segments('p')} SELECT row_id, segment_no::INTEGER AS segment_no, segment FROM g")
 def page_segments(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "publications").select("row_id", F.posexplode(parse.segments("page_text")).alias("segment_no", "segment"))
 
 
-@query()
+_CLEAN = f"f AS (SELECT row_id, page_text AS t FROM ({_CORRECTED}))"
+
+
+@query(f"WITH {_CLEAN}, p AS (SELECT row_id, t FROM f JOIN publications USING (row_id) WHERE has_akkadian), {_parsed('p')} SELECT * FROM pairs")
 def parsed_pairs(spark: SparkSession, folder: str) -> DataFrame:
     pages = read(spark, folder, "publications").where("has_akkadian").select("row_id", ocr.correct("page_text").alias("page_text"))
     return parse.extract_pairs(pages)
@@ -328,13 +397,45 @@ def query_contexts(spark: SparkSession, folder: str) -> DataFrame:
     return lexicon.query_context(read(spark, folder, "train_sentences"), lexicon.proper_noun_table(lex), lexicon.sumerogram_table(lex, read(spark, folder, "ebl_dictionary")))
 
 
+@query("SELECT 'flat' AS kind, count(*) AS n_vectors, 64::INTEGER AS dimension, 0::INTEGER AS cells FROM embeddings")
+def index_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return vector.Index(read(spark, folder, "embeddings")).stats()
+
+
+def _retrieved(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(passages, names, Sumerograms, the three nearest documents of each passage): the passages whose id is divisible by 20
+    against all documents, by hashed trigrams."""
+    lex, rows = read(spark, folder, "oa_lexicon_ebl"), read(spark, folder, "train_sentences").where("row_id % 20 = 0")
+    corpus = read(spark, folder, "train").select("row_id", "transliteration", "translation")
+    names, table = lexicon.proper_noun_table(lex), lexicon.sumerogram_table(lex, read(spark, folder, "ebl_dictionary"))
+    embedder = lambda: models.hashed_vectors
+    index = vector.Index(models.embed(corpus.select("row_id", "transliteration"), "transliteration", embedder), id_column="row_id")
+    return rows, names, table, pipelines.retrieve(rows, index, corpus, embedder, names, table, 3)
+
+
+@query()
+def retrieved_examples(spark: SparkSession, folder: str) -> DataFrame:
+    return _retrieved(spark, folder)[3].withColumn("distance", F.round("distance", 6))
+
+
 @query()
 def prompts(spark: SparkSession, folder: str) -> DataFrame:
-    """A lexicon section and the text of each passage, within the budget."""
-    lex, rows = read(spark, folder, "oa_lexicon_ebl"), read(spark, folder, "train_sentences")
-    section = context.lexicon_section(rows, lexicon.proper_noun_table(lex), lexicon.sumerogram_table(lex, read(spark, folder, "ebl_dictionary")))
-    none = F.lit(None).cast("string")
-    return rows.join(section, "row_id", "left").select("row_id", context.assemble(F.col("lexicon"), none, F.col("transliteration")).alias("prompt"))
+    """A lexicon section, the nearest examples and the text of each passage, within the budget."""
+    rows, names, table, hits = _retrieved(spark, folder)
+    return context.assemble_all(rows, names, table, hits)
+
+
+@query()
+def training_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages prepared for training: augmented, with prompts and byte ids."""
+    lex = read(spark, folder, "oa_lexicon_ebl")
+    return pipelines.prepare_training(read(spark, folder, "train_sentences"), lexicon.proper_noun_table(lex), lexicon.sumerogram_table(lex, read(spark, folder, "ebl_dictionary")))
+
+
+@query()
+def evaluated_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """The metrics of a predictor that copies its input."""
+    return pipelines.evaluate(read(spark, folder, "train_sentences"), lambda: lambda texts: texts)
 
 
 def _assembled(budget: int) -> str:
@@ -362,20 +463,54 @@ def _evaluated(spark: SparkSession, folder: str) -> DataFrame:
     return e.join(s.select("row_id", "reference"), "row_id")
 
 
-@query()
-def corpus_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.all_metrics(_evaluated(spark, folder), "hypothesis", "reference", "transliteration")
+def _bleu_tokens(x: str) -> str:
+    x = f"coalesce({x}, '')"
+    for a, b in (("'<skipped>'", "''"), ("'-' || chr(10)", "''"), ("chr(10)", "' '"), ("'&quot;'", "chr(34)"), ("'&amp;'", "'&'"), ("'&lt;'", "'<'"), ("'&gt;'", "'>'")):
+        x = f"replace({x}, {a}, {b})"
+    x = f"' ' || {x} || ' '"
+    for a, b in ((r"([\{-\~\[-\x60 -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    return f"list_filter(regexp_split_to_array({x}, '{_S}+'), lambda w: w <> '')"
 
 
-@query(rf"""WITH r AS (SELECT row_id, regexp_replace(coalesce(e.translation, ''), '{_S}', '', 'g') AS h, regexp_replace(coalesce(s.translation, ''), '{_S}', '', 'g') AS f
+_CHRF = rf"""r AS (SELECT row_id, regexp_replace(coalesce(e.translation, ''), '{_S}', '', 'g') AS h, regexp_replace(coalesce(s.translation, ''), '{_S}', '', 'g') AS f
  FROM extracted_pairs e JOIN train_sentences s USING (row_id)),
 o AS (SELECT unnest(range(1, 7)) AS n),
 c AS (SELECT row_id, n, g, sum(a) AS a, sum(b) AS b FROM (
  SELECT row_id, n, substr(h, i, n) AS g, 1 AS a, 0 AS b FROM (SELECT row_id, h, n, unnest(range(1, length(h) - n + 2)) AS i FROM r, o WHERE length(h) >= n)
  UNION ALL SELECT row_id, n, substr(f, i, n), 0, 1 FROM (SELECT row_id, f, n, unnest(range(1, length(f) - n + 2)) AS i FROM r, o WHERE length(f) >= n)) GROUP BY ALL),
 t AS (SELECT n, sum(least(a, b))::DOUBLE AS m, sum(a) AS a, sum(b) AS b FROM c GROUP BY n HAVING sum(a) > 0 AND sum(b) > 0),
-q AS (SELECT avg(m / a) AS p, avg(m / b) AS r FROM t)
-SELECT round(100 * coalesce(CASE WHEN p + r > 0 THEN 5 * p * r / (4 * p + r) ELSE 0.0 END, 0), 6)::DOUBLE AS chrf FROM q""")
+q AS (SELECT avg(m / a) AS p, avg(m / b) AS r FROM t),
+chrf AS (SELECT round(100 * coalesce(CASE WHEN p + r > 0 THEN 5 * p * r / (4 * p + r) ELSE 0.0 END, 0), 6)::DOUBLE AS chrf FROM q)"""
+
+
+def _metrics() -> str:
+    """BLEU with exponential smoothing, chrF, their geometric mean and the names, of the passages side by side."""
+    zeros = lambda n: "(" + " + ".join(f"(m{k} = 0 AND t{k} > 0)::INTEGER" for k in range(1, n + 1)) + ")"
+    p = [f"CASE WHEN t{n} = 0 THEN 0.0 WHEN m{n} = 0 THEN 100.0 / (2.0 ** {zeros(n)} * t{n}) ELSE 100.0 * m{n} / t{n} END" for n in range(1, 5)]
+    pivot = ", ".join(f"coalesce(max(least_) FILTER (n = {n}), 0)::DOUBLE AS m{n}, coalesce(max(total) FILTER (n = {n}), 0)::DOUBLE AS t{n}" for n in range(1, 5))
+    grams = lambda c, a, b: f"SELECT row_id, n, array_to_string({c}[i:i + n - 1], chr(1)) AS g, {a} AS a, {b} AS b FROM (SELECT *, unnest(range(1, len({c}) - n + 2)) AS i FROM tok, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len({c}) >= n)"
+    key = _match("name")
+    return f"""WITH {_CHRF}, side AS (SELECT row_id, e.transliteration AS src, e.translation AS h, s.translation AS f FROM extracted_pairs e JOIN train_sentences s USING (row_id)),
+tok AS (SELECT row_id, {_bleu_tokens('h')} AS th, {_bleu_tokens('f')} AS tf FROM side),
+bg AS (SELECT row_id, n, g, sum(a) AS a, sum(b) AS b FROM ({grams('th', 1, 0)} UNION ALL {grams('tf', 0, 1)}) GROUP BY ALL),
+bn AS (SELECT n, sum(least(a, b)) AS least_, sum(a) AS total FROM bg GROUP BY n),
+bs AS (SELECT {pivot}, (SELECT sum(len(th)) FROM tok)::BIGINT AS hyp_len, (SELECT sum(len(tf)) FROM tok)::BIGINT AS ref_len FROM bn),
+bp AS (SELECT *, {', '.join(f'{x} AS q{k + 1}' for k, x in enumerate(p))}, CASE WHEN hyp_len = 0 THEN 0.0 WHEN hyp_len < ref_len THEN exp(1 - ref_len / hyp_len) ELSE 1.0 END AS bp_ FROM bs),
+bl AS (SELECT round(CASE WHEN m1 + m2 + m3 + m4 = 0 OR t1 * t2 * t3 * t4 = 0 THEN 0.0 ELSE bp_ * exp((ln(q1) + ln(q2) + ln(q3) + ln(q4)) / 4) END, 6)::DOUBLE AS bleu, round(q1, 6)::DOUBLE AS p1, round(q2, 6)::DOUBLE AS p2, round(q3, 6)::DOUBLE AS p3, round(q4, 6)::DOUBLE AS p4, round(bp_, 6)::DOUBLE AS bp, hyp_len, ref_len FROM bp),
+nm AS (SELECT unnest({_names("coalesce(src, '')")}) AS name, {_match('h')} AS kh, {_match('f')} AS kf FROM side),
+na AS (SELECT count(*) AS total_proper_nouns, count(*) FILTER (contains(kh, {key})) AS correct_in_hypothesis, count(*) FILTER (contains(kf, {key})) AS correct_in_reference FROM nm)
+SELECT bl.*, chrf, round(CASE WHEN bleu > 0 AND chrf > 0 THEN sqrt(bleu * chrf) ELSE 0.0 END, 6)::DOUBLE AS geometric_mean,
+CASE WHEN total_proper_nouns > 0 THEN round(correct_in_hypothesis / total_proper_nouns, 6) ELSE 0.0 END::DOUBLE AS proper_noun_accuracy,
+CASE WHEN total_proper_nouns > 0 THEN round(correct_in_reference / total_proper_nouns, 6) ELSE 0.0 END::DOUBLE AS proper_noun_recall_ref, na.* FROM bl, chrf, na"""
+
+
+@query(_metrics())
+def corpus_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.all_metrics(_evaluated(spark, folder), "hypothesis", "reference", "transliteration")
+
+
+@query(f"WITH {_CHRF} SELECT * FROM chrf")
 def chrf_score(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.chrf(_evaluated(spark, folder), "hypothesis", "reference")
 
@@ -389,17 +524,58 @@ def split_counts(spark: SparkSession, folder: str) -> DataFrame:
     return sample.random_split(read(spark, folder, "train")).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query()
+def _draw(x: str, seed: int = 42) -> str:
+    return f"('0x' || substr(md5('{seed}/' || {x}), 1, 15))::BIGINT"
+
+
+@query(f"SELECT row_id, split FROM (SELECT row_id, CASE WHEN k <= t THEN 'test' WHEN k <= t + v THEN 'val' ELSE 'train' END AS split FROM (SELECT row_id, row_number() OVER (ORDER BY {_draw('row_id')}, row_id) AS k FROM train), "
+       "(SELECT t, ceil((n - t) * (0.1 / 0.9) - 1e-9)::BIGINT AS v FROM (SELECT count(*) AS n, ceil(count(*) * 0.1 - 1e-9)::BIGINT AS t FROM train)))")
+def split_members(spark: SparkSession, folder: str) -> DataFrame:
+    return sample.random_split(read(spark, folder, "train")).select("row_id", "split")
+
+
+@query("SELECT row_id, oare_id FROM train ORDER BY row_id LIMIT 3")
+def first_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The first three rows, as a look at a table shows them."""
+    return sample.first_rows(read(spark, folder, "train"), 3).select("row_id", "oare_id")
+
+
+@query("SELECT row_id, transliteration, translation FROM (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS k FROM combined_corpus) WHERE k = 7")
+def corpus_entry(spark: SparkSession, folder: str) -> DataFrame:
+    return vector.entry_at(read(spark, folder, "combined_corpus"), 7).select("row_id", "transliteration", "translation")
+
+
+@query("SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_no, row_id FROM train WHERE translation IS NOT NULL")
+def renumbered_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.numbered(read(spark, folder, "train").where("translation is not null").select("row_id")).select("row_no", "row_id")
+
+
+@query(f"SELECT row_id, pdf_name FROM publications WHERE pdf_name IN (SELECT pdf_name FROM (SELECT DISTINCT pdf_name FROM publications WHERE pdf_name IS NOT NULL) ORDER BY {_draw('pdf_name')}, pdf_name LIMIT 5)")
 def sampled_pdfs(spark: SparkSession, folder: str) -> DataFrame:
     return sample.sample_groups(read(spark, folder, "publications"), "pdf_name", 5).select("row_id", "pdf_name")
 
 
-@query()
+@query(f"SELECT row_id FROM train ORDER BY {_draw('row_id')}, row_id LIMIT 100")
 def sampled_rows(spark: SparkSession, folder: str) -> DataFrame:
     return sample.sample_rows(read(spark, folder, "train"), 100).select("row_id")
 
 
-@query()
+def _augmented(table: str, column: str, factor: int, prob: float, big: float, seed: int = 42) -> str:
+    u = lambda *x: f"('0x' || substr(md5(concat_ws('/', '{seed}', row_id, copy, {', '.join(x)})), 1, 8))::BIGINT / 4294967296.0"
+    bare = "translate(word, '{}[]', '')"
+    return f"""WITH t AS (SELECT row_id, {column} AS x, copy, list_filter(regexp_split_to_array({column}, '{_S}+'), lambda w: w <> '') AS w FROM {table}, (SELECT unnest(range(0, {factor + 1})) AS copy)),
+n AS (SELECT row_id, copy, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM t WHERE copy > 0 AND len(w) >= 3 AND {u("'copy'")} <= {prob}),
+e AS (SELECT row_id, copy, i, row_number() OVER (PARTITION BY row_id, copy ORDER BY {u("'place'", 'i')}, i) AS k, count(*) OVER (PARTITION BY row_id, copy) AS m FROM n
+ WHERE i > 0 AND i < n - 1 AND NOT {_CAPITALS.format('left(word, 1)')} AND NOT (length({bare}) >= 2 AND {_CAPITALS.format(bare)})),
+c AS (SELECT row_id, copy, i FROM e WHERE k <= 1 + floor({u("'many'")} * least(m, 3))),
+g AS (SELECT row_id, copy, i, {u("'big'", 'i')} < {big} AS big, {u("'span'", 'i')} >= 0.5 AS two FROM c WHERE (row_id, copy, i - 1) NOT IN (SELECT (row_id, copy, i) FROM c)),
+o AS (SELECT n.row_id, n.copy, string_agg(CASE WHEN g.i IS NULL THEN word WHEN g.big THEN '{fixed.BIG_GAP}' ELSE '{fixed.SINGLE_GAP}' END, ' ' ORDER BY n.i) AS y
+ FROM n LEFT JOIN g ON g.row_id = n.row_id AND g.copy = n.copy AND g.i = n.i LEFT JOIN g b ON b.row_id = n.row_id AND b.copy = n.copy AND b.i = n.i - 1 AND b.big AND b.two WHERE b.i IS NULL GROUP BY ALL),
+able AS (SELECT DISTINCT row_id, copy FROM e)
+SELECT t.row_id, CASE WHEN able.row_id IS NULL THEN x WHEN o.y IS NULL THEN x ELSE o.y END AS {column}, t.copy::INTEGER AS copy FROM t LEFT JOIN o ON o.row_id = t.row_id AND o.copy = t.copy LEFT JOIN able ON able.row_id = t.row_id AND able.copy = t.copy"""
+
+
+@query(_augmented("train_sentences", "transliteration", 2, 0.3, 0.3))
 def augmented(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "train_sentences").select("row_id", "transliteration")
     return augment.augment(rows, factor=2, gap_prob=0.3)
@@ -427,7 +603,21 @@ def byte_tokens(spark: SparkSession, folder: str) -> DataFrame:
 # --- pipelines -------------------------------------------------------------------------------------------------------------------
 
 
-@query()
+_EXTRACTED = f"""WITH RECURSIVE {_CLEAN}, flagged AS (SELECT * FROM (SELECT row_id, pdf_name, page, row_number() OVER (PARTITION BY pdf_name, page ORDER BY row_id) AS k FROM publications WHERE has_akkadian) WHERE k = 1),
+placed AS (SELECT *, min(row_id) OVER (PARTITION BY pdf_name) AS first FROM flagged), p AS (SELECT row_id, t FROM f JOIN placed USING (row_id)), {_parsed('p')},
+ranked AS (SELECT pairs.*, pdf_name, page, row_number() OVER (ORDER BY first, page IS NULL, page, row_id, segment_no) AS k FROM pairs JOIN placed USING (row_id)),
+texts AS (SELECT 0 AS t, k AS row_id, transliteration AS x FROM ranked UNION ALL SELECT 1, row_id, transliteration FROM combined_corpus), {_GRAMS.replace("g AS MATERIALIZED", "gr AS MATERIALIZED").replace("FROM g GROUP", "FROM gr GROUP").replace("n AS MATERIALIZED", "nn AS MATERIALIZED")},
+old AS (SELECT DISTINCT a.row_id FROM (SELECT a.row_id, b.row_id AS o, count(*) AS s FROM gr a JOIN gr b ON a.g = b.g AND a.t = 0 AND b.t = 1 GROUP BY ALL) a JOIN nn x ON x.t = 0 AND x.row_id = a.row_id JOIN nn y ON y.t = 1 AND y.row_id = a.o WHERE s::DOUBLE / (x.n + y.n - s) >= 0.7),
+fresh AS (SELECT row_id FROM nn WHERE t = 0 AND row_id NOT IN (SELECT row_id FROM old)),
+e AS (SELECT a, b FROM (SELECT a.row_id AS a, b.row_id AS b, count(*) AS s FROM gr a JOIN gr b ON a.g = b.g AND a.t = 0 AND b.t = 0 AND a.row_id < b.row_id GROUP BY ALL) JOIN nn x ON x.t = 0 AND x.row_id = a JOIN nn y ON y.t = 0 AND y.row_id = b
+ WHERE s::DOUBLE / (x.n + y.n - s) >= 0.7 AND a IN (FROM fresh) AND b IN (FROM fresh)),
+later AS (SELECT b, list(a) AS before FROM e GROUP BY b), od AS (SELECT b, before, row_number() OVER (ORDER BY b) AS k FROM later),
+rr(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT rr.k + 1, CASE WHEN len(list_filter(od.before, lambda x: NOT list_contains(rr.gone, x))) > 0 THEN list_append(rr.gone, od.b) ELSE rr.gone END FROM rr JOIN od ON od.k = rr.k + 1)
+SELECT transliteration, translation, NULL::VARCHAR AS source_pdf, NULL::INTEGER AS source_page, 0::INTEGER AS src FROM combined_corpus
+UNION ALL SELECT {_normalize('transliteration')}, {_normalize('translation')}, pdf_name, page, 1 FROM ranked WHERE k IN (FROM fresh) AND NOT list_contains((SELECT gone FROM rr ORDER BY k DESC LIMIT 1), k)"""
+
+
+@query(_EXTRACTED)
 def pipeline_publications(spark: SparkSession, folder: str) -> DataFrame:
     return pipelines.extract_publications(read(spark, folder, "publications"), read(spark, folder, "combined_corpus"))
 

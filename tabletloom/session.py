@@ -27,12 +27,15 @@ def get_session(app: str = "tabletloom", master: str | None = None, shuffle_part
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the one the cluster names in ``spark.checkpoint.dir``, or
-    (only where nothing is set, as in local tests) a folder of our own."""
+    (only where nothing is set and driver and executors are one process) a folder of our own. A cluster without a shared
+    folder is a ValueError."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = "file://" + os.path.join(tempfile.gettempdir(), f"tabletloom-checkpoints-{os.getpid()}")
     sc.setCheckpointDir(named)

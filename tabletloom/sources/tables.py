@@ -54,8 +54,9 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 
 def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
     """``df`` with dense numbers in the order of its source."""
-    rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(rows, T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)]))
+    from tabletloom.operators.submit import with_positions
+
+    return with_positions(df, None).withColumnRenamed("pos", name)
 
 
 def write_vectors(df: DataFrame, path: str, column: str = "embedding", cell: str | None = None) -> None:
@@ -70,6 +71,21 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_index(index: DataFrame, centers: Any, path: str, column: str = "embedding") -> None:
+    """An inverted file: the vectors by cell, and the centroids beside them, so that it can be searched after a restart."""
+    write_vectors(index, f"{path}/vectors", column, "cell")
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
+    index.sparkSession.createDataFrame(rows, "cell int, center array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, Any]:
+    """(vectors with their cell, centroids in the order of cells) of ``write_index``."""
+    import numpy as np
+
+    rows = spark.read.parquet(f"{path}/centers").orderBy("cell").collect()  # one a cell
+    return read_vectors(spark, f"{path}/vectors"), np.array([r["center"] for r in rows])
+
+
 def write_json(value: Any, path: str) -> None:
     ensure_dir(str(Path(path).parent))
     Path(path).write_text(json.dumps(value, ensure_ascii=False, indent=2), encoding="utf-8")

@@ -98,6 +98,52 @@ def test_segments_and_pairs(spark):
     assert ends == [11]
 
 
+def test_pairs_are_deduplicated_in_the_order_of_pdfs_and_pages(spark):
+    from tabletloom.plans import pipelines
+
+    tr = "a-na A-šùr-i-mì-tí qí-bi-ma um-ma Ṣí-lí DUMU KÙ.BABBAR ma-na i-ṣé-er i-šu li-mu-um ša ṣa-ru-pá-am iš-tù ḫa-mu-uš-tim GÍN IGI"
+    en = "He owes ten minas of silver to the son of the merchant. They said that the interest is to be paid in the month of the harvest, and the witness was his brother"
+    other = "šu-ma lá iš-qul ú-ṣa-áb DUMU um-mì-a-nim ma-na KÙ.BABBAR i-na ITU.KAM ku-zal-li li-mu-um šu-da-a IGI En-um-a-šùr IGI Ḫa-nu ṣí-ib-tám"
+
+    def page(*texts):
+        return "\n".join(f"Text {k + 1}. BIN 4 {k}\n(Tablet) {t}. {en} ({k}) {'of the house ' * 3}" for k, t in enumerate(texts))
+
+    changed = tr.replace("ša ṣa-ru", "ša ṣí-ru")
+    rows = [
+        (1, "b.pdf", 9, page(other), True), (2, "a.pdf", 2, page(changed), True), (3, "b.pdf", 3, page(tr), True), (4, "b.pdf", 3, page(other, tr), True),
+        (5, "a.pdf", None, page("x" * 5), True), (6, "c.pdf", 1, page(tr), False), (7, "c.pdf", 1, page(other.replace("šu-ma", "šu-mì")), None), (8, "d.pdf", 1, None, True),
+    ]
+    publications = spark.createDataFrame(rows, "row_id long, pdf_name string, page int, page_text string, has_akkadian boolean")
+    existing = spark.createDataFrame([("an old text", "its translation")], "transliteration string, translation string")
+    got = pipelines.extract_publications(publications, existing).where("src = 1").collect()
+    # b.pdf comes first by its first row, its page 3 before page 9; the changed copy in a.pdf is a duplicate
+    assert sorted((r["source_pdf"], r["source_page"], r["transliteration"][:5]) for r in got) == [("b.pdf", 3, "a-na "), ("b.pdf", 9, "šu-ma")]
+    allowed = spark.createDataFrame([("a.pdf",)], "value string")
+    assert [(r["source_pdf"], r["source_page"]) for r in pipelines.extract_publications(publications, existing, allowed).where("src = 1").collect()] == [("a.pdf", 2)]
+
+
+def test_many_golden_pages_are_parsed(spark):
+    signs = "a-na A-šùr qí-bi-ma um-ma Ṣí-lí DUMU KÙ.BABBAR ma-na i-ṣé-er i-šu li-mu-um ṣa-ru-pá-am iš-tù ḫa-mu-uš-tim GÍN IGI ṣí-ib-tám ú-ṣa-áb".split()
+    words = "he owes ten minas of silver to the son who was his brother and they said that the interest will be paid in the month from the house".split()
+    rng, rows, expected = random.Random(9), [], []
+    for i in range(40):
+        text = ""
+        for k in range(rng.randint(1, 4)):
+            tr, en = " ".join(rng.choices(signs, k=30)), " ".join(rng.choices(words, k=40))
+            kind = rng.random()
+            if kind < 0.6:
+                text += f"Text {k + 1}. BIN 4\n{tr}: {en}\n"
+                expected.append((i, k, tr + ":", en))
+            elif kind < 0.8:
+                text += f"Text {k + 1}. {tr[:60]}: {en}\n"  # too short
+            else:
+                text += f"Text {k + 1}. {en}: {tr}\n"  # the wrong way round
+        rows.append((i, text))
+    got = parse.extract_pairs(spark.createDataFrame(rows, "row_id long, page_text string")).collect()
+    assert len(expected) > 40
+    assert sorted((r["row_id"], r["segment_no"], r["transliteration"], r["translation"]) for r in got) == sorted(expected)
+
+
 def test_lexicon(spark):
     lex = spark.createDataFrame(
         [(1, "PN", "A-šùr", "Aššur", None), (2, "GN", "Kà-ni-iš", None, None), (3, "PN", "A-šùr", "Ashur", "lx"), (4, "word", "KÙ.BABBAR", "kaspum", "kaspum"), (5, "word", "DUMU", "mer'um", None), (6, "word", "ANŠE", None, "emārum"), (7, "PN", None, "x", "y")],
@@ -264,6 +310,74 @@ def test_submission(spark):
     assert submit.validate_submission(bad.drop("id")).first()["missing_columns"] == "id"
 
 
+def test_submission_is_written(spark, tmp_path):
+    test = spark.createDataFrame([(5,), (3,)], "id long")
+    pred = spark.createDataFrame([(1, "a"), (2, None)], "row_id long, prediction string")
+    assert submit.write_submission(test, pred, str(tmp_path / "s.csv")).first()["valid"]
+    back = tables.read_csv(spark, str(tmp_path / "s.csv"), "id long, translation string").collect()
+    assert {r["id"]: r["translation"] or "" for r in back} == {3: "a", 5: ""}
+    with pytest.raises(ValueError):
+        submit.write_submission(test.select(F.lit(None).cast("long").alias("id"), F.col("id").alias("k")), pred, str(tmp_path / "t.csv"), "k")
+
+
+def test_index_is_chosen_saved_and_searched_again(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 8)).astype("float32"))], "vec_id long, embedding array<float>")
+    flat_, cells = vector.Index(df), vector.Index(df, "ivf")
+    assert flat_.kind == "flat" and flat_.stats().first()["n_vectors"] == 200 and cells.stats().first()["cells"] == 14
+    q = df.where("vec_id < 5")
+    rows = lambda d: {(r["query_id"], r["rank"], r["id"]) for r in d.collect()}
+    tables.write_index(cells.vectors, cells.centers, str(tmp_path / "ivf"))
+    again, centers = tables.read_index(spark, str(tmp_path / "ivf"))
+    assert rows(vector.search_ivf(q, again, centers, 3, nprobe=4)) == rows(cells.search(q, 3, nprobe=4))
+    assert rows(cells.search(q, 3, nprobe=14)) == rows(flat_.search(q, 3))
+    assert vector.entry_at(df, 3, "vec_id").first()["vec_id"] == 3
+    for wrong in (-1, 200):
+        with pytest.raises(ValueError):
+            vector.entry_at(df, wrong, "vec_id")
+
+
+def test_retrieval_prompts_and_training_rows(spark):
+    from tabletloom.plans import pipelines
+
+    corpus = spark.createDataFrame([(1, "a-na A-šùr KÙ.BABBAR", "to Ashur silver"), (2, "ṭup-pá-am ú-ša-bi-lá-ku-um", "I sent you a tablet"), (3, "i-na Kà-ni-iš", "in Kanesh")], "row_id long, transliteration string, translation string")
+    lex = spark.createDataFrame([(1, "PN", "A-šùr", "Aššur", None), (2, "word", "KÙ.BABBAR", "kaspum", None)], "row_id long, type string, form string, norm string, lexeme string")
+    dic = spark.createDataFrame([], "row_id long, word string, definition string")
+    names, table = lexicon.proper_noun_table(lex), lexicon.sumerogram_table(lex, dic)
+    embedder = lambda: models.hashed_vectors
+    index = vector.Index(models.embed(corpus, "transliteration", embedder).select("row_id", "embedding"), id_column="row_id")
+    hits = pipelines.retrieve(corpus, index, corpus, embedder, k=2)
+    assert {r["query_id"]: r["id"] for r in hits.where("rank = 1").collect()} == {1: 1, 2: 2, 3: 3} and hits.count() == 6
+    # the context of names and Sumerograms stands for the text
+    some = pipelines.retrieve(corpus.where("row_id = 2"), index, corpus, embedder, names, table, k=1).first()
+    assert (some["id"], some["translation"]) == (2, "I sent you a tablet")
+    with pytest.raises(ValueError):
+        pipelines.retrieve(corpus, index, corpus.limit(2), embedder)
+    prompt = {r["row_id"]: r["prompt"] for r in context.assemble_all(corpus, names, table, hits.where("rank = 1")).collect()}
+    assert prompt[1] == "Lexicon:\n- A-šùr = Aššur (PN)\n- KÙ.BABBAR = kaspum\n\nSimilar translations:\n[1] a-na A-šùr KÙ.BABBAR → to Ashur silver\n\nTranslate: a-na A-šùr KÙ.BABBAR"
+    assert prompt[3].startswith("Similar") and prompt[3].endswith("Translate: i-na Kà-ni-iš")
+    rows = pipelines.prepare_training(corpus, names, table, hits.where("rank = 1"), factor=2, gap_prob=0.0).collect()
+    assert len(rows) == 9 and {r["prompt"] for r in rows if r["row_id"] == 1} == {prompt[1]}
+    assert all(r["target_ids"] == [b + 3 for b in r["target"].encode()] + [1] for r in rows)
+    score = pipelines.evaluate(corpus, lambda: lambda x: {t: t for t in x} and ["to Ashur silver"] * len(x)).first()
+    assert score["hyp_len"] == 9 and score["total_proper_nouns"] == 2
+
+
+def test_renumbered(spark):
+    df = spark.createDataFrame([(5,), (2,), (9,)], "row_id long")
+    assert {r["row_id"]: r["row_no"] for r in dedup.numbered(df).collect()} == {2: 0, 5: 1, 9: 2}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from tabletloom import session
+
+    sc = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, setCheckpointDir=lambda p: None, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
+
+
 def test_models(spark):
     df = spark.createDataFrame([(1, "aš"), (2, None)], "row_id long, t string")
     assert [r[0] for r in df.select(models.byte_ids("t")).collect()] == [[b + 3 for b in "aš".encode()] + [1], [1]]
