@@ -34,8 +34,24 @@ def trigrams(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[ok], row[:-2][ok]
 
 
+_LOW = np.uint64(0xFFFF)
+
+
+def _packed(code: np.ndarray, row: np.ndarray) -> np.ndarray | None:
+    """Row and trigram in one number each, where 16 bits do for every row and character."""
+    wide = np.uint64(0x1F << 16 | 0x1F << 37 | 0x1F << 58)  # bits of characters beyond 16
+    if len(row) and (int(row[-1]) > 0xFFFF or bool((code & wide).any())):
+        return None
+    return row.astype(np.uint64) << np.uint64(48) | (code >> np.uint64(42)) << np.uint64(32) | (code >> np.uint64(21) & _LOW) << np.uint64(16) | code & _LOW
+
+
 def distinct(code: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each code once a row, by row and code."""
+    """Each trigram once a row, by row and code; ``row`` ascends."""
+    key = _packed(code, row)
+    if key is not None:  # one sort of numbers
+        key.sort()
+        key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+        return (key >> np.uint64(32) & _LOW) << np.uint64(42) | (key >> np.uint64(16) & _LOW) << np.uint64(21) | key & _LOW, (key >> np.uint64(48)).astype(np.int64)
     order = np.lexsort((code, row))
     code, row = code[order], row[order]
     first = np.ones(len(code), bool)
@@ -48,11 +64,16 @@ def jaccard_of_pairs(left: list[str], right: list[str]) -> np.ndarray:
     n = len(left)
     a, ra = distinct(*trigrams(*flat(left)))
     b, rb = distinct(*trigrams(*flat(right)))
-    code, row = np.concatenate([a, b]), np.concatenate([ra, rb])
-    order = np.lexsort((code, row))
-    code, row = code[order], row[order]
-    same = (code[1:] == code[:-1]) & (row[1:] == row[:-1])
-    both = np.bincount(row[1:][same], minlength=n)
+    x, y = _packed(a, ra), _packed(b, rb)
+    if x is not None and y is not None:
+        key = np.sort(np.concatenate([x, y]))
+        row = (key[1:][key[1:] == key[:-1]] >> np.uint64(48)).astype(np.int64)
+    else:
+        code, row = np.concatenate([a, b]), np.concatenate([ra, rb])
+        order = np.lexsort((code, row))
+        code, row = code[order], row[order]
+        row = row[1:][(code[1:] == code[:-1]) & (row[1:] == row[:-1])]
+    both = np.bincount(row, minlength=n)
     either = np.bincount(ra, minlength=n) + np.bincount(rb, minlength=n) - both
     return both / np.maximum(either, 1)
 

@@ -63,6 +63,19 @@ def test_hot_element_is_cut_into_blocks(spark, monkeypatch):
     assert {frozenset((ids[a], ids[b])) for a, b in whole} == expected
 
 
+def test_trigram_sets_of_any_characters():
+    from tabletloom.operators import flat
+
+    rng = random.Random(2)
+    for letters in ("abšṣ-", "ab\U00012000\U00012001", "\U0010ffff\uffff\U00010000a"):
+        texts = ["".join(rng.choices(letters, k=rng.randint(0, 12))) for _ in range(80)]
+        sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+        code, row = flat.distinct(*flat.trigrams(*flat.flat(texts)))
+        assert [int((row == k).sum()) for k in range(80)] == [len(s) for s in sets]
+        got = flat.jaccard_of_pairs(texts[:40], texts[40:])
+        assert got == pytest.approx([len(a & b) / max(1, len(a | b)) for a, b in zip(sets[:40], sets[40:], strict=True)])
+
+
 def test_existing_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "row_id long, t string")
     some = spark.createDataFrame([(1, "abcdef"), (2, "x")], "row_id long, t string")
