@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabletloom.llm.look import consistent_arrow
-from tabletloom.session import cut
+from tabletloom.session import cut, shuffle_partitions, spread
 
 #: Entries of the reference list up to which it is broadcast; a longer list is joined by a shuffle.
 BROADCAST_ENTRIES = 20_000
@@ -79,6 +79,7 @@ def is_name(word: str) -> bool:
 def keyed_names(df: DataFrame, column: str, id_column: str, inside: bool) -> DataFrame:
     """(row_id, key): distinct names in each text (``inside``), or the key of each whole value. Null texts have none."""
     narrow = df.select(F.col(id_column).cast("long").alias("row_id"), F.col(column).cast("string").alias("text")).where("text is not null")
+    narrow = spread(narrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, str | None] = {}
@@ -138,13 +139,16 @@ def match_keys(keys: DataFrame, entries: DataFrame, threshold: float = THRESHOLD
         e = F.broadcast(e)
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("en")) - 1e-9)
     possible = F.lit(1) + F.least(F.col("n") - F.col("pos"), F.col("en") - F.col("epos")) - 1 + F.least("pos", "epos")
-    close = q.join(e, "tok").where((F.col("n") >= F.col("en") * threshold - 1e-9) & (F.col("en") >= F.col("n") * threshold - 1e-9) & (possible >= need))
+    close = q.repartition(shuffle_partitions(spark)).join(e, "tok").where((F.col("n") >= F.col("en") * threshold - 1e-9) & (F.col("en") >= F.col("n") * threshold - 1e-9) & (possible >= need))
     both = F.size(F.array_intersect("tokens", "etokens"))
     scored = close.select("key", "ref_id", (both / (F.col("n") + F.col("en") - both)).alias("j")).where(F.col("j") >= threshold)
-    best = scored.groupBy("key", "ref_id").agg(F.max("j").alias("j")).groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("j")).alias("j"), "ref_id"))), 1, 2).alias("top"))
-    first, second = F.col("top")[0], F.get("top", F.lit(1))
-    good = (-first["j"] >= SURE) | (-first["j"] + F.coalesce(second["j"], F.lit(-THRESHOLD + 0.1)) >= MARGIN)
-    found = best.select("key", F.when(good, first["ref_id"]).alias("ref_id"), (-first["j"]).alias("similarity"))
+    # the best two entries of each key; the others of a key are dropped before they are moved
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("j"), "ref_id"))
+    two = scored.groupBy("key", "ref_id").agg(F.max("j").alias("j")).withColumn("place", place).where("place <= 2")
+    of = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
+    best = two.groupBy("key").agg(of(1, "ref_id").alias("ref_id"), of(1, "j").alias("similarity"), of(2, "j").alias("next"))
+    good = (F.col("similarity") >= SURE) | (F.col("similarity") - F.coalesce("next", F.lit(THRESHOLD - 0.1)) >= MARGIN)
+    found = best.select("key", F.when(good, F.col("ref_id")).alias("ref_id"), "similarity")
     return keys.select("key").distinct().join(found, "key", "left").select("key", F.coalesce("ref_id", F.lit(-1)).cast("long").alias("ref_id"), "similarity")
 
 

@@ -1,7 +1,7 @@
 """Problem 1: one consistent text for texts that look the same but hold different characters.
 
 The text of an Arrow batch is one array of code points. A lookup table gathers each code point's replacement (its
-canonical parts, with look-alike letters, full-width forms, kinds of space and of hyphen folded, invisible characters
+canonical parts, with look-alike letters, ligatures, full-width forms, kinds of space and hyphen folded, invisible characters
 gone); expansion offsets place replacements of several code points; marks are then ordered and composed for all
 characters at once. No string call is made per row.
 """
@@ -22,7 +22,8 @@ LOOKALIKES = (
     "АA ВB ЕE КK МM НH ОO РP СC ТT ХX ІI ЈJ ЅS ԚQ ԜW ҮY "
     "аa еe оo рp сc уy хx іi јj ѕs һh ԛq ԝw ԁd ӏl ɡg ɑa "
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv "
-    "ⅠI ⅤV ⅩX ⅬL ⅭC ⅮD ⅯM ⅰi ⅴv ⅹx ⅼl ⅽc ⅾd ⅿm ℓl"
+    "ⅠI ⅤV ⅩX ⅬL ⅭC ⅮD ⅯM ⅰi ⅴv ⅹx ⅼl ⅽc ⅾd ⅿm ℓl "
+    "օo ՕO ᎪA ᏴB ᏟC ᎠD ᎬE ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᏚS ᎢT ᏙV ᎳW ᏃZ"
 ).split()
 # Kinds of hyphen that look like '-'.
 HYPHENS = (0x2010, 0x2011, 0xFE63, 0x2043)
@@ -52,7 +53,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray
         if cat == "Zs":
             return [0x20]
         form = unicodedata.decomposition(ch)
-        if form.startswith(("<wide>", "<narrow>")):
+        if form.startswith(("<wide>", "<narrow>")) or form.startswith("<compat>") and (0xFB00 <= c <= 0xFB06 or 0x2160 <= c <= 0x217F or 0x132 <= c <= 0x133 or 0x1C4 <= c <= 0x1CC):
             return [y for x in form.split()[1:] for y in fold(int(x, 16))]
         if form and form[0] != "<" and not 0xAC00 <= c <= 0xD7A3:
             return [y for x in form.split() for y in fold(int(x, 16))]
@@ -119,11 +120,20 @@ def consistent(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[alive], row[alive]
 
 
+def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts, how many each has), from the array's buffers; null counts as empty."""
+    filled = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1] if len(filled) else np.zeros(1, np.int64)
+    data = filled.buffers()[2]
+    utf8 = memoryview(data)[offsets[0] : offsets[-1]] if data is not None else b""
+    # a code point begins at every byte that continues none
+    begins = np.r_[0, np.cumsum((np.frombuffer(utf8, np.uint8) & 0xC0) != 0x80)] if len(utf8) else np.zeros(1, np.int64)
+    return np.frombuffer(str(utf8, "utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32), np.diff(begins[offsets - offsets[0]])
+
+
 def consistent_arrow(texts: pa.Array) -> pa.Array:
     """The consistent text of each; null stays null, the empty text empty."""
-    filled = texts.fill_null("")
-    values = np.frombuffer("".join(filled.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = np.asarray(pa.compute.utf8_length(filled)).astype(np.int64)
+    values, n = code_points(texts)
     cp, row = consistent(values, np.repeat(np.arange(len(n)), n))
     utf8 = cp.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
     width = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)

@@ -48,16 +48,17 @@ def best_fit(sizes: list[int], capacity: int, open_bins: int) -> Iterator[tuple[
             n_open -= 1
 
 
-def pack(sized: DataFrame, rows: int, capacity: int, id_column: str = "doc_id", size_column: str = "n_tokens", open_bins: int = 256, rows_a_shard: int = 100_000) -> DataFrame:
+def pack(sized: DataFrame, rows: int, capacity: int, id_column: str = "doc_id", size_column: str = "n_tokens", open_bins: int = 256, rows_a_shard: int = 100_000, shards: int | None = None) -> DataFrame:
     """(id, piece_no, begin, size, container): where each item, or each piece of an oversized one, is.
 
-    Items are spread over shards by a hash of their id; a shard is packed in id order and shares no container with
-    another, so the result is the same whatever the partitioning, and a shard leaves at most ``open_bins`` containers
-    short of full. Items of size 0 or null keep one row with a null container. Repeated ids are separate items.
+    Items are spread over shards by the last bits of a hash of their id: as many bits as keep shards within about
+    ``rows_a_shard`` items, so a shard is only ever cut in two, at each doubling of the table, or given by ``shards``. A shard
+    is packed in id order and shares no container with another, so the result is the same whatever the partitioning, and a
+    shard leaves at most ``open_bins`` containers short of full. Items of size 0 or null keep one row with a null container. Repeated ids are separate items.
     """
     if capacity < 1 or open_bins < 1:
         raise ValueError("capacity and open_bins must be at least 1")
-    shards = max(1, -(-rows // rows_a_shard))
+    shards = shards or 1 << max(0, (-(-rows // rows_a_shard) - 1).bit_length())
     narrow = sized.select(F.col(id_column).alias("id"), F.coalesce(F.col(size_column), F.lit(0)).cast("long").alias("size"))
     keyed = narrow.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long"))
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabletloom.session import spread
+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern by which texts are cut before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -186,7 +188,7 @@ def encode_column(df: DataFrame, id_column: str, text_column: str, path: str = D
 
     Null and empty texts have the empty list. Other columns are not read; repeated rows stay repeated.
     """
-    narrow = df.select(F.col(id_column), F.col(text_column).cast("string").alias("text"))
+    narrow = spread(df.select(F.col(id_column), F.col(text_column).cast("string").alias("text")))
     id_type = narrow.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
