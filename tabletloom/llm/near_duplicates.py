@@ -52,7 +52,7 @@ def similar_classes(rows: DataFrame, known: DataFrame, n: int, threshold: float
     hot = S.hot_keys(rows, n, lambda texts, _: anchors_of(*S.flat_keys(texts), len(texts))[0].ravel())
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, seen = S.Parts(parts, hot), np.empty(0, np.uint64)
+        out, seen = S.Parts(parts, hot, entry=S.NARROW), np.empty(0, np.uint64)
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
                 cp, row = S.flat_keys(whole.slice(at, 4000).column("text").to_pylist())
@@ -75,7 +75,7 @@ def similar_classes(rows: DataFrame, known: DataFrame, n: int, threshold: float
         yield from out.flush()
 
     entries = rows.select("text").mapInArrow(replicate, "part int, blob binary")
-    return S.verify(cut(S.compare_parts(entries, parts, cross=False)), rows, known, threshold)
+    return S.verify(cut(S.compare_parts(entries, parts, cross=False, entry=S.NARROW)), rows, known, threshold)
 
 
 def table_rows(tables: dict[str, DataFrame], column: str, id_column: str = "row_id") -> DataFrame:

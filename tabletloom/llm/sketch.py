@@ -14,10 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabletloom.operators.flat import flat, jaccard_of_pairs, mix, products, trigrams, unique_pairs
 from tabletloom.session import cut, shuffle_partitions
 
 #: One entry of the packed shuffle: its key, the class of the text, 192 sketch bits, flags, filled sketch bins.
+#: Where keys are hashes, 32 bits of them tell those of one part apart (``NARROW``); a collision costs comparisons only.
 ENTRY = np.dtype([("key", "<u8"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("flag", "u1"), ("filled", "u1")])
+NARROW = np.dtype([("key", "<u4"), *((n, ENTRY[n]) for n in ENTRY.names[1:])])
 SKETCH_BITS = 192
 #: By the smaller number of filled bins of two texts, the bits in which they may differ. At Jaccard 0.7 they differ in 28.8
 #: bits, with a deviation of the root of 22 + 1150 / trigrams (simulated; bins filled by copies spread it); the limit is
@@ -26,28 +29,12 @@ SKETCH_LIMITS = np.ceil(28.8 + 4 * np.sqrt(22 + 1150 / np.maximum(np.arange(SKET
 #: Runs of one key beyond this length are cut into blocks that are compared as tasks of their own.
 BLOCK = 16_384
 #: Bytes of entries that one task sorts and compares.
-PART_BYTES = 12 << 20
+PART_BYTES = 16 << 20
 #: Texts of the sample in which hot keys are looked for at most, and the entries a cell of a hot key should hold. Both say
 #: how work is spread, never what is found.
 HOT_SAMPLE, CELL = 50_000, 250_000
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(30))
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
-    return h
-
-
-def flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts in one array, and the row of each."""
-    cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = np.fromiter(map(len, texts), np.int64, len(texts))
-    return cp, np.repeat(np.arange(len(texts)), n)
-
-
 @cache
 def _dropped() -> np.ndarray:
     """Of each code point, whether the key leaves it out: white space and ``!``, ``?``, ``.``."""
@@ -99,16 +86,6 @@ def members(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "tbl string, row_id long, flag tinyint, side tinyint, cls long")
 
 
-def trigrams(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exact 63-bit codes of all trigrams that lie within one row, and their rows."""
-    if len(cp) < 3:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    c = cp.astype(np.uint64)
-    code = (c[:-2] << np.uint64(42)) | (c[1:-1] << np.uint64(21)) | c[2:]
-    ok = row[:-2] == row[2:]
-    return code[ok], row[:-2][ok]
-
-
 def bin_minima(h: np.ndarray, row: np.ndarray, rows: int, bins: int) -> np.ndarray:
     """One-permutation hashing: the least hash of each row in each bin, the largest value where a bin is empty."""
     out = np.full(rows * bins, np.iinfo(np.uint64).max, np.uint64)
@@ -177,14 +154,15 @@ class Parts:
     training entries by others, and each goes to the cells of its row or of its column only.
     """
 
-    def __init__(self, parts: int, hot: dict[int, int] | None = None, cross: bool = False, limit: int = 48 << 20) -> None:
-        self.parts, self.limit, self.held, self.size, self.cross = parts, limit, [], 0, cross
+    def __init__(self, parts: int, hot: dict[int, int] | None = None, cross: bool = False, entry: np.dtype = ENTRY, limit: int = 48 << 20) -> None:
+        self.parts, self.limit, self.held, self.size, self.cross, self.entry = parts, limit, [], 0, cross, entry
         self.hot = np.array(sorted(hot or {}), np.uint64)
         self.side = np.array([hot[int(k)] for k in self.hot], np.int64) if hot else np.empty(0, np.int64)
 
     def add(self, key: np.ndarray, ids: np.ndarray, bits: np.ndarray, filled: np.ndarray, flag: np.ndarray) -> Iterator[pa.RecordBatch]:
-        e = np.empty(len(key), ENTRY)
-        e["key"], e["id"], e["filled"], e["flag"] = key, ids, filled, flag
+        e = np.empty(len(key), self.entry)
+        short = np.uint64(0 if self.entry["key"].itemsize == 8 else 32)
+        e["key"], e["id"], e["filled"], e["flag"] = key >> short, ids, filled, flag
         e["s0"], e["s1"], e["s2"] = bits.T
         place = mix(key ^ np.uint64(0xA0761D6478BD642F))
         if len(self.hot):
@@ -200,7 +178,7 @@ class Parts:
             usual = np.ones(len(e), bool)
             usual[found] = False
             spread = e[rep]
-            spread["key"] = cells
+            spread["key"] = cells >> short
             e, place = np.concatenate([e[usual], spread]), np.concatenate([place[usual], cells])
         self.held.append(((place % np.uint64(self.parts)).astype(np.int32), e))
         self.size += e.nbytes
@@ -259,19 +237,6 @@ def dense_near(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray) -> Iterator
             yield near(a, k[x], b, j[y])
 
 
-def products(left: np.ndarray, first: np.ndarray, count: np.ndarray, size: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of each of ``left`` with the ``count`` numbers from ``first`` on, some ``size`` at a time."""
-    done = np.cumsum(count)
-    at = 0
-    while at < len(left):
-        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + size, "right")))
-        n = count[at:to]
-        total = int(n.sum())
-        if total:
-            yield np.repeat(left[at:to], n), np.repeat(first[at:to] - (np.cumsum(n) - n), n) + np.arange(total)
-        at = to
-
-
 #: Comparisons from which on a run is compared as a matrix; those of smaller runs are listed together.
 DENSE = 4_096
 
@@ -314,16 +279,7 @@ JOB_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("left", pa.binary
 PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def unique_pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    p = np.empty(sum(len(x) for x, _ in found), [("a", np.int64), ("b", np.int64)])
-    p["a"], p["b"] = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-    p = np.unique(p)
-    return p["a"], p["b"]
-
-
-def compare_parts(entries: DataFrame, parts: int, cross: bool) -> DataFrame:
+def compare_parts(entries: DataFrame, parts: int, cross: bool, entry: np.dtype = ENTRY) -> DataFrame:
     """Candidate pairs (a, b) of class ids that share a key and whose sketches differ in few bits (``near``).
 
     ``entries`` has rows (part, blob). Each part is sorted by key; runs of more than ``BLOCK`` entries are cut into
@@ -337,7 +293,7 @@ def compare_parts(entries: DataFrame, parts: int, cross: bool) -> DataFrame:
             blobs += b.column("blob").to_pylist()
         found, held = [], 0
         for one in sorted(set(part)):
-            e = np.frombuffer(b"".join(x for p, x in zip(part, blobs, strict=True) if p == one), ENTRY)
+            e = np.frombuffer(b"".join(x for p, x in zip(part, blobs, strict=True) if p == one), entry)
             e = e[np.lexsort((e["id"], e["key"]))]
             first = np.ones(len(e), bool)
             first[1:] = (e["key"][1:] != e["key"][:-1]) | (e["id"][1:] != e["id"][:-1])
@@ -369,7 +325,7 @@ def compare_parts(entries: DataFrame, parts: int, cross: bool) -> DataFrame:
             found = [(np.asarray(a.filter(ok), np.int64), np.asarray(b.filter(ok), np.int64))]
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
                 if left is not None:
-                    found += list(block_pairs(Entries(np.frombuffer(left, ENTRY)), Entries(np.frombuffer(right, ENTRY))))
+                    found += list(block_pairs(Entries(np.frombuffer(left, entry)), Entries(np.frombuffer(right, entry))))
             x, y = unique_pairs(found)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], schema=PAIR_SCHEMA)
 
@@ -377,20 +333,6 @@ def compare_parts(entries: DataFrame, parts: int, cross: bool) -> DataFrame:
     return jobs.repartition(parts).mapInArrow(run_jobs, "a long, b long").distinct()
 
 
-def trigram_set(key: str) -> set[str]:
-    return {key[i : i + 3] for i in range(len(key) - 2)}
-
-
-def exact_jaccard(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of trigrams in both and in either of each pair of keys."""
-    n = len(left)
-    both, either = np.empty(n, np.int64), np.empty(n, np.int64)
-    for i, (x, y) in enumerate(zip(map(trigram_set, left), map(trigram_set, right), strict=True)):
-        both[i] = b = len(x & y)
-        either[i] = len(x) + len(y) - b
-    return both, either
-
-
 #: Ids of needed rows are broadcast up to this many (16 bytes each and the table's name), beyond it they are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -414,9 +356,10 @@ def verify(pairs: DataFrame, rows: DataFrame, known: DataFrame, threshold: float
         for batch in batches:
             if not batch.num_rows:
                 continue
-            both, either = exact_jaccard(list(map(alike_key, batch.column("ta").to_pylist())), list(map(alike_key, batch.column("tb").to_pylist())))
-            j = both / np.maximum(either, 1)
-            ok = pa.array((j >= threshold) & (both > 0))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(j).filter(ok)], schema=out)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                j = jaccard_of_pairs(*(list(map(alike_key, part.column(c).to_pylist())) for c in ("ta", "tb")))
+                ok = pa.array(j >= threshold)
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(ok), part.column("b").filter(ok), pa.array(j).filter(ok)], schema=out)
 
     return both.mapInArrow(check, "a long, b long, jaccard double")
