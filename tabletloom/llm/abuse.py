@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabletloom.session import spread
+
 #: Labelled documents that the model is fitted on at most (those of least hash, so that it is a fixed sample).
 LABELLED = 20_000
 #: Share of abusive tokens before anything is seen, and the least and greatest score of a token.
@@ -30,31 +33,68 @@ _WORD = re.compile(r"\b(?:[^\W\d_] ){2,}[^\W\d_]\b|[\w@$][\w@$*!|€'’]*[\w@$*
 _RUN = re.compile(r"(.)\1{2,}")
 
 
+@lru_cache(maxsize=500_000)
+def fold(word: str) -> str:
+    """A matched word without case, evasive signs, blanks between letters and drawn-out letters; a masked word is ``*``."""
+    if word[0] == "!":
+        return "!!"
+    w = word.replace(" ", "").lower().rstrip("!|")
+    if "*" in w:
+        return "*"
+    if not w.isalpha():
+        letters = any(map(str.isalpha, w))
+        if letters and any(c in "013457@$!|€" for c in w):
+            w = w.translate(_EVASIVE)
+        elif not letters:
+            w = "0"
+    return _RUN.sub(r"\1", w)
+
+
 def tokens(text: str) -> tuple[list[str], list[int], list[int]]:
-    """Folded tokens with their begins and ends. Case, evasive signs, masked letters, drawn-out letters and blanks
-    between letters are folded away; a masked word is the token ``*``."""
-    out, begin, end = [], [], []
-    for m in _WORD.finditer(text):
-        w = m.group()
-        if w[0] == "!":
-            w = "!!"
-        else:
-            if " " in w:
-                w = w.replace(" ", "")
-            w = w.lower().rstrip("!|")
-            if "*" in w:
-                w = "*"
-            elif not w.isalpha():
-                letters = sum(c.isalpha() for c in w)
-                if letters and any(c in "013457@$!|€" for c in w):
-                    w = w.translate(_EVASIVE)
-                elif not letters:
-                    w = "0"
-            w = _RUN.sub(r"\1", w)
-        out.append(w)
-        begin.append(m.start())
-        end.append(m.end())
-    return out, begin, end
+    """Folded tokens with their begins and ends."""
+    found = list(_WORD.finditer(text))
+    return [fold(m.group()) for m in found], [m.start() for m in found], [m.end() for m in found]
+
+
+class Coder:
+    """Numbers of the given tokens (from 1 on) and pairs of tokens in many texts at once; other tokens are 0."""
+
+    def __init__(self, names: Iterable[str]) -> None:
+        names = sorted(names)
+        self.singles = [x for x in names if " " not in x]
+        number = {x: i + 1 for i, x in enumerate(self.singles)}
+        self.first = len(number) + 1  # what stands before a text's first token
+        self.width = self.first + 1
+        number["^"] = self.first
+        pairs = [x for x in names if " " in x]
+        key = np.array([number[a] * self.width + number[b] for a, b in (x.split(" ") for x in pairs)], np.int64)
+        order = np.argsort(key)
+        self.pairs, self.key = [pairs[i] for i in order], key[order]
+        del number["^"]
+        self.number, self.seen = number, {}
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all tokens, first token of each text and the end)."""
+        words = [_WORD.findall(t) if t else [] for t in texts]
+        seen, number = self.seen, self.number
+        if len(seen) > 1_000_000:
+            seen.clear()
+        flat = [w for x in words for w in x]
+        for w in flat:
+            if w not in seen:
+                seen[w] = number.get(fold(w), 0)
+        return np.fromiter((seen[w] for w in flat), np.int64, len(flat)), np.r_[0, np.cumsum([len(x) for x in words], dtype=np.int64)]
+
+    def pairs_of(self, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each token's pair with the one before, whether it has one)."""
+        before = np.r_[0, ids[:-1]] if len(ids) else ids
+        starts = begin[:-1]
+        before[starts[starts < begin[1:]]] = self.first
+        if not len(self.key):
+            return np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+        key = before * self.width + ids
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return at, (self.key[at] == key) & (before > 0) & (ids > 0)
 
 
 def features(words: list[str]) -> list[str]:
@@ -115,6 +155,28 @@ class Model:
         return best, self.p_value(best, len(words)), out
 
 
+class Scorer:
+    """A model's scores of many texts at once."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.coder = model, Coder(model.weights)
+        self.single = np.array([0.0, *(model.weights[x] for x in self.coder.singles), 0.0])
+        self.pair = np.array([model.weights[x] for x in self.coder.pairs])
+
+    def best(self, texts: list[str | None]) -> tuple[list[float], list[int]]:
+        """(score of the best segment, number of tokens) of each text."""
+        ids, begin = self.coder.encode(texts)
+        single = self.single[ids]
+        at, has = self.coder.pairs_of(ids, begin)
+        pair = np.where(has, self.pair[at], 0.5 * single) if len(self.pair) else 0.5 * single
+        scores = (np.clip(single, *BOUNDS) + np.clip(pair, *BOUNDS)) / 2 - self.model.drift
+        out = []
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            total = np.cumsum(scores[a:b])
+            out.append(max(0.0, float((total - np.minimum.accumulate(np.r_[0.0, total[:-1]])).max())) if b > a else 0.0)
+        return out, np.diff(begin).tolist()
+
+
 def token_score(single: float, pair: float, drift: float) -> float:
     lo, hi = BOUNDS
     return (max(lo, min(hi, single)) + max(lo, min(hi, pair))) / 2 - drift
@@ -229,22 +291,26 @@ def fit(texts: list[str], flagged: list[int], corpus: dict[str, int] | None = No
 
 def features_counted(df: DataFrame, text_column: str, wanted: set[str]) -> dict[str, int]:
     """Corpus-wide counts of the wanted features (so many rows come to the driver at most)."""
-    names = sorted(wanted)
-    number = df.sparkSession.sparkContext.broadcast({n: i for i, n in enumerate(names)})
+    coder = Coder(wanted)
+    shared = df.sparkSession.sparkContext.broadcast(coder)
+    n = len(coder.singles)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = number.value, np.zeros(len(names), np.int64)
-        for batch in batches:
-            ids: list[int] = []
-            for t in batch.column(0).to_pylist():
-                w = tokens(t or "")[0]
-                ids += [i for x in (*w, *features(w)) if (i := at.get(x)) is not None]
-            total += np.bincount(ids, minlength=len(names)) if ids else 0
+        c = shared.value
+        total = np.zeros(n + 1 + len(c.pairs), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                ids, begin = c.encode(whole.slice(at, 2000).column(0).to_pylist())
+                place, has = c.pairs_of(ids, begin)
+                total[: n + 1] += np.bincount(ids, minlength=n + 1)
+                total[n + 1 :] += np.bincount(place[has], minlength=len(c.pairs))
+        total[0] = 0
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
 
-    rows = df.select(F.col(text_column).cast("string")).mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-    return {names[i]: n for i, n in zip(rows.column("i").to_pylist(), rows.column("n").to_pylist(), strict=True)}
+    rows = spread(df.select(F.col(text_column).cast("string"))).mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    names = ["", *coder.singles, *coder.pairs]
+    return {names[i]: k for i, k in zip(rows.column("i").to_pylist(), rows.column("n").to_pylist(), strict=True)}
 
 
 def fit_tables(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", labelled: int = LABELLED) -> Model:
@@ -268,13 +334,18 @@ def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text_co
     are not read.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    narrow = documents.select(F.col(id_column), F.col(text_column).cast("string").alias("text"))
+    narrow = spread(documents.select(F.col(id_column), F.col(text_column).cast("string").alias("text")))
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("p_value", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            got = [m.passages(t) for t in batch.column("text").to_pylist()]
+        scorer = Scorer(m)
+        for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
+            texts = batch.column("text").to_pylist()
+            got = []
+            for t, s, n in zip(texts, *scorer.best(texts), strict=True):
+                p = m.p_value(s, n) if s else 1.0
+                got.append(m.passages(t) if p <= m.limit else (s, p, []))  # most have no passage, so need no places
             rows = [[{"begin": a, "end": b, "score": s, "p_value": p} for a, b, s, p in g[2]] for g in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), pa.array([bool(r) for r in rows], pa.bool_()), pa.array(rows, kind)], names=[id_column, "score", "p_value", "abusive", "passages"])
 
