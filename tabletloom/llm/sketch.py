@@ -32,7 +32,7 @@ BLOCK = 16_384
 PART_BYTES = 16 << 20
 #: Texts of the sample in which hot keys are looked for at most, and the entries a cell of a hot key should hold. Both say
 #: how work is spread, never what is found.
-HOT_SAMPLE, CELL = 50_000, 250_000
+HOT_SAMPLE, CELL = 20_000, 500_000
 
 
 @cache
@@ -111,7 +111,8 @@ def densify(m: np.ndarray) -> np.ndarray:
 def sketch_bits(code_hash: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """rows x 3 words: one bit of the least hash of each of 192 bins, empty bins filled, so that the bits of two texts
     differ on average with half the probability of their Jaccard distance; and how many bins of each row were not empty."""
-    m = bin_minima(mix(code_hash ^ np.uint64(0x5851F42D4C957F2D)), row, rows, SKETCH_BITS)
+    # other bits of the hash than those that keys are taken by
+    m = bin_minima((code_hash >> np.uint64(24)) | (code_hash << np.uint64(40)), row, rows, SKETCH_BITS)
     filled = (m != np.iinfo(np.uint64).max).sum(axis=1).astype(np.uint8)
     return np.packbits((mix(densify(m)) & np.uint64(1)).astype(np.uint8), axis=1).view("<u8"), filled
 

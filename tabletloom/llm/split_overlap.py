@@ -71,15 +71,17 @@ def packed_prefixes(cp: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
-def sampled_suffixes(cp: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def sampled_suffixes(cp: np.ndarray, row: np.ndarray, rows: int, hashed: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(packed prefix, row) of the sampled suffixes, each prefix once a row; among suffixes that begin with the same trigram
-    the least by a hash of the prefix, wherever it stands."""
+    the least by a hash of the prefix, wherever it stands. ``hashed``: the hashes and rows of all trigrams, if known."""
     if len(cp) < 3:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     prefix = packed_prefixes(cp, row)[:-2]
-    code, r = S.trigrams(cp, row)
     prefix = prefix[row[:-2] == row[2:]]
-    h = S.mix(code ^ np.uint64(0xD6E8FEB86659FD93))
+    if hashed is None:
+        code, r = S.trigrams(cp, row)
+        hashed = S.mix(code), r
+    h, r = hashed
     at = r * SAMPLED + (((h & np.uint64(0xFFFF)) * np.uint64(SAMPLED)) >> np.uint64(16)).astype(np.int64)
     order = (h & np.uint64(0xFFFFFFFF00000000)) | ((prefix * np.uint64(_BASE)) >> np.uint64(32))
     least = np.full(rows * SAMPLED, _NONE, np.uint64)
@@ -105,12 +107,13 @@ def pair_keys(code: np.ndarray, row: np.ndarray, rows: int, agree: int = 2, bloc
 
 
 def suffix_keys(cp: np.ndarray, row: np.ndarray, rows: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, their rows, trigram codes, their rows); the last bits of a key are the side, whose texts are arrays of their own."""
+    """(keys, their rows, trigram hashes, their rows); the last bits of a key are the side, whose texts are arrays of their own."""
     code, trow = S.trigrams(cp, row)
-    k1, r1 = sampled_suffixes(cp, row, rows)
+    h = S.mix(code)
+    k1, r1 = sampled_suffixes(cp, row, rows, (h, trow))
     k2, r2 = pair_keys(code, trow, rows)
     r = np.concatenate([r1, r2])
-    return (np.concatenate([k1, k2]) << np.uint64(4)) | side[r], r, code, trow
+    return (np.concatenate([k1, k2]) << np.uint64(4)) | side[r], r, h, trow
 
 
 def side_rows(df: DataFrame, sides: tuple[str, ...], train: str = "train", id_column: str = "row_id") -> DataFrame:
@@ -147,8 +150,8 @@ def overlapping_classes(rows: DataFrame, known: DataFrame, texts: int, threshold
                 ids, flag, side = ids[new], flag[new], side[new]
                 if not len(ids):
                     continue
-                key, r, code, trow = suffix_keys(cp, row, len(ids), side)
-                bits, filled = S.sketch_bits(S.mix(code), trow, len(ids))
+                key, r, h, trow = suffix_keys(cp, row, len(ids), side)
+                bits, filled = S.sketch_bits(h, trow, len(ids))
                 yield from out.add(key, ids[r], bits[r], filled[r], flag[r])
         yield from out.flush()
 
