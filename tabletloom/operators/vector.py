@@ -12,7 +12,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabletloom.session import shuffle_partitions
 
 FLAT_UP_TO = 100_000
 #: Queries of a block: a block travels to the vectors, so the bytes of a block are bounded whatever their number.
@@ -34,9 +33,16 @@ def index_kind(rows: int, kind: str | None = None) -> str:
     return kind
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int = 5, id_column: str = "vec_id", column: str = "embedding", exclude_self: bool = False) -> DataFrame:
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """rows of a x rows of b: squared distances."""
+    return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0)
+
+
+def search(queries: DataFrame, vectors: DataFrame, k: int = 5, id_column: str = "vec_id", column: str = "embedding", exclude_self: bool = False, centers: np.ndarray | None = None, nprobe: int = 1) -> DataFrame:
     """(query_id, id, distance, rank): the ``k`` vectors of least squared distance to each query, equal ones by id.
 
+    With ``centers`` vectors have a ``cell``, and a query is only compared with those of its ``nprobe`` nearest cells.
+
     Queries are cut into blocks; each partition of vectors keeps its ``k`` best for each query of a block (a matrix
     product), and the partitions' best are merged, so what is shuffled is k rows a query and partition, not all pairs.
     """
@@ -45,7 +51,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, id_column: str =
     n = queries.count()
     blocks = max(1, math.ceil(n / QUERY_BLOCK))
     q = queries.where(F.col(column).isNotNull()).select(F.pmod(F.xxhash64(id_column), F.lit(blocks)).alias("block"), F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<float>").alias("v"))
-    v = vectors.where(F.col(column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<float>").alias("v"))
+    v = vectors.where(F.col(column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<float>").alias("v"), *([F.col("cell").cast("int").alias("cell")] if centers is not None else []))
     out, schema = None, "query_id long, id long, distance double"
     for b in range(blocks):
         got = q.where(F.col("block") == b).select("id", "v").toArrow()  # at most about QUERY_BLOCK rows
@@ -53,24 +59,29 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, id_column: str =
             continue
         qid = np.asarray(got.column("id"), np.int64)
         qv = np.stack([np.asarray(x, np.float64) for x in got.column("v").to_pylist()])
-        shared = spark.sparkContext.broadcast((qid, qv))
+        probes = None if centers is None else np.argsort(_squared(qv, centers), axis=1, kind="stable")[:, :nprobe]
+        shared = spark.sparkContext.broadcast((qid, qv, probes))
 
         def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qid, qv = shared.value
-            best_d, best_i = np.full((len(qid), 0), np.inf), np.empty((len(qid), 0), np.int64)
+            qid, qv, probes = shared.value
+            best_d, best_i = np.full((len(qid), k), np.inf), np.zeros((len(qid), k), np.int64)
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 ids = np.asarray(batch.column("id"), np.int64)
                 flat = np.asarray(batch.column("v").flatten(), np.float64).reshape(len(ids), -1)
-                for at in range(0, len(ids), 8192):
-                    x, i = flat[at : at + 8192], ids[at : at + 8192]
-                    d = np.maximum((qv**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * qv @ x.T, 0).round(9)
-                    if exclude_self:
-                        d[qid[:, None] == i[None]] = np.inf
-                    d, j = np.concatenate([best_d, d], axis=1), np.concatenate([best_i, np.broadcast_to(i, (len(qid), len(i)))], axis=1)
-                    order = np.lexsort((j, d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(j, order, 1)
+                cells = np.zeros(len(ids), np.int64) if probes is None else np.asarray(batch.column("cell"), np.int64)
+                for c in np.unique(cells):
+                    asked = np.arange(len(qid)) if probes is None else np.flatnonzero((probes == c).any(axis=1))
+                    inside = np.flatnonzero(cells == c)
+                    for at in range(0, len(inside) if len(asked) else 0, 8192):
+                        x, i = flat[inside[at : at + 8192]], ids[inside[at : at + 8192]]
+                        d = _squared(qv[asked], x).round(9)
+                        if exclude_self:
+                            d[qid[asked, None] == i[None]] = np.inf
+                        d, j = np.concatenate([best_d[asked], d], axis=1), np.concatenate([best_i[asked], np.broadcast_to(i, d.shape)], axis=1)
+                        order = np.lexsort((j, d), axis=1)[:, :k]
+                        best_d[asked], best_i[asked] = np.take_along_axis(d, order, 1), np.take_along_axis(j, order, 1)
             ok = np.isfinite(best_d).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, best_d.shape[1])[ok]), pa.array(best_i.ravel()[ok]), pa.array(best_d.ravel()[ok])], names=["query_id", "id", "distance"])
 
@@ -102,21 +113,9 @@ def build_ivf(vectors: DataFrame, id_column: str = "vec_id", column: str = "embe
 
 
 def search_ivf(queries: DataFrame, index: DataFrame, centers: np.ndarray, k: int = 5, nprobe: int = 1, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """Like ``search``, among the vectors of the ``nprobe`` cells nearest to each query; queries meet cells in a join."""
-    shared = index.sparkSession.sparkContext.broadcast(centers)
-    probes = min(nprobe, len(centers))
-
-    @F.pandas_udf("array<int>")
-    def nearest_cells(s):  # noqa: ANN001, ANN202
-        x = np.stack(s.to_list()).astype(float)
-        d = (shared.value**2).sum(1)[None] - 2 * x @ shared.value.T
-        return __import__("pandas").Series(list(np.argsort(d, axis=1, kind="stable")[:, :probes].astype("int32")))
-
-    q = queries.select(F.col(id_column).cast("long").alias("query_id"), F.col(column).alias("_q"), F.explode(nearest_cells(F.col(column))).alias("cell"))
-    both = q.repartition(shuffle_partitions(index.sparkSession), "cell").join(index.select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("_v"), "cell"), "cell")
-    d = F.aggregate(F.zip_with("_q", "_v", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return both.select("query_id", "id", F.round(d, 9).alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """Like ``search``, among the vectors of the ``nprobe`` cells nearest to each query. Vectors stay where they are, so a large
+    cell is no single task."""
+    return search(queries, index, k, id_column, column, centers=centers, nprobe=nprobe)
 
 
 class Index:

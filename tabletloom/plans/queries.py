@@ -203,6 +203,18 @@ def sumerogram_counts(spark: SparkSession, folder: str) -> DataFrame:
     return pipelines.frequencies(read(spark, folder, "train"), X.sumerograms("transliteration"))
 
 
+@query(rf"""SELECT row_id, {_names("coalesce(transliteration, '')")} AS proper_nouns, list_filter({_found("regexp_replace(coalesce(transliteration, ''), '" + fixed.DETERMINATIVE + "', '', 'g')", _SIGNS)}, lambda x: length(x) >= 2) AS sumerograms,
+list_transform(regexp_extract_all(coalesce(transliteration, ''), '{fixed.DETERMINATIVE}'), lambda x: trim(x, '{{}}')) AS determinatives FROM train_sentences""")
+def text_features(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "train_sentences").select("row_id", X.all_features("transliteration").alias("f")).select("row_id", "f.*")
+
+
+@query(f"SELECT row_id, '{fixed.TASK_PREFIX}' || coalesce(transliteration, '') AS prompt, 412 + length(coalesce(transliteration, '')) AS estimate FROM train")
+def task_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """What a model without a lexicon is asked, and the length that a full prompt would have."""
+    return read(spark, folder, "train").select("row_id", T.with_task_prefix(F.col("transliteration")).alias("prompt"), context.estimated_length(F.col("transliteration")).alias("estimate"))
+
+
 @query(r"SELECT term, count(*) AS n FROM (SELECT trim(unnest(regexp_extract_all(transliteration, '\{[^}]+\}')), '{}') AS term FROM train) GROUP BY term")
 def determinative_counts(spark: SparkSession, folder: str) -> DataFrame:
     return pipelines.frequencies(read(spark, folder, "train"), X.determinatives("transliteration"))
@@ -376,9 +388,19 @@ def near_dedup_pairs(spark: SparkSession, folder: str) -> DataFrame:
 # --- vectors -------------------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT query_id, id, distance, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, d AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY d, v.vec_id)::INTEGER AS rank
+_KNN = """SELECT query_id, id, distance, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, d AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY d, v.vec_id)::INTEGER AS rank
  FROM (SELECT q.vec_id AS qi, v.vec_id AS vi, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)), 6) AS d
-  FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) x JOIN embeddings q ON q.vec_id = x.qi JOIN embeddings v ON v.vec_id = x.vi) WHERE rank <= 5""")
+  FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) x JOIN embeddings q ON q.vec_id = x.qi JOIN embeddings v ON v.vec_id = x.vi) WHERE rank <= 5"""
+
+
+@query(f"SELECT k.*, transliteration, translation FROM ({_KNN}) k JOIN train ON row_id = id")
+def knn_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The neighbours with their rows of the corpus; those beyond it are dropped."""
+    hits = knn_topk(spark, folder)
+    return vector.with_corpus(hits, read(spark, folder, "train")).select("query_id", "id", "distance", "rank", "transliteration", "translation")
+
+
+@query(_KNN)
 def knn_topk(spark: SparkSession, folder: str) -> DataFrame:
     v = read(spark, folder, "embeddings").select("vec_id", "embedding")
     return vector.search(v.where("vec_id % 20 = 0"), v, 5).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
