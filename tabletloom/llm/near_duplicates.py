@@ -113,17 +113,19 @@ def near_duplicate_pairs(tables: dict[str, DataFrame], column: str, threshold: f
 
 
 def near_duplicate_groups(tables: dict[str, DataFrame], column: str, threshold: float = 0.7, id_column: str = "row_id") -> DataFrame:
-    """One row per record: (tbl, row_id, cls, links): its class of equal keys and its number of alike records.
+    """One row per record: (tbl, row_id, cls, links): its class of equal keys, named by its least (table, id), and its number
+    of alike records.
 
     ``cls`` is null for records without a class.
     """
     links, known = near_duplicate_links(tables, column, threshold, id_column)
-    size = known.groupBy("cls").agg(F.count("*").alias("n"))
+    size = known.groupBy("cls").agg(F.count("*").alias("n"), F.min(F.struct("tbl", "row_id")).alias("least"))
+    name = F.concat("least.tbl", F.lit("/"), F.col("least.row_id").cast("string"))
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(size.withColumnRenamed("cls", "b"), "b").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "cls")
-    count = size.join(linked, "cls", "left").select("cls", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    linked = both.join(size.select(F.col("cls").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "cls")
+    count = size.join(linked, "cls", "left").select("cls", name.alias("name"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
     every = None
     for name, df in tables.items():
         one = df.select(F.lit(name).alias("tbl"), F.col(id_column).cast("long").alias("row_id"))
         every = one if every is None else every.unionByName(one)
-    return every.join(known.join(count, "cls").dropDuplicates(["tbl", "row_id"]), ["tbl", "row_id"], "left").select("tbl", "row_id", "cls", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return every.join(known.join(count, "cls").dropDuplicates(["tbl", "row_id"]), ["tbl", "row_id"], "left").select("tbl", "row_id", F.col("name").alias("cls"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

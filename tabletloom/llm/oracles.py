@@ -56,6 +56,12 @@ l AS (SELECT tbl, row_id, x, {_look('x')} AS look FROM t WHERE x IS NOT NULL)
 SELECT a.tbl, a.row_id AS row_id_a, b.row_id AS row_id_b FROM l a JOIN l b ON a.tbl = b.tbl AND a.look = b.look AND a.row_id < b.row_id AND a.x <> b.x""",
     "p1_texts": f"SELECT 'train' AS tbl, row_id, {_look('transliteration')} AS consistent FROM train UNION ALL SELECT 'oa_lexicon_ebl', row_id, {_look('form')} FROM oa_lexicon_ebl",
     "p3_found": f"WITH {_alike(_PAIRS)} SELECT ta AS tbl_a, ra AS row_id_a, tb AS tbl_b, rb AS row_id_b FROM alike",
+    "p3_groups": f"""WITH {_alike(_PAIRS)}, c AS (SELECT tbl, row_id, CASE WHEN length(k) >= 3 THEN min({{'t': tbl, 'r': row_id}}) OVER (PARTITION BY k) END AS c FROM texts),
+n AS (SELECT tbl, row_id, count(*) AS links FROM (SELECT ta AS tbl, ra AS row_id FROM alike UNION ALL SELECT tb, rb FROM alike) GROUP BY ALL)
+SELECT tbl, row_id, CASE WHEN c IS NOT NULL THEN c.t || '/' || c.r END AS cls, coalesce(links, 0) AS links FROM c LEFT JOIN n USING (tbl, row_id)""",
+    "p5_rebuilt": "SELECT row_id, 'transliteration' AS field, transliteration AS text, true AS within FROM train WHERE length(transliteration) > 1000 UNION ALL SELECT row_id, 'translation', translation, true FROM train WHERE length(translation) > 2000",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p9_checked": "SELECT count(*) AS documents, 0::BIGINT AS gaps, 0::BIGINT AS shared, 0::BIGINT AS overfull FROM documents",
     "p5_found": "SELECT row_id, 'transliteration' AS field FROM train WHERE length(transliteration) > 1000 UNION ALL SELECT row_id, 'translation' FROM train WHERE length(translation) > 2000",
     "p6_found": f"SELECT DISTINCT least(t, o) AS row_id_a, greatest(t, o) AS row_id_b FROM {_OVERLAPS}",
     "p6_counts": f"""WITH f AS (SELECT side, o AS row_id, max(j) AS j FROM {_OVERLAPS} GROUP BY ALL),

@@ -83,6 +83,15 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_pieces(spark, folder).where("piece_no = 2").select("row_id", "field")
 
 
+def p5_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts put together again from their pieces: those that were cut, each piece without its overlap."""
+    pieces = p5_pieces(spark, folder).where("pieces > 1").withColumn("end", F.col("begin") + F.col("n_chars"))
+    rest = F.expr("substring(piece, int(greatest(coalesce(lag(end) over (partition by row_id, field order by piece_no), 0) - begin, 0)) + 1)")
+    parts = pieces.select("row_id", "field", F.struct("piece_no", rest.alias("rest")).alias("p"), "n_chars")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["rest"]), "")
+    return parts.groupBy("row_id", "field").agg(whole.alias("text"), (F.max("n_chars") <= F.when(F.col("field") == "translation", 2000).otherwise(1000)).alias("within"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     from tabletloom.llm.split_overlap import overlaps
 
@@ -116,6 +125,13 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_column(_read(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that the ids stand for."""
+    from tabletloom.llm.tokens import decode_column
+
+    return decode_column(p8_ids(spark, folder), "doc_id", "ids")
+
+
 def p9_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Where each document, or each piece of one longer than 2,048 tokens, is."""
     from tabletloom.llm.packing import pack
@@ -131,6 +147,15 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     return used.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.round(1 - F.avg("used") / 2048, 6).alias("unused"))
 
 
+def p9_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, containers that hold more than fits, and documents that are not placed from end to end."""
+    packed = p9_packed(spark, folder)
+    full = packed.where("container is not null").groupBy("container").agg(F.sum("size").alias("used")).agg(F.count_if(F.col("used") > 2048).alias("overfull"))
+    before = F.expr("coalesce(lag(begin + size) over (partition by doc_id order by piece_no), 0)")
+    placed = packed.withColumn("gap", before != F.col("begin")).groupBy("doc_id").agg(F.max("gap").alias("gap"), F.countDistinct("container").alias("n"), F.count("*").alias("pieces"))
+    return placed.agg(F.count("*").alias("documents"), F.count_if("gap").alias("gaps"), F.count_if((F.col("n") != F.col("pieces")) & (F.col("n") > 0)).alias("shared")).join(full)
+
+
 def _abuse(spark: SparkSession, folder: str) -> DataFrame:
     from tabletloom.llm.abuse import fit_tables, score
 
@@ -153,4 +178,4 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("abusive").alias("abusive"), F.avg(F.col("abusive").cast("int")).alias("rate"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_unmatched, p3_found, p3_groups, p4_found, p4_paragraphs, p5_found, p5_pieces, p6_found, p6_counts, p6_coverage, p7_found, p8_ids, p9_packed, p9_fill, p10_found, p10_scores, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_unmatched, p3_found, p3_groups, p4_found, p4_paragraphs, p5_found, p5_pieces, p5_rebuilt, p6_found, p6_counts, p6_coverage, p7_found, p8_ids, p8_decoded, p9_packed, p9_fill, p9_checked, p10_found, p10_scores, p10_rates)}

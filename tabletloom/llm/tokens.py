@@ -206,3 +206,21 @@ def encode_column(df: DataFrame, id_column: str, text_column: str, path: str = D
                     yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_column, "ids"])
 
     return narrow.mapInArrow(run, f"`{id_column}` {id_type}, " + ("n_tokens int" if count_only else "ids array<int>"))
+
+
+def decode_column(df: DataFrame, id_column: str, ids_column: str, path: str = DEFAULT_RANKS) -> DataFrame:
+    """(id, text) of rows of ids. A null list has a null text, an empty one the empty text."""
+    narrow = df.select(F.col(id_column), F.col(ids_column).cast("array<int>").alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bytes_of = encoder(path).transducer.bytes_of
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                texts = []
+                for ids in batch.column("ids").to_pylist():
+                    d = Decoder(bytes_of)
+                    texts.append(None if ids is None else d.push(ids) + d.end())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_column, "text"])
+
+    return narrow.mapInArrow(run, f"`{id_column}` {narrow.schema[id_column].dataType.simpleString()}, text string")

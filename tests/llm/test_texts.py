@@ -381,6 +381,25 @@ def test_pack(spark):
     assert packing.pack(df.limit(0), 0, 10).count() == 0
 
 
+def test_shards_are_cut_in_two(spark):
+    def shards(rows):
+        sized = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(10).alias("n_tokens"))
+        return {r["doc_id"]: r["container"] >> 40 for r in packing.pack(sized, rows, 100, rows_a_shard=50).collect()}
+
+    assert shards(101) == shards(200)  # more rows change nothing until the table has doubled
+    four, eight = shards(200), shards(201)
+    assert len(set(four.values())) == 4 and all(eight[k] & 3 == v for k, v in four.items())
+
+
+def test_decoded_texts_are_the_given_ones(spark, encoder):
+    rng = random.Random(5)
+    texts = [None, "", "a\u0301 \U00012000", *("".join(rng.choices("ab šṭ-\n.é😀", k=rng.randint(1, 60))) for _ in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = tok.encode_column(df, "doc_id", "text")
+    got = {r["doc_id"]: r["text"] for r in tok.decode_column(ids, "doc_id", "ids").collect()}
+    assert got == {i: t or "" for i, t in enumerate(texts)}
+
+
 # --- problem 10 ---
 
 
@@ -430,5 +449,25 @@ def test_held_out_accuracy(spark):
     assert abuse.score(docs.limit(0), none).count() == 0
 
 
+def test_scores_of_many_texts_are_those_of_each():
+    rng = random.Random(8)
+    words = ["you", "the", "m0ron", "pig", "go", "away", "s h i t", "silver", "12", "f**k", "!!!"]
+    weights = {"you": 0.4, "the": -0.2, "moron": 3.0, "pig": 2.0, "^ you": 1.0, "you moron": 3.5, "you pig": 2.5, "the silver": -1.0, "*": 2.0, "!! you": 0.3, "!!": 0.5}
+    model = abuse.Model(weights=weights, base=1.0, limit=0.1)
+    texts = [None, "", " ", *(" ".join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(200))]
+    best, n = abuse.Scorer(model).best(texts)
+    for t, b, k in zip(texts, best, n, strict=True):
+        assert b == pytest.approx(model.passages(t)[0]) and k == len(abuse.tokens(t or "")[0])
+    coder = abuse.Coder(abuse.sample_features(texts[:50]))
+    ids, begin = coder.encode(texts)
+    place, has = coder.pairs_of(ids, begin)
+    counts = np.bincount(place[has], minlength=len(coder.pairs))
+    expected = defaultdict(int)
+    for t in texts:
+        for x in abuse.features(abuse.tokens(t or "")[0]):
+            expected[x] += 1
+    assert {p: int(c) for p, c in zip(coder.pairs, counts, strict=True)} == {p: expected[p] for p in coder.pairs}
+
+
 def test_evasive_tokens():
     assert abuse.tokens("You M0R0N, s h i t! f*****g bitchhhh 12")[0] == ["you", "moron", "shit", "*", "bitch", "0"]
