@@ -12,7 +12,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
 FLAT_UP_TO = 100_000
 #: Queries of a block: a block travels to the vectors, so the bytes of a block are bounded whatever their number.
 QUERY_BLOCK = 4_096
