@@ -61,7 +61,7 @@ class Coder:
 
     def __init__(self, names: Iterable[str]) -> None:
         names = sorted(names)
-        self.singles = [x for x in names if " " not in x]
+        self.singles = sorted({y for x in names for y in x.split(" ")} - {"^"})
         number = {x: i + 1 for i, x in enumerate(self.singles)}
         self.first = len(number) + 1  # what stands before a text's first token
         self.width = self.first + 1
@@ -160,7 +160,7 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.coder = model, Coder(model.weights)
-        self.single = np.array([0.0, *(model.weights[x] for x in self.coder.singles), 0.0])
+        self.single = np.array([0.0, *(model.weights.get(x, 0.0) for x in self.coder.singles), 0.0])
         self.pair = np.array([model.weights[x] for x in self.coder.pairs])
 
     def best(self, texts: list[str | None]) -> tuple[list[float], list[int]]:
