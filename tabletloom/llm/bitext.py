@@ -37,7 +37,7 @@ FLOOR, BEHIND = 0.3, 0.1
 #: Probability given to no word at all besides the empty one.
 UNEXPLAINED = 0.03
 #: Probability from which on, in either direction, a word pair is of use.
-LEAST = 0.02
+LEAST = 0.05
 #: Share of their letter pairs that two names must have in common to agree, and what such agreement counts.
 SIMILAR, AGREED = 0.45, 0.95
 #: Cells that one array of alignments holds at most, unless a single document has more.
