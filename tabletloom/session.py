@@ -74,6 +74,9 @@ def ship(spark: SparkSession) -> None:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many partitions as there are cores, should a small file give fewer: for work that costs much more than
-    moving the rows."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    moving the rows. What comes out of a shuffle, which may have been made few partitions, gets the session's number of them."""
+    spark = df.sparkSession
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():  # counting its partitions would run it
+        return df.repartition(shuffle_partitions(spark))
+    cores = spark.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
