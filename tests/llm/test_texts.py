@@ -98,10 +98,13 @@ def test_short_and_long_words_are_repaired(spark):
     for i, t in enumerate(texts):
         w = bad.get(i, "ša" if i % 4 else long)
         rows.append((i, f"{t}\nthe merchant {w} {rng.choice(('house', 'garden'))} {shown.get(i, signs[i % 5])} received silver"))
+    endless = "la-áš-" * 100 + "la-á§-" + "la-áš-" * 100
+    rows += [(900, f"the merchant {endless}ma received"), (901, "c5b§" * 25_000), (902, f"silver {'c' * 100_000}")]
     df = spark.createDataFrame(rows, "row_id long, page_text string")
     got = {(r["row_id"], r["word"], r["right"]) for r in ocr_repair.defects(df).where("defect = 'glyph'").collect()}
     assert {(7, "§a", "ša"), (20, "ſa", "ša"), (33, "5a", "ša"), (46, bad[46], long)} <= got
     assert not [g for g in got if g[1] in ("l9", "ša", long)]
+    assert (900, f"{endless}ma", f"{endless.replace('§', 'š')}ma") in got
 
 
 def test_operations_are_learned_from_words():
