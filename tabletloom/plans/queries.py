@@ -454,12 +454,6 @@ def training_rows(spark: SparkSession, folder: str) -> DataFrame:
     return pipelines.prepare_training(read(spark, folder, "train_sentences"), lexicon.proper_noun_table(lex), lexicon.sumerogram_table(lex, read(spark, folder, "ebl_dictionary")))
 
 
-@query()
-def evaluated_copies(spark: SparkSession, folder: str) -> DataFrame:
-    """The metrics of a predictor that copies its input."""
-    return pipelines.evaluate(read(spark, folder, "train_sentences"), lambda: lambda texts: texts)
-
-
 def _assembled(budget: int) -> str:
     rest = f"({budget} - length(l) - 4)"
     half = f"CAST(floor({rest} / 2) AS BIGINT)"
@@ -495,8 +489,8 @@ def _bleu_tokens(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '{_S}+'), lambda w: w <> '')"
 
 
-_CHRF = rf"""r AS (SELECT row_id, regexp_replace(coalesce(e.translation, ''), '{_S}', '', 'g') AS h, regexp_replace(coalesce(s.translation, ''), '{_S}', '', 'g') AS f
- FROM extracted_pairs e JOIN train_sentences s USING (row_id)),
+_SIDES = "SELECT row_id, e.transliteration AS src, e.translation AS h, s.translation AS f FROM extracted_pairs e JOIN train_sentences s USING (row_id)"
+_CHRF = rf"""r AS (SELECT row_id, regexp_replace(coalesce(h, ''), '{_S}', '', 'g') AS h, regexp_replace(coalesce(f, ''), '{_S}', '', 'g') AS f FROM side),
 o AS (SELECT unnest(range(1, 7)) AS n),
 c AS (SELECT row_id, n, g, sum(a) AS a, sum(b) AS b FROM (
  SELECT row_id, n, substr(h, i, n) AS g, 1 AS a, 0 AS b FROM (SELECT row_id, h, n, unnest(range(1, length(h) - n + 2)) AS i FROM r, o WHERE length(h) >= n)
@@ -506,14 +500,14 @@ q AS (SELECT avg(m / a) AS p, avg(m / b) AS r FROM t),
 chrf AS (SELECT round(100 * coalesce(CASE WHEN p + r > 0 THEN 5 * p * r / (4 * p + r) ELSE 0.0 END, 0), 6)::DOUBLE AS chrf FROM q)"""
 
 
-def _metrics() -> str:
-    """BLEU with exponential smoothing, chrF, their geometric mean and the names, of the passages side by side."""
+def _metrics(rows: str) -> str:
+    """BLEU with exponential smoothing, chrF, their geometric mean and the names, of rows (row_id, src, h, f)."""
     zeros = lambda n: "(" + " + ".join(f"(m{k} = 0 AND t{k} > 0)::INTEGER" for k in range(1, n + 1)) + ")"
     p = [f"CASE WHEN t{n} = 0 THEN 0.0 WHEN m{n} = 0 THEN 100.0 / (2.0 ** {zeros(n)} * t{n}) ELSE 100.0 * m{n} / t{n} END" for n in range(1, 5)]
     pivot = ", ".join(f"coalesce(max(least_) FILTER (n = {n}), 0)::DOUBLE AS m{n}, coalesce(max(total) FILTER (n = {n}), 0)::DOUBLE AS t{n}" for n in range(1, 5))
     grams = lambda c, a, b: f"SELECT row_id, n, array_to_string({c}[i:i + n - 1], chr(1)) AS g, {a} AS a, {b} AS b FROM (SELECT *, unnest(range(1, len({c}) - n + 2)) AS i FROM tok, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len({c}) >= n)"
     key = _match("name")
-    return f"""WITH {_CHRF}, side AS (SELECT row_id, e.transliteration AS src, e.translation AS h, s.translation AS f FROM extracted_pairs e JOIN train_sentences s USING (row_id)),
+    return f"""WITH side AS ({rows}), {_CHRF},
 tok AS (SELECT row_id, {_bleu_tokens('h')} AS th, {_bleu_tokens('f')} AS tf FROM side),
 bg AS (SELECT row_id, n, g, sum(a) AS a, sum(b) AS b FROM ({grams('th', 1, 0)} UNION ALL {grams('tf', 0, 1)}) GROUP BY ALL),
 bn AS (SELECT n, sum(least(a, b)) AS least_, sum(a) AS total FROM bg GROUP BY n),
@@ -527,16 +521,22 @@ CASE WHEN total_proper_nouns > 0 THEN round(correct_in_hypothesis / total_proper
 CASE WHEN total_proper_nouns > 0 THEN round(correct_in_reference / total_proper_nouns, 6) ELSE 0.0 END::DOUBLE AS proper_noun_recall_ref, na.* FROM bl, chrf, na"""
 
 
-@query(_metrics())
+@query(_metrics(_SIDES))
 def corpus_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.all_metrics(_evaluated(spark, folder), "hypothesis", "reference", "transliteration")
 
 
-@query(f"WITH {_CHRF} SELECT * FROM chrf")
+@query(f"WITH side AS ({_SIDES}), {_CHRF} SELECT * FROM chrf")
 def chrf_score(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.chrf(_evaluated(spark, folder), "hypothesis", "reference")
 
 
+@query(_metrics("SELECT row_id, transliteration AS src, coalesce(transliteration, '') AS h, translation AS f FROM train_sentences"))
+def evaluated_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """The metrics of a predictor that copies its input."""
+    return pipelines.evaluate(read(spark, folder, "train_sentences"), lambda: lambda texts: texts)
+
+
 # --- samples, splits, augmentation, submission ---------------------------------------------------------------------------------
 
 
