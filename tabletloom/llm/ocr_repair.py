@@ -26,8 +26,9 @@ from tabletloom.session import cut, spread
 
 #: Examples of each kind that a perceptron is fitted on at most.
 SEEDS = 6_000
-#: For the seeds: a repaired word is so many times as frequent as the word as read, and occurs so often.
-RATIO, KNOWN = 8, 4
+#: For the seeds: a repaired word is so many times as frequent as the word as read, and occurs so often. A word as read that
+#: itself occurs so often (as every misreading does in a large collection) is ``FAR`` times as rare.
+RATIO, KNOWN, FAR = 8, 4, 20
 #: An operation is seen in so many words, with such a share of the commonest, and so many times as often as its reverse.
 TIMES, SHARE, ONE_WAY = 3, 0.03, 4
 #: Words beyond this length are repaired place by place, each from its neighbourhood, as no other writing of them is known.
@@ -49,7 +50,7 @@ def small(df: DataFrame) -> DataFrame:
 
 def template(line: str) -> str:
     """A line without its numbers, case and the differences that misreading makes."""
-    s = re.sub(r"(?<![^\W\d_])[lIO|!\d]*\d[lIO|!\d]*(?![^\W\d_])|(?<!\S)[lIO!|]{1,3}(?!\S)", "#", line.strip())
+    s = re.sub(r"(?<![^\W\d_])[lIO|!\d]*\d[lIO|!\d]*(?![^\W\d_])|(?<!\S)[lIO!|]{1,3}(?![^\s.,;:)\]])", "#", line.strip())
     s = re.sub(r"\s+", " ", s).lower()
     for a, b in (("rn", "m"), ("cl", "d"), ("ii", "n"), ("vv", "w"), ("u", "n")):
         s = s.replace(a, b)
@@ -127,8 +128,9 @@ def recurring_lines(pages: DataFrame) -> DataFrame:
 
     lines = cut(pages.select("k1", "k2", "text").mapInArrow(lines_out, "k1 long, k2 long, at int, t string, edge int"))
     counts = cut(lines.groupBy("t").agg(F.count("*").alias("n"), F.sum("edge").alias("edge")).where("edge > 0"))
-    # text lines stand at the edge by chance only; a header does so on most of its pages
-    recurs = F.expr("n >= 3 and edge >= 0.4 * n")
+    # text lines stand at the edge by chance only; a header does so on most of its pages. In a large collection many text
+    # lines recur, so the share at the edge is taken at the lower end of its 95 % interval (Wilson)
+    recurs = F.expr("n >= 3 and (edge + 2 - 2 * sqrt(edge * (n - edge) / n + 1)) / (n + 4) >= 0.4")
     known = counts.where(recurs).select("t", F.when(F.col("n") >= 12, "often").otherwise("some").alias("how"))
     long = F.length("t") > 8
     often = cut(known.where(long & (F.col("how") == "often")).select(F.explode(_wildcards(F.col("t"))).alias("w")).distinct())
@@ -255,9 +257,27 @@ def plain(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
 
 
+def shows(n: int | Column, m: int | Column) -> bool | Column:
+    """Whether a word that occurs ``n`` times may be a misreading of one that occurs ``m`` times. A word of few occurrences
+    may be so by chance; in a large collection a misreading is no rare word, but keeps its share of the right one."""
+    return (m >= RATIO * n) & ((n < KNOWN) | (m >= FAR * n))
+
+
+def spelling(read: str, written: str) -> bool:
+    """Whether two strings are the same letters but for marks and case."""
+    return plain(read).lower() == plain(written).lower()
+
+
+def accepted(words_of: dict[tuple[str, str], int]) -> list[tuple[str, str]]:
+    """The operations among (read, written), given the number of words that show each."""
+    words_of = {o: k for o, k in words_of.items() if not spelling(*o)}
+    least = max(TIMES, SHARE * max(words_of.values(), default=0))
+    return sorted(o for o, k in words_of.items() if k >= least and k >= ONE_WAY * words_of.get((o[1], o[0]), 0))
+
+
 def learn_operations(rare: dict[str, int], frequent: dict[str, int]) -> list[tuple[str, str]]:
     """(read, written) of the misreadings that rare words show beside frequent ones (both with their counts) that differ in
-    one place. Differences in marks on the same letters are spellings."""
+    one place. Differences in marks and case are spellings. The plain form of ``operations_of``."""
     at: dict[tuple[str, str], list[tuple[str, str]]] = {}
     for w in frequent:
         for key, between in one_place(w):
@@ -267,11 +287,25 @@ def learn_operations(rare: dict[str, int], frequent: dict[str, int]) -> list[tup
         for key, read in one_place(w):
             for written, other in at.get(key, ()):
                 # the shortest place only: what both have in common is no part of it
-                if frequent[other] >= RATIO * n and read != written and len(read) + len(written) <= 3 and (not read or not written or read[0] != written[0] and read[-1] != written[-1]):
+                if shows(n, frequent[other]) and read != written and len(read) + len(written) <= 3 and (not read or not written or read[0] != written[0] and read[-1] != written[-1]):
                     shown.setdefault((read, written), set()).add(w)
-    words_of = {o: len(x) for o, x in shown.items() if plain(o[0]) != plain(o[1])}
-    least = max(TIMES, SHARE * max(words_of.values(), default=0))
-    return sorted(o for o, k in words_of.items() if k >= least and k >= ONE_WAY * words_of.get((o[1], o[0]), 0))
+    return accepted({o: len(x) for o, x in shown.items()})
+
+
+def operations_of(words: DataFrame) -> list[tuple[str, str]]:
+    """The operations that all of the given words (word, n) show: words that differ in one place meet in a join. To the
+    driver come only the operations that ``TIMES`` words show, and their reverses, with their numbers of words."""
+    i, size, length = F.col("i"), F.col("size"), F.length("word")
+    places = words.select("word", "n", F.explode(F.sequence(F.lit(0), length)).alias("i")).select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("size")).where(i + size <= length)
+    places = places.select("word", "n", F.xxhash64(F.substring("word", F.lit(1), i), i, F.substring("word", i + size + 1, length)).alias("key"), F.substring("word", i + 1, size).alias("between"))
+    read = places.select("key", F.col("between").alias("read"), "word", "n")
+    right = places.where(F.col("n") >= 3 * KNOWN).select("key", F.col("between").alias("written"), F.col("n").alias("m"))
+    apart = F.expr("read <> written and length(read) + length(written) <= 3 and (read = '' or written = '' or left(read, 1) <> left(written, 1) and right(read, 1) <> right(written, 1))")
+    shown = read.join(right, "key").where(shows(F.col("n"), F.col("m")) & apart)
+    counts = cut(shown.groupBy("read", "written").agg(F.count_distinct("word").alias("k")))
+    often = counts.where(F.col("k") >= TIMES).select("read", "written")
+    back = often.select(F.col("written").alias("read"), F.col("read").alias("written"))
+    return accepted({(r["read"], r["written"]): r["k"] for r in counts.join(often.union(back).distinct(), ["read", "written"]).collect()})
 
 
 def sites(word: str, strings: list[str]) -> Iterator[tuple[int, int]]:
@@ -318,8 +352,9 @@ class Editor:
         options, out = [self.keep(word, n)], [(word, len(word))]
         ways = set()
         for h in hits:
-            known = f"known={max(-1, min(8, level(h['m'] / max(n, 1))))}"
-            f = ["bias", known, f"n={min(level(n), 6)},{known}", size, f"steps={1 + (h['op2'] >= 0)}", *self.character(word, h["at"], h["op"], "known")]
+            times = max(-1, min(8, level(h["m"] / max(n, 1))))
+            known = f"known={times}"
+            f = ["bias", known, f"n={min(level(n), 6)},{known}", size, f"steps={1 + (h['op2'] >= 0)}", *(f"known>{k}" for k in range(times)), *self.character(word, h["at"], h["op"], "known")]
             at = h["at"]
             if h["op2"] >= 0:
                 f += self.character(put(word, at, *self.operations[h["op"]]), h["at2"], h["op2"], "known")
@@ -353,6 +388,20 @@ class Editor:
                 right, at = out[k][0], min(at, out[k][1])
         return right, at
 
+    def seeds(self, batch: pa.RecordBatch) -> Iterator[tuple[list[tuple[str, list[str]]], int]]:
+        """Examples from words (word, n, hits) that are surely misread, or as usual."""
+        for word, n, hits, misread in zip(*(batch.column(c).to_pylist() for c in ("word", "n", "hits", "misread")), strict=True):
+            if misread:
+                k = max(range(len(hits)), key=lambda i: (hits[i]["m"], -i))
+                yield self.options(word, n, hits)[0], k + 1
+                if hits[k]["op2"] < 0:  # as if the right word were not known
+                    options, out = self.options(word, 0, [])
+                    yield options, out.index((hits[k]["right"], hits[k]["at"]))
+            else:
+                for m, known in ((n, hits), (0, [])):
+                    options = self.options(word, m, known)[0]
+                    if len(options) > 1:
+                        yield options, 0
 
     def repair_long(self, word: str) -> tuple[str, int] | None:
         """The same of a long word, in time that grows with its length: each place is decided for itself."""
@@ -417,27 +466,13 @@ def corrections(vocabulary: DataFrame, extra: DataFrame) -> DataFrame:
     every = vocabulary.select("word", "n").union(extra.select("word", F.lit(0).cast("long"))).groupBy("word").agg(F.sum("n").alias("n")).where(r"word rlike '\\p{L}'")
     every = cut(every)
     whole = vocabulary.where(F.length("word") <= LONG).where(r"word rlike '\\p{L}' and word not rlike '[-\\u00ad\\u00ac]$'").select("word", "n")
-    some = {r["word"]: r["n"] for r in whole.where(f"n < {KNOWN}").orderBy(F.xxhash64("word"), "word").limit(SEEDS).collect()}
-    frequent = {r["word"]: r["n"] for r in whole.where(f"n >= {3 * KNOWN}").orderBy(F.desc("n"), "word").limit(SEEDS).collect()}
-    editor = Editor(learn_operations(some, frequent), Perceptron())
+    editor = Editor(operations_of(whole), Perceptron())
     hit = cut(known_repairs(every, vocabulary, editor.operations))
-    short = hit.where(F.length("word") <= LONG)
-    best = F.array_max("hits")["m"]
-    sure = best >= RATIO * F.greatest("n", F.lit(1))
-    misread = short.where((F.col("n") < KNOWN) & sure).orderBy(F.xxhash64("word"), "word").limit(SEEDS).collect()
-    usual = short.where((F.col("n") >= KNOWN) & ~F.coalesce(sure, F.lit(False))).orderBy(F.desc("n"), "word").limit(SEEDS).collect()
-    examples = []
-    for r in misread:
-        hits = [h.asDict() for h in r["hits"]]
-        k = max(range(len(hits)), key=lambda i: (hits[i]["m"], -i))
-        examples.append((editor.options(r["word"], r["n"], hits)[0], k + 1))
-        if hits[k]["op2"] < 0:  # as if the right word were not known
-            options, out = editor.options(r["word"], 0, [])
-            examples.append((options, out.index((hits[k]["right"], hits[k]["at"]))))
-    for r in usual:
-        for n, hits in ((r["n"], [h.asDict() for h in r["hits"]]), (0, [])):
-            examples.append((editor.options(r["word"], n, hits)[0], 0))
-    editor.model = Perceptron.train([x for x in examples if len(x[0]) > 1], epochs=4)
+    best, n = F.array_max("hits")["m"], F.greatest("n", F.lit(1))
+    misread, usual = F.coalesce(shows(n, best), F.lit(False)), (F.col("n") >= KNOWN) & F.coalesce(best < RATIO * n, F.lit(True))
+    seeds = hit.where(F.length("word") <= LONG).select("word", "n", "hits", misread.alias("misread")).where(F.col("misread") | usual)
+    some = seeds.where("misread").orderBy(F.xxhash64("word"), "word").limit(SEEDS).union(seeds.where("not misread").orderBy(F.desc("n"), "word").limit(SEEDS))
+    editor.model = Perceptron.train([x for batch in some.toArrow().to_batches() for x in editor.seeds(batch)], epochs=8)
     shared = hit.sparkSession.sparkContext.broadcast(editor)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,6 +114,48 @@ def test_operations_are_learned_from_words():
     assert ocr_repair.learn_operations({}, frequent) == []
 
 
+def misread_words(times):
+    """{word: n}, {misread: right} of a collection in which every misreading has been seen ``times`` times or more."""
+    rng = random.Random(3)
+    words, right = {}, {}
+    for w in sorted({*" ".join(SENTENCES).split(), *invented(rng), *invented(rng)}):
+        words[w] = 300 * times
+        for read, written in (("f", "t"), ("5", "s"), ("0", "o"), ("rn", "m"), ("ii", "n"), ("c", "e"), ("6", "b"), ("vv", "w")):
+            if written in w and (x := w.replace(written, read, 1)) not in words:
+                words[x] = times
+                right[x] = w
+    return {"If": 280 * times, "It": 700 * times} | words, right
+
+
+@pytest.mark.parametrize("times", [1, 4, 2_000])
+def test_misreadings_are_found_however_often_they_occur(spark, times):
+    words, right = misread_words(times)
+    df = spark.createDataFrame([*words.items()], "word string, n long")
+    got = {r["word"]: r["right"] for r in ocr_repair.corrections(df, df.select("word").limit(0)).collect()}
+    assert len(got.keys() & right.keys()) >= 0.99 * len(right)
+    assert len([w for w in got if w not in right]) == 0
+
+
+def test_operations_of_a_table_are_those_of_the_plain_way(spark):
+    words, _ = misread_words(1)
+    words |= {w + "s": 2 for w in list(words)[:40]} | {"Silver": 3, "The": 2, "§": 1, "a": 900, "": 5}
+    df = spark.createDataFrame([*words.items()], "word string, n long")
+    assert ocr_repair.operations_of(df) == ocr_repair.learn_operations(words, {w: n for w, n in words.items() if n >= 3 * ocr_repair.KNOWN})
+
+
+def test_text_lines_that_recur_are_no_headers(spark):
+    rows = []
+    for p in range(60):
+        lines = ["Word " + "abcdefghijkl"[k] * (p + 2) for k in range(12)]
+        lines[0 if p % 20 < 9 else 5] = "Partners sometimes dissolved their association"  # at the edge on 27 of 60 pages
+        if p < 17:
+            lines[11 if p < 9 else 6] = "None of the remaining documents explains"  # on 9 of 17, by chance
+        rows.append((p, "\n".join(["Caravan Letters", *lines])))
+    df = spark.createDataFrame(rows, "row_id long, text string").select("*", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
+    marks = ocr_repair.recurring_lines(df).select(F.explode("marks").alias("m")).select("m.at").collect()
+    assert {r["at"] for r in marks} == {0} and len(marks) == 60
+
+
 def test_rebuild_keeps_sign_joints():
     page = "1\nThe re-\nport of Ṣe-\nlu-lu and tbe end\n\nnext"
     found = [{"line_no": 1, "defect": "furniture"}, {"line_no": 2, "defect": "hyphen"}, {"line_no": 4, "defect": "glyph", "word": "tbe", "right": "the"}]
