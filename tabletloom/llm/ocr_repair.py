@@ -3,17 +3,19 @@
 Three decisions are learned from the collection itself, without given labels. Lines: furniture (running headers,
 footers, page numbers) or text, from position on the page and from how often and where a line's template recurs; the
 seeds are lines for which these agree. Line ends: join, join with the hyphen, or leave, from counts of the joined and of
-the hyphenated word. Characters: keep, replace, delete or insert. Which replacements there are is learned, too: rare words
-are aligned with frequent ones that differ in one place, and what is read there for what is written counts as an
+the hyphenated word. Characters: keep, replace, delete or insert. Which replacements there are is learned, too: words are
+aligned with much more frequent ones that differ in one place, and what is read there for what is written counts as an
 operation if it is seen often and its reverse is not. The character editor then scores the operations at all places of a word by
-the operation, its neighbours and the counts of the word as read and as repaired. Counts cover all pages; only what the
-perceptrons are fitted on are bounded samples (``SEEDS``).
+the operation, its neighbours and the counts of the word as read and as repaired. Counts, operations and perceptrons rest
+on all pages and all words.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from math import log2
 
@@ -21,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabletloom.llm.perceptron import Perceptron
+from tabletloom.llm.perceptron import Perceptron, fit, in_proportion
 from tabletloom.session import cut, spread
 
-#: Examples of each kind that a perceptron is fitted on at most.
+#: Examples in the proportions of all that lines and line ends are fitted on, where few different ones occur.
 SEEDS = 6_000
 #: For the seeds: a repaired word is so many times as frequent as the word as read, and occurs so often. A word as read that
 #: itself occurs so often (as every misreading does in a large collection) is ``FAR`` times as rare.
@@ -168,22 +170,30 @@ def marks_of(marks: list[dict] | None) -> dict[int, str]:
     return {m["at"]: m["how"] for m in marks or ()}
 
 
+def line_seeds(lines: list[str], marks: dict[int, str]) -> Iterator[tuple[tuple, int]]:
+    """(features, 1 for furniture or 0 for text) of the lines of a page for which place and recurrence agree."""
+    for k, f in Furniture.features(lines, marks):
+        place, number, seen, heading = f[0], f[1], f[4], f[6]
+        if number and place in ("first", "last") or not heading and (seen in ("often", "near") or seen == "some" and place != "mid"):
+            yield f, 1
+        elif seen == "no" and not number:
+            yield f, 0
+        elif number and any(marks.get(j, "no") != "no" for j in (k - 1, k + 1)):
+            yield f, 1
+
+
 def train_furniture(pages: DataFrame) -> Furniture:
-    examples = []
-    for r in pages.orderBy(F.xxhash64("row_id"), "row_id").limit(SEEDS // 10).collect():
-        lines, marks = r["text"].split("\n"), marks_of(r["marks"])
-        for k, f in Furniture.features(lines, marks):
-            place, number, seen, heading = f[0], f[1], f[4], f[6]
-            if number and place in ("first", "last") or seen in ("often", "near") and not heading:
-                right = 1
-            elif seen == "no" and not number:
-                right = 0
-            elif number and any(marks.get(j, "no") != "no" for j in (k - 1, k + 1)):
-                right = 1
-            else:
-                continue
-            examples.append((line_options(f), right))
-    return Furniture(Perceptron.train(examples[: 4 * SEEDS]) if examples else Perceptron())
+    """Fitted on the lines of all pages: few different ones occur, so they are counted first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+                counts.update(line_seeds(text.split("\n"), marks_of(marks)))
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(f) for f, _ in counts], pa.string()), pa.array([right for _, right in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["f", "right", "n"])
+
+    rows = pages.select("text", "marks").mapInArrow(run, "f string, right int, n long").groupBy("f", "right").agg(F.sum("n").alias("n")).orderBy("f", "right").collect()
+    return Furniture(Perceptron.train(in_proportion([((line_options(tuple(json.loads(r["f"]))), r["right"]), r["n"]) for r in rows], 4 * SEEDS)))
 
 
 END = "struct<line_no:int,mark:string,word:string,first:string,dense:boolean>"
@@ -471,8 +481,7 @@ def corrections(vocabulary: DataFrame, extra: DataFrame) -> DataFrame:
     best, n = F.array_max("hits")["m"], F.greatest("n", F.lit(1))
     misread, usual = F.coalesce(shows(n, best), F.lit(False)), (F.col("n") >= KNOWN) & F.coalesce(best < RATIO * n, F.lit(True))
     seeds = hit.where(F.length("word") <= LONG).select("word", "n", "hits", misread.alias("misread")).where(F.col("misread") | usual)
-    some = seeds.where("misread").orderBy(F.xxhash64("word"), "word").limit(SEEDS).union(seeds.where("not misread").orderBy(F.desc("n"), "word").limit(SEEDS))
-    editor.model = Perceptron.train([x for batch in some.toArrow().to_batches() for x in editor.seeds(batch)], epochs=8)
+    editor.model = fit(seeds, "word", editor.seeds, epochs=8)
     shared = hit.sparkSession.sparkContext.broadcast(editor)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,9 +498,12 @@ def corrections(vocabulary: DataFrame, extra: DataFrame) -> DataFrame:
 
 
 def train_joins(ends: DataFrame) -> Perceptron:
-    """Join, or join with the hyphen: seeds are line ends where only one of the two words is known."""
-    rows = ends.where(f"(nj >= {KNOWN} and nh = 0) or (nh >= {KNOWN} and nj = 0)").orderBy(F.xxhash64("first", "word"), "row_id", "line_no").limit(SEEDS).collect()
-    return Perceptron.train([(join_options(r["mark"], r["first"], r["word"], r["dense"], r["nj"], r["nh"]), int(r["nh"] > 0)) for r in rows])
+    """Join, or join with the hyphen: seeds are all line ends where only one of the two words is known. They differ in few
+    features, by which they are counted first."""
+    seeds = ends.where(f"(nj >= {KNOWN} and nh = 0) or (nh >= {KNOWN} and nj = 0)")
+    kinds = ["mark", "inner", "dense", "nj", "nh"]
+    rows = seeds.select("mark", F.expr("if(contains(first, '-') or contains(word, '-'), '-', '')").alias("inner"), "dense", F.expr("cast(nj > 0 as int)").alias("nj"), F.expr("cast(nh > 0 as int)").alias("nh")).groupBy(*kinds).agg(F.count("*").alias("n")).orderBy(*kinds).collect()
+    return Perceptron.train(in_proportion([((join_options(r["mark"], r["inner"], "", r["dense"], r["nj"], r["nh"]), r["nh"]), r["n"]) for r in rows], SEEDS))
 
 
 def join_options(mark: str, first: str, word: str, dense: bool, joined: int, hyphened: int) -> list[tuple[str, list[str]]]:

@@ -156,6 +156,50 @@ def test_text_lines_that_recur_are_no_headers(spark):
     assert {r["at"] for r in marks} == {0} and len(marks) == 60
 
 
+def test_all_words_count_for_operations_and_editor(spark, monkeypatch):
+    monkeypatch.setattr(ocr_repair, "SEEDS", 5)  # no bound on the words
+    words, right = misread_words(2)
+    df = spark.createDataFrame([*words.items()], "word string, n long")
+    got = {r["word"] for r in ocr_repair.corrections(df, df.select("word").limit(0)).collect()}
+    assert len(got & right.keys()) >= 0.99 * len(right) and got <= right.keys()
+
+
+def test_seeds_of_lines_and_line_ends_come_from_all_pages(spark):
+    rows = [(i, f"The silver of the house {'x' * (i % 7)}\nreceived by them", []) for i in range(3_000)]
+    rows += [(3_000 + i, f"The silver of the garden\nNOTES ON THE TOWN {i}", [{"at": 1, "how": "often"}]) for i in range(3)]
+    df = spark.createDataFrame(rows, "row_id long, text string, marks array<struct<at:int,how:string>>")
+    decide = ocr_repair.train_furniture(df)
+    assert decide.of_page(rows[-1][1].split("\n"), {1: "often"}) == {1} and decide.of_page(rows[0][1].split("\n"), {}) == set()
+    ends = [("-", "re", "port", False, 9, 0)] * 20_000 + [("-", "Ṣe-lu", "lu", True, 0, 9)]
+    df = spark.createDataFrame(ends, "mark string, first string, word string, dense boolean, nj long, nh long")
+    df = df.select("*", F.monotonically_increasing_id().alias("row_id"), F.lit(1).alias("line_no"))
+    joins = ocr_repair.train_joins(df)
+    assert [joins.best(ocr_repair.join_options(*x)) for x in ends[-2:]] == [0, 1]
+
+
+def test_a_perceptron_of_many_shards_learns_from_all(spark, monkeypatch):
+    monkeypatch.setattr(perceptron, "SHARD", 40)
+    rng = random.Random(2)
+    rows = [(i, *(rng.randrange(4) for _ in range(3))) for i in range(400)] + [(400, 9, 0, 0)]
+
+    def examples(batch):
+        for r in batch.to_pylist():
+            f = [f"{c}={r[c]}" for c in "abc"]
+            yield [("no", f), ("yes", f)], int(r["a"] + r["b"] > 3)
+
+    df = spark.createDataFrame(rows, "id long, a int, b int, c int")
+    got = [perceptron.fit(x, "id", examples, epochs=8) for x in (df, df.repartition(7, "a").orderBy(F.desc("id")))]
+    assert got[0].weights == got[1].weights
+    cases = [x for batch in df.toArrow().to_batches() for x in examples(batch)]
+    assert sum(got[0].best(o) == r for o, r in cases) >= 0.98 * len(cases) and got[0].best(cases[-1][0]) == 1
+    assert perceptron.fit(df.limit(0), "id", examples).weights == {}
+
+
+def test_examples_in_proportion():
+    assert perceptron.in_proportion([(("a",), 900_000), (("b",), 99_999), (("c",), 1)], 10) == [("a",)] * 9 + [("b",), ("c",)]
+    assert perceptron.in_proportion([], 10) == []
+
+
 def test_rebuild_keeps_sign_joints():
     page = "1\nThe re-\nport of Ṣe-\nlu-lu and tbe end\n\nnext"
     found = [{"line_no": 1, "defect": "furniture"}, {"line_no": 2, "defect": "hyphen"}, {"line_no": 4, "defect": "glyph", "word": "tbe", "right": "the"}]
