@@ -128,7 +128,8 @@ def recurring_lines(pages: DataFrame) -> DataFrame:
                         edge.append(int(place != "mid"))
             yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(at, pa.int32()), pa.array(t, pa.string()), pa.array(edge, pa.int32())], names=["k1", "k2", "at", "t", "edge"])
 
-    lines = cut(pages.select("k1", "k2", "text").mapInArrow(lines_out, "k1 long, k2 long, at int, t string, edge int"))
+    # a page that was loaded several times counts once: its lines do not recur
+    lines = cut(pages.select("k1", "k2", "text").mapInArrow(lines_out, "k1 long, k2 long, at int, t string, edge int").dropDuplicates(["k1", "k2", "at"]))
     counts = cut(lines.groupBy("t").agg(F.count("*").alias("n"), F.sum("edge").alias("edge")).where("edge > 0"))
     # text lines stand at the edge by chance only; a header does so on most of its pages. In a large collection many text
     # lines recur, so the share at the edge is taken at the lower end of its 95 % interval (Wilson)

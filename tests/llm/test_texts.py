@@ -156,6 +156,13 @@ def test_text_lines_that_recur_are_no_headers(spark):
     assert {r["at"] for r in marks} == {0} and len(marks) == 60
 
 
+def test_lines_of_a_page_loaded_often_do_not_recur(spark):
+    rows = [(p, f"Caravan Letters\nWord {'ab'[p % 2] * (p % 6 + 2)}\nThe end of {'cd'[p % 2] * (p % 6 + 2)}") for p in range(60)]  # six pages, ten times each
+    df = spark.createDataFrame(rows, "row_id long, text string").select("*", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
+    marks = ocr_repair.recurring_lines(df).select(F.explode("marks").alias("m")).select("m.at").collect()
+    assert [r["at"] for r in marks] == [0] * 6
+
+
 def test_all_words_count_for_operations_and_editor(spark, monkeypatch):
     monkeypatch.setattr(ocr_repair, "SEEDS", 5)  # no bound on the words
     words, right = misread_words(2)
