@@ -63,6 +63,45 @@ def test_hot_element_is_cut_into_blocks(spark, monkeypatch):
     assert {frozenset((ids[a], ids[b])) for a, b in whole} == expected
 
 
+@pytest.mark.parametrize("block", [20, 65_536])
+def test_similar_sets_of_all_sizes(spark, monkeypatch, block):
+    from tabletloom.operators import simjoin
+
+    rng = random.Random(4)
+    texts = ["abc", "abcd", "abcde", "abcdef", "x\U0010ffffy"]
+    for size in [4, 9, 30, 70, 130, 140, 260, 290, 600, 2500]:
+        base = "".join(rng.choices("abcdefghijklmnopqrst", k=size))
+        for share in (0, 0.01, 0.04, 0.055, 0.06, 0.065, 0.07, 0.12):
+            texts.append("".join(rng.choice("uvwxyz") if rng.random() < share else c for c in base))
+        texts += [base[: int(size * share)] for share in (0.69, 0.7, 0.705, 0.71, 0.8)]
+    texts = sorted(set(texts))
+    monkeypatch.setattr(simjoin, "BLOCK", block)
+    monkeypatch.setattr(simjoin, "TILE", 40)
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, t string")
+    new, old = (dedup.trigram_sets(df.where(f"row_id % 3 {x} 0"), "t") for x in ("=", "<>"))
+    ids = {r["sid"]: r["id"] for r in dedup.trigram_sets(df, "t").collect()}
+    alike = {(i, j) for i in range(len(texts)) for j in range(len(texts)) if i != j and similar(texts[i], texts[j])}
+    got = [(ids[r["a"]], ids[r["b"]]) for r in dedup.similar_sets(new.union(old), None).collect()]
+    assert len(alike) > 200 and len(got) == len(alike) / 2 and {*got, *((b, a) for a, b in got)} == alike
+    got = [(ids[r["a"]], ids[r["b"]]) for r in dedup.similar_sets(new, old).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in alike if i % 3 == 0 and j % 3}
+
+
+def test_existing_texts_of_few_syllables_do_not_meet_each_other(spark):
+    """All share trigrams; compared among themselves, 40,000 existing texts are 800 million pairs."""
+    import time
+
+    rng = random.Random(5)
+    syllables = [a + b for a in "bdgklmnprstz" for b in "aeiu"]
+    texts = ["-".join(rng.choices(syllables, k=50)) for _ in range(40_000)]
+    old = spark.createDataFrame(list(enumerate(texts)), "row_id long, t string")
+    new = spark.createDataFrame([(1, texts[7][:-3]), (2, texts[8][::-1])], "row_id long, t string")
+    dedup.existing_duplicates(new, old.limit(10), "t").collect()
+    began = time.time()
+    assert [r["id"] for r in dedup.existing_duplicates(new, old, "t").collect()] == [1]
+    assert time.time() - began < 30
+
+
 def test_trigram_sets_of_any_characters():
     from tabletloom.operators import flat
 
