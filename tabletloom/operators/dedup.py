@@ -33,19 +33,20 @@ def trigram_sets(df: DataFrame, column: str, order: str = "row_id") -> DataFrame
 
 
 def similar_sets(left: DataFrame, right: DataFrame | None, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) of different keys with Jaccard similarity of at least ``threshold``: of left and right, or within left."""
-    side = lambda df, k: df.select("sid", F.lit(k).cast("tinyint").alias("side"), "key").dropDuplicates(["sid"])
+    """(a, b) of keys with Jaccard similarity of at least ``threshold``: of left and right (equal ones, too), or different
+    ones within left. Both are read several times."""
+    side = lambda df, k: df.select("sid", F.lit(k).cast("tinyint").alias("side"), "key")
     sets = side(left, 0) if right is None else side(left, 0).union(side(right, 1))
     return join_texts(sets, threshold, two=right is not None)
 
 
 def existing_duplicates(new: DataFrame, existing: DataFrame, column: str, threshold: float = THRESHOLD, order: str = "row_id") -> DataFrame:
     """Orders of the new rows that are alike to an existing row, or have no trigram."""
-    n, e = trigram_sets(new, column, order), trigram_sets(existing, column, order)
-    hit = similar_sets(n, e, threshold).select(F.col("a").alias("sid")).union(n.select("sid").join(e.select("sid"), "sid", "left_semi"))
-    alike = n.join(hit.distinct(), "sid", "left_semi").select("id")
-    empty = new.where(F.length(dedup_key(column)) < 3).select(F.col(order).alias("id"))
-    return alike.union(empty)
+    keys = cut(new.select(F.col(order).alias("id"), dedup_key(column).alias("key")).withColumn("sid", F.xxhash64("key")))
+    n, e = keys.where("length(key) >= 3"), cut(trigram_sets(existing, column, order).select("sid", "key"))
+    # equal keys are alike, too
+    alike = keys.join(similar_sets(n, e, threshold).select(F.col("a").alias("sid")).distinct(), "sid", "left_semi")
+    return alike.union(keys.where("length(key) < 3").select(alike.columns)).select("id")
 
 
 def greedy_survivors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def near_dedup(new: DataFrame, column: str, existing: DataFrame | None = None, t
         out = existing_duplicates(new, existing.select(F.col(column)).withColumn(order, F.lit(None)), column, threshold, order)
         rest = cut(new.join(out.withColumnRenamed("id", order), order, "left_anti"))
     else:
-        rest = new.where(F.length(dedup_key(column)) >= 3)
+        rest = new
     sets = cut(trigram_sets(rest, column, order))
     # of rows with equal keys only the first can survive
     first = cut(sets.groupBy("sid").agg(F.min("id").alias("id")))

@@ -53,9 +53,9 @@ def folded(bits: np.ndarray, width: int) -> np.ndarray:
 
 
 def signs(bits: np.ndarray) -> np.ndarray:
-    """Bits as +1 and -1, with two columns more."""
-    out = np.ones((len(bits), bits.shape[1] * 8 + 2), np.float32)
-    out[:, :-2] -= 2 * np.unpackbits(bits, axis=1).astype(np.float32)
+    """Two columns of 1, then the bits as +1 and -1."""
+    out = np.ones((len(bits), 2 + bits.shape[1] * 8), np.float32)
+    out[:, 2:] -= 2 * np.unpackbits(bits, axis=1).astype(np.float32)
     return out
 
 
@@ -81,21 +81,21 @@ def _alike(a: _Sets, b: _Sets, t: float) -> Iterator[tuple[np.ndarray, np.ndarra
         first = np.searchsorted(b.n, np.ceil(t * na[0] - 1e-6))
         last = np.searchsorted(b.n, np.floor(na[-1] / t + 1e-6), "right")
         x = signs(fa[at : at + tile])
-        x[:, -2] = 2 * most * na - wide // 2
+        x[:, 0] = 2 * most * na - wide // 2
         for to in range(max(first, at) if a is b else first, last, tile):
             nb = b.n[to : min(to + tile, last)]
             y = signs(fb[to : to + len(nb)])
-            y[:, -1] = 2 * most * nb
+            y[:, 1] = 2 * most * nb
             # twice the number of bits by which a pair is within the limit; half a bit for rounding
             k = np.flatnonzero(x @ y.T >= -1)
             i, j = k // len(nb) + at, k % len(nb) + to
             if a is b:
                 i, j = i[i < j], j[i < j]
-            d = np.zeros(len(i), np.int64)
+            differ = np.zeros(len(i), np.int64)
             for w in range(wide // 64):
-                d += np.bitwise_count(wa[i, w] ^ wb[j, w])
+                differ += np.bitwise_count(wa[i, w] ^ wb[j, w])
             p, q = a.n[i], b.n[j]
-            ok = (d <= most * (p + q) + 1e-6) & (p >= t * q - 1e-6) & (q >= t * p - 1e-6)
+            ok = (differ <= most * (p + q) + 1e-6) & (p >= t * q - 1e-6) & (q >= t * p - 1e-6)
             yield i[ok], j[ok]
 
 
@@ -146,8 +146,8 @@ class _Cells:
 
 
 def candidates(texts: DataFrame, threshold: float, two: bool) -> DataFrame:
-    """(a, b), each pair once, of sets that pass all filters; ``texts`` has (sid, side, key), each (sid, side) once."""
-    sets = cut(sketches(texts))
+    """(a, b), each pair once, of sets that pass all filters; ``texts`` has (sid, side, key)."""
+    sets = cut(sketches(texts).dropDuplicates(["side", "sid"]))
     sizes = sets.groupBy("side", "n").count().toArrow()  # one row a size
     side, n, count = (np.asarray(sizes.column(c), np.int64) for c in ("side", "n", "count"))
     size = min(BLOCK, max(1024, -(-int(count.sum()) // CELLS)))
@@ -205,10 +205,14 @@ def candidates(texts: DataFrame, threshold: float, two: bool) -> DataFrame:
 
 def join_texts(texts: DataFrame, threshold: float, two: bool) -> DataFrame:
     """(a, b) of texts whose trigram sets have a Jaccard similarity of at least ``threshold``: of side 0 and side 1, or of one
-    side, a < b. ``texts`` has (sid, side, key), each (sid, side) once; keys without trigrams are alike to nothing."""
-    texts = cut(texts.select("sid", "side", "key"))
-    c = candidates(texts, threshold, two)
-    one = lambda side, name: texts.where(F.col("side") == side).select(F.col("sid").alias(name), F.col("key").alias(f"k{name}"))
+    side, a < b. ``texts`` has (sid, side, key), copies of a key under one sid; it is read several times. Keys without
+    trigrams are alike to nothing."""
+    c = cut(candidates(texts, threshold, two))
+
+    def one(side: int, name: str) -> DataFrame:
+        keys = texts.where(F.col("side") == side).select(F.col("sid").alias(name), F.col("key").alias(f"k{name}"))
+        return keys.join(c.select(name).distinct(), name, "left_semi").dropDuplicates([name])
+
     both = c.join(one(0, "a"), "a").join(one(1 if two else 0, "b"), "b").select("a", "b", "ka", "kb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
