@@ -64,14 +64,17 @@ def first_splits(segments_: DataFrame, keys: list[str]) -> DataFrame:
 
     Every candidate brings its surroundings only, and only those that pass are moved: to the first of each segment.
     """
-    at = F.col("_at")
-
-    def around(left: int, right: int) -> tuple[Column, Column]:
+    def around(at: Column, left: int, right: int) -> tuple[Column, Column]:
         before = strip(F.substring(F.col("segment"), F.greatest(at - left, F.lit(0)) + 1, F.least(at, F.lit(left))))
         return before, strip(F.substring(F.col("segment"), at + 1, F.lit(right)))
 
-    (b, a), (before, after) = around(200, 300), around(800, 2000)
-    c = segments_.select(*keys, "segment", F.explode(candidate_ends(F.col("segment"))).alias("_at")).select("*", b.alias("b"), a.alias("a"))
+    def candidate(at: Column) -> Column:
+        b, a = around(at, 200, 300)
+        return F.struct(at.alias("_at"), b.alias("b"), a.alias("a"))
+
+    # made in the array, so that the gates read them and don't make them again
+    c = segments_.select(*keys, "segment", F.inline(F.transform(candidate_ends(F.col("segment")), candidate)))
+    before, after = around(F.col("_at"), 800, 2000)
     c = c.where((F.length("b") >= 20) & (F.length("a") >= 15))
     c = c.where(akkadian_score("b") >= 0.3).where(english_score("a") >= 0.15).where(english_score("b") <= 0.3).where(non_english_score("a") <= 1.0)
     found = c.select(*keys, "_at", before.alias("before"), after.alias("after"))

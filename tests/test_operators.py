@@ -174,6 +174,13 @@ def test_pairs_are_deduplicated_in_the_order_of_pdfs_and_pages(spark):
     assert [(r["source_pdf"], r["source_page"]) for r in pipelines.extract_publications(publications, existing, allowed).where("src = 1").collect()] == [("a.pdf", 2)]
 
 
+def test_gates_read_what_is_around_a_candidate_and_do_not_cut_it_again(spark):
+    df = spark.createDataFrame([(1, "a: b")], "row_id long, segment string")
+    plan = parse.first_splits(df, ["row_id"])._jdf.queryExecution().optimizedPlan().toString()
+    gates = [x for x in plan.splitlines() if "Filter" in x]
+    assert gates and not any("substring" in x for x in gates)
+
+
 def test_many_golden_pages_are_parsed(spark):
     signs = "a-na A-šùr qí-bi-ma um-ma Ṣí-lí DUMU KÙ.BABBAR ma-na i-ṣé-er i-šu li-mu-um ṣa-ru-pá-am iš-tù ḫa-mu-uš-tim GÍN IGI ṣí-ib-tám ú-ṣa-áb".split()
     words = "he owes ten minas of silver to the son who was his brother and they said that the interest will be paid in the month from the house".split()
